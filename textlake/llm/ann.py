@@ -147,7 +147,7 @@ def _nearest(k: int):
     return run
 
 
-def search(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", k: int = 10, sample: int = 8_192, parts: int | None = None, probes: float = 0.4, block: int = BLOCK) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", k: int = 10, sample: int = 8_192, parts: int | None = None, probes: float = 0.75, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest rows by Euclidean distance, as far as found.
 
     queries is a condition that picks the rows to search for. The index is learned on the `sample` rows of

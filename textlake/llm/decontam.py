@@ -34,7 +34,8 @@ def _seeded(rows: DataFrame, text: str, masks: tuple[str, ...], *keep: str) -> D
     for m in masks[:-1]:
         fit = F.greatest(F.size(h) - len(m) + 1, F.lit(0))
         place = F.when((place >= fit) & (F.col("place") >= fit), place - fit).otherwise(place)
-    return every.select(*keep, "hashes", F.posexplode("seeds").alias("place", "seed")).select(*keep, "hashes", place.alias("at"), "seed")
+    # outer: else Spark infers a filter on the seeds and pushes it below, where it computes them once more per element
+    return every.select(*keep, "hashes", F.posexplode_outer("seeds").alias("place", "seed")).select(*keep, "hashes", place.alias("at"), "seed")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", window: int = 13, similar: float = 0.8, masks: tuple[str, ...] = MASKS) -> DataFrame:
