@@ -49,7 +49,7 @@ def balanced_parts(graph: np.ndarray, x: np.ndarray, parts: int, rng: np.random.
     first, to the part most of their neighbours (both ways) are in, as long as it has room.
     """
     n = len(graph)
-    room = int(np.ceil(n / parts * (1 + slack)))
+    room = int(np.ceil(n / parts * (1 + slack) - 1e-9))
     centres = x[rng.choice(n, parts, replace=False)]
     for _ in range(5):
         near = np.argsort((centres**2).sum(1)[None] - 2 * x @ centres.T, axis=1)

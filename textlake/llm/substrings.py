@@ -158,7 +158,7 @@ def _merge(width: int):
         table = pdf[pdf.found.isna()].iloc[0]
         found = [_unpack(x) for x in pdf.found.dropna()]
         if not found:
-            return pd.DataFrame({"_key": [], "_crc": [], "begins": [], "ends": []})
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("_key", "_crc", "begins", "ends")})
         ids, at, crcs = np.cumsum(np.frombuffer(table.doc_ids, "<i8")), _unpack(table.starts), np.frombuffer(table.crcs, "<i8")
         place = np.sort(np.concatenate(found))
         doc = np.searchsorted(at, place, side="right") - 1
