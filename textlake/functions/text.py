@@ -142,7 +142,8 @@ def html_text(html: Column | str) -> Column:
     """Visible text: scripts, styles, heads and comments dropped, block tags break lines, spaces collapse."""
     t = F.regexp_replace(_col(html), r"(?is)<(script|style|noscript|template|head|svg)\b.*?</\1\s*>|<!--.*?-->", " ")
     t = F.regexp_replace(t, r"(?i)</?(?:p|div|br|li|ul|ol|tr|td|table|h[1-6]|nav|section|article|header|footer)\b[^>]*>", "\n")
-    return F.trim(F.regexp_replace(F.regexp_replace(unescape(F.regexp_replace(t, r"<[^>]*>", "")), r"[ \t\r\f]+", " "), r"\s*\n\s*", "\n"))
+    lines = F.regexp_replace(F.regexp_replace(unescape(F.regexp_replace(t, r"<[^>]*>", "")), r"[ \t\r\f]+", " "), r"\s*\n\s*", "\n")
+    return F.regexp_replace(lines, r"^[ \n]+|[ \n]+$", "")
 
 
 def html_title(html: Column | str, fallback: Column | None = None) -> Column:

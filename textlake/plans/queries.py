@@ -530,7 +530,7 @@ def _unescape_sql(c: str) -> str:
 
 @query(f"SELECT page_id, trim(regexp_replace(regexp_replace({_unescape_sql(_CLEAN)}, '[ \\t\\r\\f]+', ' ', 'g'), '\\s*\\n\\s*', chr(10), 'g'), ' ' || chr(10)) AS text FROM pages".replace("AS text", "AS visible"))
 def html_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", T.html_text("html").alias("visible")).select("page_id", F.regexp_replace("visible", r"^[ \n]+|[ \n]+$", "").alias("visible"))
+    return table(spark, sf_dir, "pages").select("page_id", T.html_text("html").alias("visible"))
 
 
 @query(f"SELECT page_id, trim(regexp_replace({_unescape_sql('''regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', '', 'g')''')}, '\\s+', ' ', 'g')) AS title FROM pages")

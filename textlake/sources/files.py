@@ -21,7 +21,8 @@ MOST_BYTES = 16 * 2**20
 
 
 def scan(spark: SparkSession, root: str, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
-    """(path, ext, mtime, size_bytes, content_hash, content) of the files under root. Larger than 16 MiB: no content."""
+    """(path, ext, mtime, size_bytes, content_hash, content) of the files under root. Larger than 16 MiB: no content.
+    Spark's reader passes over files of no bytes."""
     glob = "*.{" + ",".join([*suffixes, *[s.upper() for s in suffixes]]) + "}"
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
     inside = F.regexp_extract("path", f"^.*?{re.escape(root.removeprefix('file:').strip('/'))}(.*)$", 1)
@@ -83,7 +84,7 @@ def extract(files: DataFrame) -> DataFrame:
                     texts.append(None), errors.append(str(e))
             yield pdf.drop(columns="content").assign(text=texts, error=errors)
 
-    out = files.drop("content").withColumns({"text": F.lit(""), "error": F.lit("")}).schema
+    out = files.drop("content").withColumns({"text": F.lit(None).cast("string"), "error": F.lit(None).cast("string")}).schema
     read = files.mapInPandas(run, out)
     html = F.col("ext").isin("html", "htm")
     return read.withColumns({"title": F.when(html, T.html_title("text")).otherwise(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)), "text": F.when(html, T.html_text("text")).otherwise(F.col("text"))})
