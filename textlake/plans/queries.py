@@ -696,12 +696,12 @@ def command_matches(spark, sf_dir):
     return matching.match(phrases, spark.createDataFrame(COMMANDS, "operation string, text string"))
 
 
-@query(f"""WITH lex AS (SELECT form AS word, upper(form) AS de FROM (SELECT form, count(*) AS n FROM ({toks('text', 'documents')}) GROUP BY form) WHERE n >= 50), w AS (SELECT item_id, unnest(x) AS word, generate_subscripts(x, 1) AS pos FROM (SELECT item_id, regexp_extract_all(translate(lower(text), 'ё', 'е'), '{PATTERN}') AS x FROM benchmark))
+@query(f"""WITH lex AS (SELECT form AS word, '<' || form || '>' AS de FROM (SELECT form, count(*) AS n FROM ({toks('text', 'documents')}) GROUP BY form) WHERE n >= 50), w AS (SELECT item_id, unnest(x) AS word, generate_subscripts(x, 1) AS pos FROM (SELECT item_id, regexp_extract_all(translate(lower(text), 'ё', 'е'), '{PATTERN}') AS x FROM benchmark))
 SELECT item_id AS doc_id, string_agg(coalesce(de, word), ' ' ORDER BY pos) AS translation FROM w LEFT JOIN lex USING (word) GROUP BY item_id""")
 def translate_words(spark, sf_dir):
-    entries = index.form_vocabulary(table(spark, sf_dir, "documents")).filter("freq >= 50").select(F.col("form").alias("en"), F.upper("form").alias("de"), F.lit(1).alias("rank"))
+    entries = index.form_vocabulary(table(spark, sf_dir, "documents")).filter("freq >= 50").select(F.col("form").alias("en"), F.concat(F.lit("<"), "form", F.lit(">")).alias("de"), F.lit(1).alias("rank"))
     words = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.posexplode(T.tokens("text")).alias("pos", "word"))
-    short = table(spark, sf_dir, "documents").select(F.explode(T.tokens("text")).alias("form")).filter(F.length("form") < 2).groupBy("form").agg(F.count("*").alias("freq")).filter("freq >= 50").select(F.col("form").alias("en"), F.upper("form").alias("de"), F.lit(1).alias("rank"))
+    short = table(spark, sf_dir, "documents").select(F.explode(T.tokens("text")).alias("form")).filter(F.length("form") < 2).groupBy("form").agg(F.count("*").alias("freq")).filter("freq >= 50").select(F.col("form").alias("en"), F.concat(F.lit("<"), "form", F.lit(">")).alias("de"), F.lit(1).alias("rank"))
     return lexicon.translate_words(words, entries.unionByName(short))
 
 
