@@ -25,24 +25,26 @@ def _seeds(hashes: Column, mask: str, number: int) -> Column:
     return F.when(F.size(hashes) >= len(mask), found).otherwise(F.array().cast("array<bigint>"))
 
 
+def _hashes(text: Column) -> Column:
+    return F.transform(words(text), lambda w: F.xxhash64(w))
+
+
 def _seeded(rows: DataFrame, text: str, masks: tuple[str, ...], *keep: str) -> DataFrame:
-    """One row per seed: keep, hashes of all words, the seed's start and hash."""
-    hashed = rows.select(*keep, F.transform(words(F.col(text)), lambda w: F.xxhash64(w)).alias("hashes"))
+    """One narrow row per seed: keep, the word where it starts, its hash."""
+    hashed = rows.select(*keep, _hashes(F.col(text)).alias("hashes"))
     h = F.col("hashes")
-    every = hashed.withColumn("seeds", F.concat(*[_seeds(h, m, i) for i, m in enumerate(masks)]))
-    place = F.col("place")
-    for m in masks[:-1]:
-        fit = F.greatest(F.size(h) - len(m) + 1, F.lit(0))
-        place = F.when((place >= fit) & (F.col("place") >= fit), place - fit).otherwise(place)
+    fit = F.greatest(F.size(h) - len(masks[0]) + 1, F.lit(0))  # seeds of the first mask come first
+    every = hashed.select(*keep, fit.alias("fit"), F.concat(*[_seeds(h, m, i) for i, m in enumerate(masks)]).alias("seeds"))
     # outer: else Spark infers a filter on the seeds and pushes it below, where it computes them once more per element
-    return every.select(*keep, "hashes", F.posexplode_outer("seeds").alias("place", "seed")).select(*keep, "hashes", place.alias("at"), "seed")
+    placed = every.select(*keep, "fit", F.posexplode_outer("seeds").alias("place", "seed"))
+    return placed.select(*keep, F.when(F.col("place") >= F.col("fit"), F.col("place") - F.col("fit")).otherwise(F.col("place")).alias("at"), "seed")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", window: int = 13, similar: float = 0.8, masks: tuple[str, ...] = MASKS) -> DataFrame:
     """(key, item_key, matched, window, place): benchmark items that a document holds, one row per pair.
 
-    Seeds of both sides meet in an equi-join; around each hit the item is laid over the document without
-    gaps, and the pair counts if some `window` words in a row (an item with fewer: all of it) agree in at
+    Seeds of both sides meet in an equi-join, as narrow rows, which leaves the documents that have any and
+    how far each item is shifted; there the item is laid over the document without gaps, and the pair counts if some `window` words in a row (an item with fewer: all of it) agree in at
     least `similar` of their places. matched is the largest number of such agreements, place the word of
     the document where its window starts (the first of the best). Items of fewer than five words have no
     seed and take no part, nor do null texts. Repeated rows of a key count once.
@@ -50,21 +52,26 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str
     if len(masks) > 2:
         raise ValueError("at most two masks")
     items = benchmark.filter(F.col(item_text).isNotNull()).select(F.col(item_key).alias("_item"), F.col(item_text).alias("_text"))
-    item = _seeded(items, "_text", masks, "_item").select("_item", F.col("hashes").alias("_words"), F.col("at").alias("_at"), "seed")
-    if item.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
-        item = F.broadcast(item)
+    known = items.select("_item", _hashes(F.col("_text")).alias("_words"))
+    seeds = _seeded(items, "_text", masks, "_item").withColumnsRenamed({"at": "_at"})
+    if seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
+        known, seeds = F.broadcast(known), F.broadcast(seeds)
     rows = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    hits = _seeded(rows, "_text", masks, "_key").join(item, "seed")
-    shift, size = F.col("at") - F.col("_at"), F.size("_words")
-    low = F.greatest(shift, F.lit(0))
-    length = F.least(shift + size, F.size("hashes")) - low
-    agree = F.zip_with(F.slice("hashes", low + 1, length), F.slice("_words", low - shift + 1, length), lambda a, b: (a == b).cast("int"))
-    laid = hits.select("_key", "_item", low.alias("low"), agree.alias("agree"), F.least(F.lit(window), size).alias("window"))
+    met = _seeded(rows, "_text", masks, "_key").join(seeds, "seed").select("_key", "_item", (F.col("at") - F.col("_at")).alias("shift")).distinct()
+    hits = met.groupBy(F.col("_key").alias("_of")).agg(F.collect_list(F.struct("_item", "shift")).alias("hits"))
+    again = rows.join(hits, F.col("_key").eqNullSafe(F.col("_of"))).select("_key", _hashes(F.col("_text")).alias("hashes"), "hits")
+    each = again.select("_key", "hashes", F.inline_outer("hits")).join(known, "_item")
+    size = F.size("_words")
+    low = F.greatest(F.col("shift"), F.lit(0))
+    length = F.least(F.col("shift") + size, F.size("hashes")) - low
+    agree = F.zip_with(F.slice("hashes", low + 1, length), F.slice("_words", low - F.col("shift") + 1, length), lambda a, b: (a == b).cast("int"))
+    laid = each.select("_key", "_item", low.alias("low"), agree.alias("agree"), F.least(F.lit(window), size).alias("window"))
     sums = F.transform(F.sequence(F.lit(1), F.size("agree") - F.col("window") + 1), lambda s: F.aggregate(F.slice("agree", s, F.col("window")), F.lit(0), lambda x, y: x + y))
-    summed = laid.filter(F.size("agree") >= F.col("window")).select("_key", "_item", "low", "window", sums.alias("sums"))
+    summed = laid.select("_key", "_item", "low", "window", F.when(F.size("agree") >= F.col("window"), sums).alias("sums"))
     best = summed.select("_key", "_item", "window", F.array_max("sums").alias("matched"), (F.col("low") + F.array_position("sums", F.array_max("sums")) - 1).cast("long").alias("place"))
-    close = best.filter(F.col("matched") >= F.ceil(F.col("window") * F.lit(similar) - F.lit(1e-9)))
-    top = close.groupBy("_key", "_item").agg(F.max("matched").alias("matched"), F.max("window").alias("window"), F.min_by("place", F.struct(-F.col("matched"), "place")).alias("place"))
+    # the condition stands after the grouping: pushed below, it would compute the sums anew for every place
+    every = best.groupBy("_key", "_item").agg(F.max("matched").alias("matched"), F.max("window").alias("window"), F.min_by("place", F.struct(-F.col("matched"), "place")).alias("place"))
+    top = every.filter(F.col("matched") >= F.ceil(F.col("window") * F.lit(similar) - F.lit(1e-9)))
     return top.select(F.col("_key").alias(key), F.col("_item").alias(item_key), F.col("matched").cast("long"), F.col("window").cast("long"), "place")
 
 
