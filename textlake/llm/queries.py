@@ -82,7 +82,21 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_ann, op2_secrets, op3_langid, op4_simhash, op5_urls, op6_tokencount, op7_bpe, op8_substrings, op9_quality, op10_decontam, pipeline)}
 
-# Words [^\x20\x09-\x0D]+ of whole texts; windows of 20 words that start earlier elsewhere; words they cover.
-SUBSTRINGS_SQL = None
-
-ORACLES: dict[str, str] = {}
+# Windows of 20 words that also start earlier, the words they cover, what is left.
+SUBSTRINGS_SQL = r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+win AS (SELECT doc_id, i, row_number() OVER (PARTITION BY ws[i:i + 19] ORDER BY doc_id, i) AS r FROM w, range(1, len(ws) - 18) t(i)),
+gone AS (SELECT DISTINCT doc_id, i + o AS p FROM win, range(0, 20) t(o) WHERE r > 1),
+each AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS p FROM w),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS k FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
+
+# Of 13 places in a row at most two differ, so some four in a row agree: four words find every pair, then places are counted.
+DECONTAM_SQL = r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents), b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+dg AS (SELECT doc_id, i, w[i:i + 3] AS g FROM d, range(1, len(w) - 2) t(i)), bg AS (SELECT item_id, i, w[i:i + 3] AS g FROM b, range(1, len(w) - 2) t(i)),
+c AS (SELECT DISTINCT doc_id, item_id, dg.i - bg.i AS shift FROM dg JOIN bg USING (g)),
+a AS (SELECT doc_id, item_id, shift, least(13, len(b.w)) AS size, j, CAST(d.w[j + shift] = b.w[j] AS INTEGER) AS same FROM c JOIN d USING (doc_id) JOIN b USING (item_id), range(1, len(b.w) + 1) t(j) WHERE j + shift BETWEEN 1 AND len(d.w)),
+m AS (SELECT doc_id, item_id, size, j + shift - 1 AS place, sum(same) OVER f AS matched, count(*) OVER f AS n FROM a WINDOW f AS (PARTITION BY doc_id, item_id, shift ORDER BY j ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, place) AS r FROM m WHERE n = size)
+SELECT doc_id, item_id, CAST(matched AS BIGINT) AS matched, CAST(size AS BIGINT) AS "window", CAST(place AS BIGINT) AS place FROM k WHERE r = 1 AND matched >= ceil(size * 0.8 - 1e-9)"""
+
+ORACLES = {"op8_substrings": SUBSTRINGS_SQL, "op10_decontam": DECONTAM_SQL}
