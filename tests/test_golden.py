@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -235,3 +236,13 @@ def test_tables(spark):
     waves = tables.wave_sizes(spark.createDataFrame([(1, 10), (2, 7)], "id int, total long"), 4)
     assert [r["size"] for r in waves.filter("id = 1").orderBy("wave").collect()] == [1, 2, 3, 4]
     assert sum(r["size"] for r in waves.filter("id = 2").collect()) == 7
+
+
+def test_network():
+    from textlake.operators import mlp
+
+    texts = ["the thing that", "then the other", "with those things"] * 10 + ["que la casa", "una cosa que", "la mesa con"] * 10
+    network = mlp.train(texts, ["en"] * 30 + ["es"] * 30, [" t", "th", "qu", "a ", "la", "e "])
+    p = network.probabilities(np.sqrt(mlp.shares(["the path", "la vaca"], network.features)))
+    assert network.languages == ["en", "es"] and p[0, 0] > 0.5 > p[1, 0] and np.allclose(p.sum(1), 1)
+    assert mlp.shares([""], ["a"]).sum() == 0

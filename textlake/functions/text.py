@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: an expression named inside a lambda would run again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def tokens(text: Column | str, pattern: str = TOKEN) -> Column:
     """Lower-case tokens in order; ё counts as е. Null text has null tokens."""
     return F.regexp_extract_all(F.translate(F.lower(_col(text)), "ё", "е"), F.lit(pattern), F.lit(0))
@@ -39,6 +46,16 @@ def _grams(text: Column, n: int) -> Column:
     return F.when(F.length(text) >= n, some).otherwise(F.array().cast("array<string>"))
 
 
+def long_grams(text: Column, n: int) -> Column:
+    """_grams for long texts: characters become an array first, as substring() would walk the text anew each time."""
+
+    def grams(c: Column) -> Column:
+        some = F.transform(F.sequence(F.lit(1), F.size(c) - n + 1), lambda i: F.array_join(F.slice(c, i, n), ""))
+        return F.when(F.size(c) >= n, some).otherwise(F.array().cast("array<string>"))
+
+    return let(F.array_remove(F.split(text, ""), ""), grams)
+
+
 def padded_ngrams(normal: Column | str, longest: int = 5) -> Column:
     """n-grams, n = 1..longest, of each word between underscores; a lone underscore is none."""
     words = F.filter(F.split(_col(normal), " "), lambda w: w != "")
@@ -50,21 +67,28 @@ def padded_ngrams(normal: Column | str, longest: int = 5) -> Column:
 def running_ngrams(normal: Column | str, longest: int = 3) -> Column:
     """n-grams across words, a space before and after the text; those of spaces alone are none."""
     padded = F.concat(F.lit(" "), _col(normal), F.lit(" "))
-    return F.filter(F.flatten(F.array(*[_grams(padded, n) for n in range(1, longest + 1)])), lambda g: F.trim(g) != "")
+    every = let(padded, lambda p: F.flatten(F.array(*[long_grams(p, n) for n in range(1, longest + 1)])))
+    return F.filter(every, lambda g: F.trim(g) != "")
 
 
 def word_ngrams(words: Column | str, n: int) -> Column:
     """Word n-grams, joined by one space."""
-    w = _col(words)
-    some = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
-    return F.when(F.size(w) >= n, some).otherwise(F.array().cast("array<string>"))
+
+    def grams(w: Column) -> Column:
+        some = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) >= n, some).otherwise(F.array().cast("array<string>"))
+
+    return let(_col(words), grams)
 
 
 def fragments(text: Column | str, size: int, step: int) -> Column:
     """Fixed-size windows of characters; a shorter text is one window, an empty one none."""
-    t = _col(text)
-    many = F.transform(F.sequence(F.lit(0), F.length(t) - size, F.lit(step)), lambda i: F.substring(t, i + 1, F.lit(size)))
-    return F.when(F.length(t) > size, many).when(F.length(t) > 0, F.array(t)).otherwise(F.array().cast("array<string>"))
+
+    def cut(t: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(0), F.length(t) - size, F.lit(step)), lambda i: F.substring(t, i + 1, F.lit(size)))
+        return F.when(F.length(t) > size, many).when(F.length(t) > 0, F.array(t)).otherwise(F.array().cast("array<string>"))
+
+    return let(_col(text), cut)
 
 
 def phrase(text: Column | str) -> Column:

@@ -114,7 +114,7 @@ def chrf(pairs: DataFrame, most: int = 6, beta: float = 2.0) -> DataFrame:
     """pairs(pair_id, hypothesis, reference strings) -> (pair_id, chrf): spaces left out, precisions and recalls
     averaged over the orders where the side has n-grams."""
     bare = pairs.select("pair_id", *[F.regexp_replace(c, r"\s+", "").alias(c) for c in ("hypothesis", "reference")])
-    c = _clipped(bare, lambda t, n: T._grams(t, n), tuple(range(1, most + 1)))
+    c = _clipped(bare, T.long_grams, tuple(range(1, most + 1)))
     means = c.groupBy("pair_id").agg(F.avg(F.try_divide("common", "hyp")).alias("p"), F.avg(F.try_divide("common", "ref")).alias("r"))
     p, r, b = F.coalesce("p", F.lit(0.0)), F.coalesce("r", F.lit(0.0)), beta * beta
     return pairs.select("pair_id").join(means, "pair_id", "left").select("pair_id", (100 * _ratio((1 + b) * p * r, b * p + r)).alias("chrf"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textlake.functions import text as T
-from textlake.operators import index, search, studies
+from textlake.operators import index, langprofiles, mlp, search, studies
 from textlake.plans.queries import INDEX, PATTERN, SIGNIFICANT, WORD_PAIRS, _documents, _index, _profiles, _queries, _word_pairs, query, r6, table, toks
 
 CONFIGURATIONS = {"base": search.Modifiers(), "strict": search.Modifiers(strict=True), "flat": search.Modifiers(flat_idf=True), "short": search.Modifiers(short_bonus=True)}
@@ -89,3 +89,12 @@ def compound_heads(spark, sf_dir):
 @query("SELECT n_nationkey, array_to_string(string_split(upper(n_name), ''), '-') AS spelled FROM nation")
 def spelled_names(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", studies.spelled("n_name").alias("spelled"))
+
+
+@query()
+def langid_network(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    network = mlp.fit(docs.select(F.col("lang").alias("owner"), "text"))
+    told = langprofiles.classify(mlp.distances(docs.select(F.col("doc_id").alias("owner"), "text"), network))
+    gold = docs.select(F.col("doc_id").alias("owner"), F.col("lang").alias("gold"))
+    return langprofiles.confusion(told.join(gold, "owner"))
