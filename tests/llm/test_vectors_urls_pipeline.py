@@ -107,7 +107,7 @@ def test_pipeline(spark):
     rows = {r.doc_id: r for r in docs.collect()}
     model = queries.quality_model(spark, docs, SF)
     scorer = quality.Scorer(model)
-    kept = {i for i, r in rows.items() if scorer.score(r.text) >= queries.GOOD}
+    kept = {i for i, r in rows.items() if scorer.scores([r.text])[0] >= queries.GOOD}
     out = docs
     for name, stage in corpus_pipeline.STAGES[:4]:
         out = stage(spark, out, SF).cache()

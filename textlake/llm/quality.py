@@ -33,14 +33,25 @@ class Model:
         return self.vectors @ (self.weights[:, 1] - self.weights[:, 0])
 
 
-def features(word: bytes, buckets: int, shortest: int, longest: int) -> list[int]:
-    """Buckets of a word: itself and the character n-grams of the word in angle brackets (bytes of UTF-8)."""
-    digest = xxhash.xxh64_intdigest
-    out = [digest(word) % buckets]
-    if word != AGAIN:
-        text = b"<" + word[:64] + b">"
-        out += [digest(text[i : i + n], n) % buckets for n in range(shortest, longest + 1) for i in range(len(text) - n + 1)]
-    return out
+def features(words: list[bytes], buckets: int, shortest: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, place of its word): each word itself, and the n-grams of its bytes in angle brackets."""
+    own = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, count=len(words))
+    framed = [b"<" + w + b">" for w in words]
+    data = np.frombuffer(b"".join(framed), np.uint8).astype(np.uint64)
+    sizes = np.fromiter(map(len, framed), np.int64, count=len(words))
+    owner = np.repeat(np.arange(len(words)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(data))
+    left[np.repeat(np.fromiter((w == AGAIN for w in words), bool, count=len(words)), sizes)] = 0
+    ids, owners = [own % np.uint64(buckets)], [np.arange(len(words))]
+    h = np.zeros(len(data), np.uint64)
+    for n in range(1, longest + 1):
+        h = h[: len(data) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + data[n - 1 :]
+        if n >= shortest and len(h):
+            at = np.flatnonzero(left[: len(h)] >= n)
+            mixed = (h[at] ^ (h[at] >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+            ids.append((mixed >> np.uint64(33)) % np.uint64(buckets))
+            owners.append(owner[at])
+    return np.concatenate(ids).astype(np.int32), np.concatenate(owners)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -49,29 +60,20 @@ def words_of(text: str | None) -> list[bytes]:
     return [AGAIN if w == p else w for w, p in zip(words, [b"", *words[:-1]], strict=True)] if words else words
 
 
-def train(texts: list, labels: list, buckets: int = 1 << 16, width: int = 10, epochs: int = 5, rate: float = 0.5, batch: int = 32, shortest: int = 2, longest: int = 4, seed: int = 7) -> Model:
+def train(texts: list, labels: list, buckets: int = 1 << 16, width: int = 10, epochs: int = 4, rate: float = 0.5, batch: int = 32, shortest: int = 3, longest: int = 4, seed: int = 7) -> Model:
     """Fit by numpy stochastic gradient descent; no rows or one class only give a model that says so with 0.5 or that class."""
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / width, 1 / width, (buckets, width)).astype(np.float32)
     weights, bias = np.zeros((width, 2), np.float32), np.zeros(2, np.float32)
-    known: dict[bytes, np.ndarray] = {}
     docs = []
     for text in texts:
-        ids: dict[bytes, int] = {}
+        counted: dict[bytes, int] = {}
         for w in words_of(text):
-            ids[w] = ids.get(w, 0) + 1
-        parts, counts = [], []
-        for w, n in ids.items():
-            if w not in known:
-                known[w] = np.array(features(w, buckets, shortest, longest), np.int32)
-            parts.append(known[w])
-            counts.append(np.full(len(known[w]), n, np.float32))
-        if parts:
-            flat, inverse = np.unique(np.concatenate(parts), return_inverse=True)
-            share = np.bincount(inverse, np.concatenate(counts)).astype(np.float32)
-            docs.append((flat, share / share.sum()))
-        else:
-            docs.append((np.zeros(0, np.int32), np.zeros(0, np.float32)))
+            counted[w] = counted.get(w, 0) + 1
+        ids, owner = features(list(counted), buckets, shortest, longest)
+        share = np.bincount(ids, np.fromiter(counted.values(), float, count=len(counted))[owner], buckets) if counted else np.zeros(buckets)
+        flat = np.flatnonzero(share)
+        docs.append((flat.astype(np.int32), (share[flat] / max(1.0, share.sum())).astype(np.float32)))
     gold, steps = np.array(labels, np.int64), max(1, epochs * ((len(docs) + batch - 1) // batch))
     if len(gold):
         counts = np.bincount(gold, minlength=2)[:2] + 1.0
@@ -101,25 +103,33 @@ def train(texts: list, labels: list, buckets: int = 1 << 16, width: int = 10, ep
 
 
 class Scorer(dict):
-    """word -> (what it adds, its features); computed once a worker and model."""
+    """word -> what it adds, and as the imaginary part how many features it has; computed once a worker and model."""
 
     def __init__(self, model: Model):
-        self.adds, self.model = model.scores(), model
+        self.adds, self.model = model.scores().astype(np.float64), model
         self.bias = float(model.bias[1] - model.bias[0])
 
-    def __missing__(self, word: bytes) -> complex:
-        ids = features(word, len(self.adds), self.model.shortest, self.model.longest)
-        found = self[word] = complex(float(self.adds[ids].sum()), len(ids))
-        return found
-
-    def score(self, text: str | None) -> float:
+    def learn(self, words: set[bytes]) -> None:
         if len(self) > REMEMBER:
             self.clear()
-        total = sum(map(self.__getitem__, words_of(text)), 0j)
-        return 1 / (1 + np.exp(-np.clip(self.bias + (total.real / total.imag if total.imag else 0.0), -50, 50)))
-
-
-def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", learn_from=None, most: int = 12_000) -> DataFrame:
+        new = [w for w in words if w not in self]
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            ids, owner = features(part, len(self.adds), self.model.shortest, self.model.longest)
+            adds, count = np.bincount(owner, self.adds[ids], len(part)), np.bincount(owner, minlength=len(part))
+            self.update(zip(part, (adds + 1j * count).tolist(), strict=True))
+
+    def scores(self, texts: list) -> list[float]:
+        lists = [words_of(t) for t in texts]
+        distinct: set[bytes] = set()
+        distinct.update(*lists)
+        self.learn(distinct)
+        sums = np.array([sum(map(self.__getitem__, x), 0j) for x in lists], complex)
+        odds = self.bias + np.divide(sums.real, sums.imag, out=np.zeros(len(sums)), where=sums.imag > 0)
+        return (1 / (1 + np.exp(-np.clip(odds, -50, 50)))).tolist()
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", learn_from=None, most: int = 6_000) -> DataFrame:
     """(text, label): at most `most` labelled documents, those of smallest hash of the key; a document with
     several labels takes the largest. Only their keys, a bounded number, are broadcast."""
     rows = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull())
@@ -148,6 +158,6 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
             _scorers.clear()
             _scorers[mark] = Scorer(shared.value)
         own = _scorers[mark]
-        return {name: pa.array([float(own.score(t)) for t in texts], pa.float64())}
+        return {name: pa.array(own.scores(texts), pa.float64())}
 
     return add_columns(docs, text, make, f"{name} double")
