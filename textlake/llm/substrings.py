@@ -77,13 +77,14 @@ def _chunk_rows(docs: list[tuple[int, int, np.ndarray]], chunk: int, width: int,
     bucket = (h >> np.uint64(40)) % np.uint64(buckets)
     by = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[by], np.arange(buckets + 1, dtype=np.uint64))
-    table = (np.diff(ids, prepend=0).astype("<i8").tobytes(), _pack(starts))
-    yield chunk, chunk % buckets, None, None, None, *table, crcs.astype("<i8").tobytes()
+    table = lambda part: (np.diff(ids[part], prepend=0).astype("<i8").tobytes(), _pack(starts[part]))
+    yield chunk, chunk % buckets, None, None, None, *table(slice(None)), crcs.astype("<i8").tobytes()
     for b in range(buckets):
         own = by[cuts[b] : cuts[b + 1]]
         if len(own):
             first, later = own[~gone[own]], own[gone[own]]
-            yield chunk, b, h[first].astype("<u8").tobytes(), _pack(place[first]), _pack(place[later]), *table, None
+            seen = np.unique(np.searchsorted(starts, place[first], side="right") - 1)  # the documents that these windows start in
+            yield chunk, b, h[first].astype("<u8").tobytes(), _pack(place[first]), _pack(place[later]), *table(seen), None
 
 
 def _dense(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, place: np.ndarray) -> np.ndarray:
