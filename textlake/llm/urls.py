@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textlake.llm.shared import add_columns
+from textlake.llm.shared import Scratch, add_columns
 
 #: Words that mark unwanted hosts: the weak labels from which naive Bayes learns. A parameter of fit().
 SEEDS = ("adult", "ads", "bet", "bets", "casino", "cheap", "dating", "escort", "farm", "gambling", "jackpot", "loan", "loans", "lottery", "nude", "payday", "pharmacy", "pills", "poker", "porn", "replica", "sex", "slots", "spam", "track", "tracker", "viagra", "win", "xxx")
@@ -88,13 +88,26 @@ def _tokens(pages: DataFrame, words: dict[str, int]) -> DataFrame:
     return add_columns(pages.withColumn("_both", F.concat_ws("\n", "host", "path")), "_both", make, "tokens array<string>")
 
 
+def _frequent(counts: DataFrame, n: Column, most: int) -> DataFrame:
+    """Rows of the largest counts, all from some count on, at most `most`: how many rows a count has decides the
+    bound, so no task or driver sorts more than the distinct counts."""
+    left, least = most, 0
+    for r in counts.groupBy(n.alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("n")).toLocalIterator():
+        left -= r["rows"]
+        if left < 0:
+            least = r["n"] + 1
+            break
+    return counts.filter(n >= least)
+
+
 def fit(pages: DataFrame, url: str = "url", html: str = "html", seeds: tuple[str, ...] = SEEDS, vocabulary: int = 50_000) -> Model:
     """Learn from all pages. Both counts run in Spark over the whole table; the model holds at most `vocabulary`
-    words and 2 * `vocabulary` token counts, the most frequent (ties: the first by name)."""
+    words and 2 * `vocabulary` token counts, the most frequent."""
+    scratch = Scratch(pages.sparkSession)
     text = F.lower(F.regexp_replace(F.coalesce(html, F.lit("")), r"(?s)<(script|style).*?</\1>|<[^>]*>", " "))
     word = F.explode(F.expr(f"regexp_extract_all(_t, '[a-z]{{1,{LONGEST_WORD}}}', 0)")).alias("w")
-    counted = pages.select(text.alias("_t")).select(word).groupBy("w").count().filter("count > 1")
-    words = {r["w"]: r["count"] for r in counted.orderBy(F.desc("count"), "w").limit(vocabulary).collect()}
+    counted = scratch.cut(pages.select(text.alias("_t")).select(word).groupBy("w").count().filter("count > 1"))
+    words = {r["w"]: r["count"] for r in _frequent(counted, F.col("count"), vocabulary).collect()}
     for seed in seeds:
         words[seed] = max(words.get(seed, 0), 2)
     host, path = split_url(F.col(url))
@@ -102,7 +115,7 @@ def fit(pages: DataFrame, url: str = "url", html: str = "html", seeds: tuple[str
     labelled = rows.select("tokens", F.arrays_overlap("tokens", F.array(*map(F.lit, seeds))).alias("bad"))
     totals = {r["bad"]: r["n"] for r in labelled.groupBy("bad").agg(F.count("*").alias("n")).collect()}
     each = labelled.select("bad", F.explode("tokens").alias("t")).groupBy("t").agg(F.count_if("bad").alias("b"), F.count_if(~F.col("bad")).alias("g"))
-    found = each.orderBy(F.desc(F.col("b") + F.col("g")), "t").limit(2 * vocabulary).collect()
+    found = _frequent(scratch.cut(each), F.col("b") + F.col("g"), 2 * vocabulary).collect()
     bad, good = sum(r["b"] for r in found) + len(found) + 1, sum(r["g"] for r in found) + len(found) + 1
     odds = {r["t"]: math.log((r["b"] + 1) / bad) - math.log((r["g"] + 1) / good) for r in found}
     return Model(words, odds, math.log((totals.get(True, 0) + 1) / (totals.get(False, 0) + 1)), math.log(good / bad))
