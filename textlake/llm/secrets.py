@@ -285,7 +285,9 @@ def find(text: str, tagger: Tagger) -> tuple[list, list]:
 def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", most: int = 2_000, longest: int = 20_000) -> Model:
     """A model from a bounded sample: the `most` documents of smallest key hash with at most `longest` characters."""
     rows = docs.filter(F.length(text) <= longest).select(F.col(text).alias("text"), F.xxhash64(key).alias("_hash"), F.xxhash64(text).alias("_text"))
-    return train([r["text"] for r in rows.orderBy("_hash", "_text").limit(most).collect()])
+    picked = rows.select("_hash", "_text").distinct().orderBy("_hash", "_text").limit(most)  # hashes first: texts of the picked alone travel
+    found = rows.join(F.broadcast(picked), ["_hash", "_text"]).collect()
+    return train([t for _, _, t in sorted({(r["_hash"], r["_text"], r["text"]) for r in found})])
 
 
 _taggers: dict[str, Tagger] = {}
