@@ -147,7 +147,7 @@ def _nearest(k: int):
     return run
 
 
-def search(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", k: int = 10, sample: int = 8_192, parts: int | None = None, probes: float = 0.75, block: int = BLOCK) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", k: int = 10, sample: int = 8_192, parts: int | None = None, probes: float = 0.8, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest rows by Euclidean distance, as far as found.
 
     queries is a condition that picks the rows to search for. The index is learned on the `sample` rows of
@@ -171,7 +171,8 @@ def search(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: str
     good = good.filter(F.size("vector") == sizes["d"])
     if parts is None:
         parts = int(np.clip(2 ** round(np.log2(max(1, sizes["count"]) ** 0.5 / 6)), 8, 256))
-    rows = good.orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").toPandas()
+    picked = good.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)  # ids first: vectors of the picked alone travel
+    rows = good.join(F.broadcast(picked), "id").select("id", "vector").toPandas().sort_values("id", kind="stable").drop_duplicates("id")
     model = train(np.stack(rows["vector"].to_numpy()), parts)
     shared, parts = spark.sparkContext.broadcast(model), len(model.second_bias)
     reach = max(1, min(parts, int(np.ceil(parts * probes))))
