@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textlake.operators import german, sound, tagger, writing
+from textlake.operators import german, sound, tagger, wordformation, writing
 
 NOUNS = "lemma string, gender string, plural string, kind string, adjective string, degree string"
 
@@ -114,3 +114,33 @@ def test_tagger(spark):
     wrong = tagger.accuracy(tagger.tag(train, model)).filter("gold <> told").count()
     assert wrong == 0
     assert tagger.train(train.filter("id > 200"), "id").classes == []
+
+
+LEXICON = [("data", "noun", "Daten", "pl", "-"), ("flow", "noun", "Fluss", "m", "Flüsse"), ("security", "noun", "Sicherheit", "f", "-"), ("gap", "noun", "Lücke", "f", "Lücken"), ("rule", "noun", "Regel", "f", "Regeln"), ("execute", "verb", "aus|führen", "", ""), ("calculate", "verb", "berechnen", "", ""), ("linear", "adj", "linear", "", ""), ("happy", "adj", "glücklich", "", ""), ("power", "noun", "Kraft", "f", "Kräfte"), ("efficient", "adj", "effizient", "", "")]
+
+
+@pytest.mark.parametrize(
+    "word, pos, de, plural",
+    [
+        ("optimization", "noun", "Optimisierung", "Optimisierungen"),
+        ("Formalism", "noun", "Formalismus", "Formalismen"),
+        ("happiness", "noun", "Glücklichkeit", "Glücklichkeiten"),
+        ("dataflow", "noun", "Datenfluss", "Datenflüsse"),
+        ("security-gap", "noun", "Sicherheitslücke", "Sicherheitslücken"),
+        ("microflow", "noun", "Mikrofluss", "-"),
+        ("algorithmic", "adj", "algorithmisch", ""),
+        ("executable", "adj", "ausführbar", ""),
+        ("nonlinear", "adj", "nichtlinear", ""),
+        ("powerless", "adj", "kraftlos", ""),
+        ("rule-based", "adj", "regelbasiert", ""),
+        ("virtualize", "verb", "virtualisieren", ""),
+        ("communicate", "verb", "kommunizieren", ""),
+        ("recalculate", "verb", "wieder|berechnen", ""),
+        ("efficiently", "adv", "effizient", ""),
+        ("interactively", "adv", "interaktiv", ""),
+    ],
+)
+def test_guess(spark, word, pos, de, plural):
+    lexicon = spark.createDataFrame([(*e, i) for i, e in enumerate(LEXICON)], "en string, pos string, de string, gender string, plural string, rank int")
+    words = spark.createDataFrame([(word, pos), (word, pos), (None, "noun"), ("xy", "noun"), ("zzzz", "noun")], "en string, pos string")
+    assert [(r.de, r.plural) for r in wordformation.guess(words, lexicon).collect()] == [(de, plural)]

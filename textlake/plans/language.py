@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textlake.operators import german, sound, tagger, writing
+from textlake.operators import german, sound, tagger, wordformation, writing
 from textlake.plans.queries import query, table
 
 # Capitalised words of German documents stand in for nouns; their length picks gender, article and adjective.
@@ -74,3 +74,18 @@ def tagged_turns(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").filter("text is not null").select(F.concat_ws("/", "conv_id", "turn").alias("id"), words.alias("words")).withColumn("tags", F.transform("words", kind))
     model = tagger.train(turns, "id", passes=2, known=tagger.certain_words(turns))
     return tagger.accuracy(tagger.tag(turns, model))
+
+
+_RULES_SQL = ", ".join(f"({i}, '{e}', '{g}', '{m}', {c})" for i, (p, e, g, _, m, c) in enumerate(wordformation._pairs(wordformation.ENDINGS)) if p == "noun")
+
+
+@query(f"""WITH w AS (SELECT DISTINCT lower(x) AS en FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS x FROM documents) WHERE length(x) >= 3),
+r(place, suffix, german, more, confidence) AS (VALUES {_RULES_SQL}),
+f AS (SELECT en, suffix, german, more, confidence FROM w JOIN r ON ends_with(en, suffix) AND length(en) > length(suffix) + 2 QUALIFY row_number() OVER (PARTITION BY en ORDER BY place) = 1),
+g AS (SELECT *, left(en, length(en) - length(suffix)) AS stem FROM f),
+h AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(stem, 'c$', ''), 'c([eiy])', 'z\\1', 'g'), 'ck?', 'k', 'g') || CASE WHEN stem LIKE '%c' THEN 'k' ELSE '' END || german AS low FROM g)
+SELECT en, upper(substr(low, 1, 1)) || substr(low, 2) AS de, CAST(confidence AS DOUBLE) AS confidence FROM h""")
+def guessed_words(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("en")).withColumn("pos", F.lit("noun"))
+    lexicon = spark.createDataFrame([], "en string, pos string, de string, gender string, plural string, rank int")
+    return wordformation.guess(words, lexicon).select("en", "de", "confidence")
