@@ -90,6 +90,19 @@ def test_near_duplicates(docs, texts, none):
     assert not simhash.near_duplicates(none).count() and not simhash.drop_near_duplicates(none).count()
 
 
+def test_null_and_repeated_keys_stand_for_no_group(spark):
+    rng = random.Random(21)
+    say = lambda: " ".join(f"w{rng.randrange(900)}" for _ in range(60))
+    a, b, c, d, e = (say() for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (None, c), (7, d), (7, e), (7, e), (9, d), (None, d)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)
+    got = [(r.doc_id, r.text) for r in simhash.drop_near_duplicates(docs).collect()]
+    assert sorted(got, key=str) == sorted([(None, a), (None, b), (None, c), (7, d), (7, e)], key=str)
+    benchmark = spark.createDataFrame([(1, b), (2, d)], "item_id long, text string")
+    left = [(r.doc_id, r.text) for r in decontam.decontaminate(docs, benchmark).collect()]
+    assert sorted(left, key=str) == sorted([(None, a), (None, c), (7, e), (7, e)], key=str)
+
+
 def test_components_of_chains_and_hubs(spark):
     from textlake.llm.components import components
     from textlake.llm.shared import Scratch

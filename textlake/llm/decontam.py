@@ -76,6 +76,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """The documents that hold no benchmark item. A document is its key; rows with a null key are one."""
-    bad = overlaps(docs, benchmark, text, key, **options).select(F.col(key).alias("_bad")).distinct()
-    return docs.join(bad, F.col(key).eqNullSafe(F.col("_bad")), "left_anti")
+    """The documents that hold no benchmark item. A document is its key and text: keys may be null or repeat."""
+    named = docs.withColumn("_doc", F.xxhash64(key, text))
+    bad = overlaps(named, benchmark, text, "_doc", **options).select(F.col("_doc").alias("_bad")).distinct()
+    return named.join(bad, F.col("_doc") == F.col("_bad"), "left_anti").select(*docs.columns)

@@ -65,15 +65,24 @@ def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
 
 
 def _classes(docs: DataFrame, text: str, key: str, shingle: int, max_bits: int) -> DataFrame:
-    """near_duplicates with _hash, a hash of each row's text."""
+    """near_duplicates with _hash, a hash of each row's text, and _root, the fingerprint that names its component."""
     scratch = Scratch(docs.sparkSession)
     hashed = docs.select(key, text, F.xxhash64(text).alias("_hash"))
     fps = scratch.cut(with_fingerprints(hashed, text, shingle).select(key, "_hash", "fp"))
     groups = scratch.cut(fps.groupBy("fp").agg(F.min(key).alias("least")))
     roots = components(links(groups.select("fp"), max_bits), scratch)
-    rooted = groups.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(rooted.join(ids, "root").select("fp", "component_id"), "fp")
+    rooted = groups.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("_root"))
+    ids = rooted.groupBy("_root").agg(F.min("least").alias("component_id"))
+    return fps.join(rooted.join(ids, "_root").select("fp", "_root", "component_id"), "fp")
+
+
+def _first_of_each(docs: DataFrame, classes: DataFrame, text: str, key: str) -> DataFrame:
+    """One row of docs for each _root of classes(key, _hash, _root): least key, nulls last, then least text hash."""
+    order = F.struct(F.col(key).isNull(), F.col(key).alias("_key"), F.col("_hash").alias("_keep"))
+    keep = classes.groupBy("_root").agg(F.min(order).alias("_least")).select("_root", "_least._key", "_least._keep")
+    met = docs.join(keep, F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(text) == F.col("_keep")))
+    first = F.row_number().over(Window.partitionBy("_root").orderBy("_keep"))
+    return met.withColumn("_rank", first).filter("_rank = 1").select(*docs.columns)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3, max_bits: int = 2) -> DataFrame:
@@ -87,13 +96,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """One document of each group of near-duplicates: the one whose key is the component's id.
+    """One document of each component: the one of the least key (nulls last), then of the least text hash.
 
-    Of rows that repeat that key, the first by the text's hash stays. A component in which all keys are
-    null keeps none of its own: such rows cannot be told apart, so one row with a null key stays for all.
+    A component is told by its root fingerprint, not by a key: keys may be null or repeat across components.
     """
-    found = _classes(docs, text, key, shingle, max_bits)
-    keep = found.filter(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col(key).alias("_key")).agg(F.min("_hash").alias("_keep"))
-    met = docs.join(keep, F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(text) == F.col("_keep")))
-    first = F.row_number().over(Window.partitionBy("_key").orderBy("_keep"))
-    return met.withColumn("_rank", first).filter("_rank = 1").select(*docs.columns)
+    return _first_of_each(docs, _classes(docs, text, key, shingle, max_bits), text, key)
