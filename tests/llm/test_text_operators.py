@@ -11,7 +11,7 @@ import tiktoken
 import xxhash
 from tokenizers import Tokenizer, models
 
-from textlake.llm import bpe, decontam, langid, quality, queries, secrets, simhash, substrings, tokencount
+from textlake.llm import bpe, decontam, jaccard, langid, quality, queries, secrets, simhash, substrings, tokencount
 from textlake.llm.shared import held_out
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -103,6 +103,36 @@ def test_null_and_repeated_keys_stand_for_no_group(spark):
     assert sorted(left, key=str) == sorted([(None, a), (None, c), (7, e), (7, e)], key=str)
 
 
+def test_jaccard_near_duplicates_equal_brute_force(spark, docs, none):
+    import corpus_pipeline
+
+    rng = random.Random(22)
+    made = [None, "", " ", "one two", "One  two", "a b c d e", "a b c d f"]
+    for _ in range(12):
+        base = [f"w{rng.randrange(2000)}" for _ in range(150)]
+        made.append(" ".join(base))
+        for n in (1, 2, 3, 4, 6, 9):
+            out = list(base)
+            for i in rng.sample(range(150), n):
+                out[i] = f"x{rng.randrange(9999)}"
+            made.append(" ".join(out))
+    rng.shuffle(made)
+
+    def near(a, b):
+        a, b = ({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))} for w in (words((t or "").lower()) for t in (a, b)))
+        return len(a & b) >= 0.8 * len(a | b)
+
+    root = list(range(len(made)))
+    for i in root[:]:
+        for j in range(i):
+            if near(made[i], made[j]) and root[i] != root[j]:
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    rows = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(made)], DOCS)
+    got = {r.doc_id for r in corpus_pipeline.one_of_each(spark, rows, "").collect()}
+    assert got == set(root) and len(got) < len(made) - 30
+    assert jaccard.drop_near_duplicates(docs).columns == docs.columns and not jaccard.drop_near_duplicates(none).count()
+
+
 def test_components_of_chains_and_hubs(spark):
     from textlake.llm.components import components
     from textlake.llm.shared import Scratch

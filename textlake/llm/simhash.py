@@ -76,7 +76,7 @@ def _classes(docs: DataFrame, text: str, key: str, shingle: int, max_bits: int)
     return fps.join(rooted.join(ids, "_root").select("fp", "_root", "component_id"), "fp")
 
 
-def _first_of_each(docs: DataFrame, classes: DataFrame, text: str, key: str) -> DataFrame:
+def first_of_each(docs: DataFrame, classes: DataFrame, text: str, key: str) -> DataFrame:
     """One row of docs for each _root of classes(key, _hash, _root): least key, nulls last, then least text hash."""
     order = F.struct(F.col(key).isNull(), F.col(key).alias("_key"), F.col("_hash").alias("_keep"))
     keep = classes.groupBy("_root").agg(F.min(order).alias("_least")).select("_root", "_least._key", "_least._keep")
@@ -100,4 +100,4 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id
 
     A component is told by its root fingerprint, not by a key: keys may be null or repeat across components.
     """
-    return _first_of_each(docs, _classes(docs, text, key, shingle, max_bits), text, key)
+    return first_of_each(docs, _classes(docs, text, key, shingle, max_bits), text, key)
