@@ -298,6 +298,28 @@ def test_decontamination(spark, none):
     assert not decontam.overlaps(none, benchmark).count() and not decontam.overlaps(docs, benchmark.limit(0)).count()
 
 
+def test_short_items_are_found_wherever_their_words_differ(spark):
+    from itertools import combinations
+    from math import ceil
+
+    items = {n: [f"i{n}w{k}" for k in range(n)] for n in range(1, 16)}
+    made, want = [], set()
+    for n, item in items.items():
+        size = min(n, 13)
+        for changes in range(4):
+            for gone in combinations(range(n), changes):
+                agree = [k not in gone for k in range(n)]
+                best = max(sum(agree[s : s + size]) for s in range(n - size + 1))
+                if best >= ceil(0.8 * size - 1e-9):
+                    want.add((len(made), n, best))
+                made.append(["before", *["zzz" if k in gone else w for k, w in enumerate(item)], "after"])
+    docs = spark.createDataFrame([(i, " ".join(t), None, None, None) for i, t in enumerate(made)], DOCS)
+    benchmark = spark.createDataFrame([(n, " ".join(t)) for n, t in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.matched) for r in decontam.overlaps(docs, benchmark, shortest=1).collect()}
+    assert got == want
+    assert {i for _, i, _ in want} == set(items)
+
+
 def test_shuffled_benchmark_gives_the_same(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a b c d e f g h i j k l m n o", None, None, None)], DOCS)
     benchmark = spark.createDataFrame([(1, "c d e f g h i j k")], "item_id long, text string")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import ceil, comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Masks over word positions; 1: the word counts, 0: it may differ. Each run of 13 words with up to two
-#: substitutions holds a place where the second one fits.
+#: substitutions holds a place where one fits; masks_for() gives others for items that are too short for that.
 MASKS = ("11111", "11001011")
 #: Rows of benchmark seeds up to which they are broadcast; beyond it Spark shuffles both sides.
 BROADCAST_SEEDS = 200_000
@@ -17,6 +20,25 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
+def covers(masks: tuple[str, ...], size: int, changes: int) -> bool:
+    """Does a mask fit somewhere in `size` words, whichever `changes` of them differ?"""
+    placed = [{at + i for i, c in enumerate(m) if c == "1"} for m in masks for at in range(size - len(m) + 1)]
+    return all(any(p.isdisjoint(gone) for p in placed) for gone in combinations(range(size), changes))
+
+
+def masks_for(size: int, similar: float = 0.8, masks: tuple[str, ...] = MASKS) -> tuple[str, ...]:
+    """Masks one of which fits in `size` words in every way in which at least `similar` of them agree.
+
+    `masks` if they do; else the longest run of words that always stays whole, or for runs of two words
+    (five words, one changed) two masks of three words where those do.
+    """
+    changes = size - max(ceil(size * similar - 1e-9), 1)
+    run = "1" * -(-(size - changes) // (changes + 1))
+    tried = [masks, (run,)] if len(run) > 2 or not changes else [masks, ("111", "1101")]
+    small = comb(size, changes) <= 100_000
+    return next((m for m in tried if small and covers(m, size, changes)), (run,))
+
+
 def _seeds(hashes: Column, mask: str, number: int) -> Column:
     """Hash of the words that the mask keeps, at every position where it fits."""
     kept = [i for i, c in enumerate(mask) if c == "1"]
@@ -29,31 +51,45 @@ def _hashes(text: Column) -> Column:
     return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
-def _seeded(rows: DataFrame, text: str, masks: tuple[str, ...], *keep: str) -> DataFrame:
-    """One narrow row per seed: keep, the word where it starts, its hash."""
+def _seeded(rows: DataFrame, text: str, masks: tuple[str, ...], *keep: str, sizes: dict[str, list[int]] | None = None, window: int = 0) -> DataFrame:
+    """One narrow row per seed: keep, the word where it starts, its hash. sizes: the sizes of texts, at most
+    `window`, that a mask is for; all if not given."""
     hashed = rows.select(*keep, _hashes(F.col(text)).alias("hashes"))
     h = F.col("hashes")
-    fit = F.greatest(F.size(h) - len(masks[0]) + 1, F.lit(0))  # seeds of the first mask come first
-    every = hashed.select(*keep, fit.alias("fit"), F.concat(*[_seeds(h, m, i) for i, m in enumerate(masks)]).alias("seeds"))
+    meant = lambda m: F.least(F.size(h), F.lit(window)).isin(sizes[m]) if sizes else F.lit(True)
+    seeds = [F.when(meant(m), _seeds(h, m, i)).otherwise(F.array().cast("array<bigint>")) if sizes else _seeds(h, m, i) for i, m in enumerate(masks)]
+    # seeds of a mask follow those of the masks before it; before[i]: how many those are
+    before = [F.lit(0)]
+    for m in masks:
+        before.append(before[-1] + F.when(meant(m), F.greatest(F.size(h) - len(m) + 1, F.lit(0))).otherwise(0))
+    every = hashed.select(*keep, F.array(*before[:-1]).alias("before"), F.concat(*seeds).alias("seeds"))
     # outer: else Spark infers a filter on the seeds and pushes it below, where it computes them once more per element
-    placed = every.select(*keep, "fit", F.posexplode_outer("seeds").alias("place", "seed"))
-    return placed.select(*keep, F.when(F.col("place") >= F.col("fit"), F.col("place") - F.col("fit")).otherwise(F.col("place")).alias("at"), "seed")
+    placed = every.select(*keep, "before", F.posexplode_outer("seeds").alias("place", "seed"))
+    at = F.col("place")
+    for i in range(1, len(masks)):
+        at = F.when(F.col("place") >= F.col("before")[i], F.col("place") - F.col("before")[i]).otherwise(at)
+    return placed.select(*keep, at.alias("at"), "seed")
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", window: int = 13, similar: float = 0.8, masks: tuple[str, ...] = MASKS) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", window: int = 13, similar: float = 0.8, masks: tuple[str, ...] = MASKS, shortest: int = 5) -> DataFrame:
     """(key, item_key, matched, window, place): benchmark items that a document holds, one row per pair.
 
     Seeds of both sides meet in an equi-join, as narrow rows, which leaves the documents that have any and
     how far each item is shifted; there the item is laid over the document without gaps, and the pair counts if some `window` words in a row (an item with fewer: all of it) agree in at
     least `similar` of their places. matched is the largest number of such agreements, place the word of
-    the document where its window starts (the first of the best). Items of fewer than five words have no
-    seed and take no part, nor do null texts. Repeated rows of a key count once.
+    the document where its window starts (the first of the best). The masks follow from the sizes of the
+    items (masks_for), so that every such pair has a seed. Items of fewer than `shortest` words take no part,
+    nor do null texts. Repeated rows of a key count once.
     """
-    if len(masks) > 2:
-        raise ValueError("at most two masks")
     items = benchmark.filter(F.col(item_text).isNotNull()).select(F.col(item_key).alias("_item"), F.col(item_text).alias("_text"))
+    items = items.filter(F.size(words(F.col("_text"))) >= max(shortest, 1))
     known = items.select("_item", _hashes(F.col("_text")).alias("_words"))
-    seeds = _seeded(items, "_text", masks, "_item").withColumnsRenamed({"at": "_at"})
+    sizes: dict[str, list[int]] = {}
+    for (size,) in known.select(F.least(F.size("_words"), F.lit(window))).distinct().collect():
+        for mask in masks_for(size, similar, masks):
+            sizes.setdefault(mask, []).append(size)
+    masks = tuple(sorted(sizes, key=lambda m: (-len(m), m))) or masks
+    seeds = _seeded(items, "_text", masks, "_item", sizes=sizes, window=window).withColumnsRenamed({"at": "_at"})
     if seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
         known, seeds = F.broadcast(known), F.broadcast(seeds)
     rows = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
