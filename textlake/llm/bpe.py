@@ -11,7 +11,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from textlake.llm.shared import add_columns
+from textlake.llm.shared import SHORT, add_columns, fresh
 
 #: Distinct pieces whose encodings a worker remembers before it starts afresh.
 REMEMBER = 200_000
@@ -98,7 +98,9 @@ class ByteBPE:
             if ids is None:
                 if len(known) >= REMEMBER:
                     known.clear()
-                ids = known[piece] = self.encode_piece(piece.encode("utf-8", "surrogatepass"))
+                ids = self.encode_piece(piece.encode("utf-8", "surrogatepass"))
+                if len(piece) <= SHORT:
+                    known[piece] = ids
             out += ids
         return out
 
@@ -116,7 +118,9 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", decoded
     """Append token_ids array<int> and n_tokens long; with decoded, also the bytes that the ids decode to.
 
     Every match of pattern is encoded by itself, special tokens are ordinary text, and ids are those of the
-    plain merges. Null texts count as empty: no ids. The rank file must be readable on every executor.
+    plain merges. Null texts count as empty: no ids; a text of any length is encoded whole. Columns named
+    token_ids, n_tokens or decoded are replaced, others pass; no rows give no rows, repeated rows stay. The
+    rank file must be readable on every executor.
     """
 
     def make(texts: list) -> dict[str, pa.Array]:
@@ -145,5 +149,6 @@ def decode(docs: DataFrame, path: str, pattern: str, ids: str = "token_ids") ->
         own = coder(path, pattern)
         return {"decoded": pa.array([None if x is None else own.decode([int(i) for i in x.split()]) for x in lists], pa.binary())}
 
-    joined = docs.withColumn("_ids", F.array_join(F.col(ids).cast("array<string>"), " "))
-    return add_columns(joined, "_ids", make, "decoded binary").drop("_ids")
+    own = fresh(docs.columns, "_ids")
+    joined = docs.withColumn(own, F.array_join(F.col(ids).cast("array<string>"), " "))
+    return add_columns(joined, own, make, "decoded binary").drop(own)

@@ -21,7 +21,7 @@ SPACE = 32
 def _fold() -> np.ndarray:
     """Code point -> its lower case if that is one code point, letters and marks; anything else -> a space."""
     table = np.full(0x110000, SPACE, np.uint32)
-    for c in range(0x30000):
+    for c in (*range(0x40000), *range(0xE0000, 0xE0200)):  # no other plane has letters or marks
         if 0xD800 <= c < 0xE000:
             continue
         ch = chr(c)
@@ -163,7 +163,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     lang_pred is the language of the largest share (ties: the first by name), score that share, and
     languages the chosen set, largest share first, joined by commas. A null text, one without letters and a
-    model of no language give `und`, score 0 and an empty set.
+    model of no language give `und`, score 0 and an empty set. Texts are read whole. Columns of those names
+    are replaced, others pass; no rows give no rows, repeated rows get equal answers.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlake.llm.shared import add_columns
+from textlake.llm.shared import SHORT, add_columns
 
 #: Distinct words whose scores a worker remembers before it starts afresh.
 REMEMBER = 200_000
@@ -126,17 +126,24 @@ class Scorer(dict):
         self.learn(distinct)
         sums = np.array([sum(map(self.__getitem__, x), 0j) for x in lists], complex)
         odds = self.bias + np.divide(sums.real, sums.imag, out=np.zeros(len(sums)), where=sums.imag > 0)
+        for w in distinct:
+            if len(w) > SHORT:
+                del self[w]
         return (1 / (1 + np.exp(-np.clip(odds, -50, 50)))).tolist()
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", learn_from=None, most: int = 6_000) -> DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", learn_from=None, most: int = 6_000, longest: int = 100_000) -> DataFrame:
     """(text, label): at most `most` labelled documents, those of smallest hash of the key; a document with
-    several labels takes the largest. Only their keys, a bounded number, are broadcast."""
+    several labels takes the largest, one whose id repeats is a row for each different text. Only their keys, a
+    bounded number, are broadcast. Texts of more than `longest` characters are not learned from, which bounds
+    the sample in bytes too; all are scored."""
     rows = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull())
     if learn_from is not None:
         rows = rows.filter(learn_from)
     ids = rows.groupBy(key).agg(F.max(label).alias("_label")).orderBy(F.xxhash64(key), key).limit(most)
-    return docs.select(key, text).join(F.broadcast(ids), key).select(F.col(text).alias("text"), F.col("_label").cast("int").alias("label"))
+    found = docs.select(key, text).join(F.broadcast(ids), key)
+    found = found.filter(F.coalesce(F.length(text), F.lit(0)) <= longest)
+    return found.select(F.col(key).alias("_key"), F.col(text).alias("text"), F.col("_label").cast("int").alias("label")).distinct().select("text", "label")
 
 
 def fit(rows: DataFrame, **options) -> Model:
@@ -149,7 +156,10 @@ _scorers: dict[str, Scorer] = {}
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
-    """Append the probability of class 1. Null and empty texts get the prior's."""
+    """Append the probability of class 1. Null and empty texts get the prior's; texts are scored whole.
+
+    A column of that name is replaced, others pass; no rows give no rows, repeated rows get equal scores.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     mark = xxhash.xxh64_hexdigest(model.vectors.tobytes() + model.weights.tobytes() + model.bias.tobytes())
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from textlake.llm.shared import add_columns
+from textlake.llm.shared import SHORT, add_columns
 
 #: Distinct segments whose counts a worker remembers before it starts afresh.
 REMEMBER = 200_000
@@ -79,7 +79,9 @@ class UnigramCounter:
             if n is None:
                 if len(known) >= REMEMBER:
                     known.clear()
-                n = known[piece] = self.segment(piece)
+                n = self.segment(piece)
+                if len(piece) <= SHORT:
+                    known[piece] = n
             total += n
         return total
 
@@ -93,6 +95,9 @@ def counter(path: str) -> UnigramCounter:
 def count_tokens(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Append n_tokens long: pieces of the best unigram segmentation. Null and empty texts have none.
 
+    Texts are counted whole, whatever their length. A column n_tokens is replaced, others pass; no rows give
+    no rows, repeated rows stay.
+
     path names a sentencepiece model whose pieces and scores are the vocabulary; every executor must be
     able to read it.
     """
