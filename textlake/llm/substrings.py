@@ -15,26 +15,30 @@ from pyspark.sql import functions as F
 
 from textlake.llm.shared import add_columns, pieces, small_batches
 
-#: Odd multiplier of the rolling hash, modulo 2^64.
-BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Odd multipliers of the two rolling hashes, modulo 2^64.
+BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 #: Words whose windows a task hashes at once; a longer document makes a chunk of its own.
 CHUNK = 2_000_000
+#: Words of the corpus for each bucket: what one task judges, whatever the size of the input.
+BUCKET = 1_500_000
 LAST = 2**63 - 1
 
 
-def rolling(words: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of all windows of `width` word hashes, mixed so that any bits of them can pick a bucket."""
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Any bits of the result depend on all bits of h."""
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def rolling(words: np.ndarray, width: int, base: int = BASES[0]) -> np.ndarray:
+    """Rabin-Karp hashes of all windows of `width` word hashes: sums of word times base^-place, rolled on by
+    differences of running sums and brought to the window's start by base^place, all modulo 2^64."""
     size = len(words) - width + 1
     if size <= 0:
         return np.empty(0, np.uint64)
-    h = np.zeros(size, np.uint64)
-    for t in range(width):
-        h *= BASE
-        h += words[t : t + size]
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(29)
-    return h
+    powers = lambda b: np.cumprod(np.append(np.uint64(1), np.full(len(words) - 1, b, np.uint64)), dtype=np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers(pow(base, -1, 1 << 64)), dtype=np.uint64)])
+    return _mixed((sums[width:] - sums[:-width]) * powers(base)[:size])
 
 
 def _pack(rising: np.ndarray) -> bytes:
@@ -48,11 +52,13 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.int64)
 
 
-def _later(hashes: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """True where a hash also occurs at a smaller order (a tuple of equal orders counts as one place)."""
-    by = np.argsort(hashes, kind="stable")
+def _later(hashes: np.ndarray, order: np.ndarray, bucket: np.ndarray | None = None) -> np.ndarray:
+    """True where a hash (in its bucket) also occurs at a smaller order (a tuple of equal orders counts as one place)."""
+    by = np.argsort(hashes, kind="stable") if bucket is None else np.lexsort((bucket, hashes))
     same = np.zeros(len(by), bool)
     same[1:] = hashes[by[1:]] == hashes[by[:-1]]
+    if bucket is not None:
+        same[1:] &= bucket[by[1:]] == bucket[by[:-1]]
     starts = np.flatnonzero(~same)
     least = np.minimum.reduceat(order[by], starts) if len(starts) else order[:0]
     out = np.zeros(len(by), bool)
@@ -72,9 +78,9 @@ def _chunk_rows(docs: list[tuple[int, int, np.ndarray]], chunk: int, width: int,
     left = np.repeat(starts + sizes, sizes)[: len(h)] - np.arange(len(h))
     place = np.flatnonzero(left >= width)
     h = h[place]
+    bucket = rolling(_mixed(words), width, BASES[1])[place] % np.uint64(buckets)
     order = place if len(np.unique(ids)) == len(ids) else _dense(ids, starts, sizes, place)
-    gone = _later(h, order)
-    bucket = (h >> np.uint64(40)) % np.uint64(buckets)
+    gone = _later(h, order, bucket)
     by = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[by], np.arange(buckets + 1, dtype=np.uint64))
     table = lambda part: (np.diff(ids[part], prepend=0).astype("<i8").tobytes(), _pack(starts[part]))
@@ -145,9 +151,10 @@ def _judge(pdf: pd.DataFrame) -> pd.DataFrame:
         twice = by[np.append(same, False) | np.append(False, same)]  # entries whose hash other chunks have too
         ids, starts, places = (np.concatenate(x) for x in (ids, starts, places))
         rank = np.unique(np.stack([ids[twice], starts[twice]], 1), axis=0, return_inverse=True)[1].ravel() if len(twice) else twice
-        later = twice[_later(h[twice], rank)]
+        later = np.sort(twice[_later(h[twice], rank)])  # entries stand row by row
+        cuts = np.searchsorted(owner[later], np.arange(len(rows) + 1))
         for i, r in enumerate(rows.itertuples()):
-            found = np.sort(np.concatenate([places[later[owner[later] == i]], _unpack(r.gone)]))
+            found = np.sort(np.concatenate([places[later[cuts[i] : cuts[i + 1]]], _unpack(r.gone)]))
             if len(found):
                 out.append((r.chunk, _pack(found), None, None, None))
     return pd.DataFrame(out, columns=["chunk", "found", "doc_ids", "starts", "crcs"])
@@ -175,23 +182,27 @@ def _merge(width: int):
     return run
 
 
-def repeated_intervals(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 20, chunk_words: int = CHUNK) -> DataFrame:
+def repeated_intervals(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 20, chunk_words: int = CHUNK, bucket_words: int = BUCKET) -> DataFrame:
     """(_key, _crc, begins, ends): per document with any, the maximal intervals of words to remove.
 
     A window of `width` words goes if the same words also start earlier: in a document of smaller key, or
     earlier in the same one. A task hashes a chunk of documents and keeps for the shuffle only the first
     window of each hash, so a passage that a third of all documents hold reaches the judging task once a
-    chunk; the rest of its windows are already known to go and travel as places. Hashes are dealt by their
-    bits into buckets, each judged by one task; what is found returns to its chunk and is merged there.
-    The 64-bit hashes stand for the words. Rows that share a key: equal texts are one document, different
-    texts are told apart by a checksum, and windows at equal (key, start) don't count as earlier.
+    chunk; the rest of its windows are already known to go and travel as places. A second hash of other base
+    deals the windows into buckets, one for every `bucket_words` words of the corpus (six bytes of text count
+    as a word), each judged by one task; what is found returns to its chunk and is merged there. Windows are
+    taken as equal if bucket and 64-bit hash are: the more windows, the more bits decide, so that chance
+    equals stay unlikely at any size. A null key counts as the largest long. Rows that share a key: equal
+    texts are one document, different texts are told apart by a checksum, and windows at equal (key, start)
+    don't count as earlier.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string"))).alias("n")).first()["n"] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (6 * bucket_words)))
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("_key"), F.col(text).cast("string").alias("_text"))
     hashed = rows.mapInArrow(_hashed(width, buckets, chunk_words), SCHEMA)
-    found = hashed.groupBy("bucket").applyInPandas(_judge, "chunk long, found binary, doc_ids binary, starts binary, crcs binary")
+    found = hashed.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_judge, "chunk long, found binary, doc_ids binary, starts binary, crcs binary")
     merged = found.groupBy("chunk").applyInPandas(_merge(width), "_key long, _crc long, begins array<long>, ends array<long>")
     return merged.dropDuplicates(["_key", "_crc"])
 
@@ -200,14 +211,18 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", wid
     """Documents without the words that repeated windows cover.
 
     Appends n_words, n_removed (long), begins, ends (the removed intervals of word places) and kept (the
-    other words, joined by one space). Words are runs of anything but ASCII white space, unchanged. Null
-    texts have no words; a null key counts as the largest. One row per input row.
+    other words, joined by one space); columns of those names are replaced, others pass, whatever their
+    names. Words are runs of anything but ASCII white space, unchanged. Null texts have no words; a null key
+    counts as the largest. One row per input row; no rows give no rows.
     """
-    spans = repeated_intervals(docs, text, key, width, chunk_words)
-    keyed = docs.withColumns({"_k": F.coalesce(F.col(key).cast("long"), F.lit(LAST)), "_c": F.crc32(F.coalesce(text, F.lit("")).cast("binary"))})
-    met = keyed.join(spans, (F.col("_k") == F.col("_key")) & (F.col("_c") == F.col("_crc")), "left").drop("_k", "_c", "_key", "_crc")
-    coded = met.withColumn("_spans", F.concat_ws(" ", F.array_join(F.col("begins").cast("array<string>"), ","), F.array_join(F.col("ends").cast("array<string>"), ",")))
-    packed = coded.withColumn("_both", F.concat(F.col("_spans"), F.lit("\n"), F.coalesce(F.col(text), F.lit(""))))
+    spans = repeated_intervals(docs, text, key, width, chunk_words).withColumnsRenamed({"_key": "span_key", "_crc": "span_crc"})
+    made = ("n_words", "n_removed", "begins", "ends", "kept")
+    others = [c for c in docs.columns if c.lower() not in made]
+    own = [F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("own_key"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("own_crc")]
+    keyed = docs.select(F.struct(*others).alias("row"), F.col(text).cast("string").alias("body"), *own)
+    met = keyed.join(spans, (F.col("own_key") == F.col("span_key")) & (F.col("own_crc") == F.col("span_crc")), "left")
+    coded = F.concat_ws(" ", F.array_join(F.col("begins").cast("array<string>"), ","), F.array_join(F.col("ends").cast("array<string>"), ","))
+    packed = met.select("row", "begins", "ends", F.concat(coded, F.lit("\n"), F.coalesce("body", F.lit(""))).alias("both"))
 
     def make(texts: list) -> dict[str, pa.Array]:
         words_, removed, kept = [], [], []
@@ -217,10 +232,14 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", wid
             words_.append(len(words))
             if head:
                 begins, ends = ([int(x) for x in part.split(",")] for part in head.split(" "))
-                for a, b in zip(reversed(begins), reversed(ends), strict=True):
-                    del words[a:b]
+                at, left = 0, []
+                for a, b in zip(begins, ends, strict=True):
+                    left += words[at:a]
+                    at = b
+                words = left + words[at:]
             removed.append(words_[-1] - len(words))
             kept.append(b" ".join(words))
         return {"n_words": pa.array(words_, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string())}
 
-    return add_columns(packed, "_both", make, "n_words long, n_removed long, kept string").drop("_spans", "_both")
+    done = add_columns(packed, "both", make, "n_words long, n_removed long, kept string")
+    return done.select("row.*", "n_words", "n_removed", "begins", "ends", "kept")
