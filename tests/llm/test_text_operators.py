@@ -219,6 +219,61 @@ def test_secrets(spark, none):
     assert not secrets.scan(none, secrets.fit(none)).count()
 
 
+def test_spans_are_those_of_viterbi_over_every_line():
+    import numpy as np
+
+    rng, say = np.random.default_rng(9), random.Random(9)
+    pieces = ["\n", "\n", "token", "=", '"', "the", "a1b2c3d4e5f6a7b8", "AKIA99", "9" * 14, ",", "pwd", ":", "Zz9/+q" * 5]
+    for _ in range(300):
+        model = secrets.Model(rng.normal(-0.15, 0.25, (secrets.SLOTS, 3)) + [0, 0, rng.normal(0.1, 0.3)], rng.normal(0, 0.3, (3, 3)))
+        text = "".join(say.choice(pieces) + say.choice(["", " "]) for _ in range(say.randint(0, 40)))
+        want, at, file = [], 0, secrets.file_class(text)
+        for line in text.split("\n"):
+            tokens = list(secrets.TOKEN.finditer(line))
+            if tokens:
+                classes = np.array([secrets.token_class(m.group()) for m in tokens])
+                parts, context = secrets._tables()
+                c = [0, 0, *context[classes], 0]
+                e = np.array([model.emit[parts[k]].sum(0) + model.emit[secrets.OWN + c[i + 1]] + model.emit[secrets.OWN + secrets.CONTEXTS + c[i]] + model.emit[secrets.OWN + 2 * secrets.CONTEXTS + c[i + 3]] + model.emit[secrets.OWN + 3 * secrets.CONTEXTS + file] for i, k in enumerate(classes)])
+                tags = "".join("BIO"[t] for t in secrets.viterbi(e, model.move))
+                want += [(at + tokens[m.start()].start(), at + tokens[m.end() - 1].end()) for m in re.finditer("BI*", tags)]
+            at += len(line) + 1
+        assert secrets.Tagger(model).spans(text) == want
+
+
+def test_the_field_finds_planted_secrets_that_no_pattern_names(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = secrets.fit(docs, most=400)
+    rng, tagger = random.Random(10), secrets.Tagger(model)
+    found = planted = added = clean = 0
+    for (text,) in docs.filter("doc_id % 3 = 0 and text is not null").select("text").collect():
+        added += sum(kind == 3 for *_, kind in secrets.find(text, tagger)[1])
+        clean += 1
+        words_ = text.split(" ")
+        if len(words_) < 20:
+            continue
+        value = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(rng.choice([20, 28, 40])))
+        words_.insert(rng.randrange(len(words_)), rng.choice(["ssh_pass: ", "pwd=", "Authorization: Bearer ", 'db_credential = "', "", "PASSPHRASE='"]) + value)
+        with_secret = " ".join(words_)
+        start = with_secret.index(value)
+        base, every = secrets.find(with_secret, tagger)
+        assert set(base) <= set(every)
+        planted += 1
+        found += any(k == 3 and s <= start and e >= start + len(value) for s, e, k in every)
+    assert planted > 100 and found >= 0.95 * planted and added <= 0.01 * clean
+
+
+def test_added_spans_touch_no_base_span():
+    class Fixed:
+        def spans(self, text):
+            return [(0, 4), (4, 9), (12, 20), (40, 44), (50, 60)]
+
+    text = " " * 4 + "0123456789abcdef0" + " " * 10 + "AKIA" + "B" * 20 + " " * 10
+    base = secrets.base_spans(text)
+    want = [s for s in Fixed().spans("") if not any(a < s[1] and s[0] < b for a, b, _ in base)]
+    assert [s[:2] for s in secrets.find(text, Fixed())[1] if s[2] == 3] == want
+
+
 def test_viterbi_is_the_best_legal_path():
     import itertools
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -12,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlake.llm.shared import add_columns
+from textlake.llm.shared import SHORT, add_columns
 
 # The kinds of base spans, in this order; pattern, group that is measured, its least length.
 KINDS = ("assign", "access", "hex", "crf")
@@ -23,7 +24,11 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 WORDS = (b"passw", b"secret", b"token", b"api")
 
 TOKEN = re.compile(r"\n|[\w+/.\-]+|[=:]+|[^\w\s+/.\-=:]+")
-SECRET_WORD = re.compile(r"(?:password|passwd|pwd|secret|token|api_?key|credential|auth|key)$", re.I | re.A)
+SECRET_WORD = re.compile(r"(?:password|passwd|pwd|passphrase|secret|token|api_?key|credentials?|auth|authorization|bearer|key)$", re.I | re.A)
+#: Names that stand before a secret in altered training lines; no base pattern knows them.
+NAMES = ("pwd", "auth", "credential", "bearer", "passphrase", "access_key", "client_key", "Authorization", "db_auth", "signing-key", "conn", "value", "id", "DB_PWD")
+#: Alphabets that values are rewritten in, so that no base pattern is what makes a secret.
+ALPHABETS = ("0123456789ABCDEF", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, string.ascii_letters + string.digits + "_-")
 BEGIN, INSIDE, OUT = 0, 1, 2
 #: Distinct tokens whose classes a worker remembers before it starts afresh.
 REMEMBER = 200_000
@@ -120,14 +125,6 @@ class Model:
     emit: np.ndarray
     move: np.ndarray
 
-    def emissions(self, classes: np.ndarray, file: int) -> np.ndarray:
-        """Score of every tag at every token: own features, the two tokens before, the one after, the file."""
-        parts, context = _tables()
-        own = self.emit[parts].sum(1)
-        c = np.concatenate([[0, 0], context[classes], [0]])
-        e = own[classes] + self.emit[OWN + c[1:-2]] + self.emit[OWN + CONTEXTS + c[:-3]] + self.emit[OWN + 2 * CONTEXTS + c[3:]]
-        return e + self.emit[OWN + 3 * CONTEXTS + file]
-
 
 def viterbi(e: np.ndarray, move: np.ndarray) -> list[int]:
     """Best tags of one chain; ties prefer the lower tag number; INSIDE never opens a chain or follows OUT."""
@@ -148,38 +145,76 @@ def viterbi(e: np.ndarray, move: np.ndarray) -> list[int]:
     return out[::-1]
 
 
-def train(texts: list[str], epochs: int = 8, rate: float = 0.3, seed: int = 3) -> Model:
-    """Fit by stochastic gradient ascent on the log-likelihood of the lines' tags, which the fixed patterns give."""
+def altered(line: str, start: int, end: int, rng: np.random.Generator) -> tuple[str, int, int]:
+    """The line with the secret at start:end rewritten in another alphabet under another name or none; where it is then."""
+    letters = ALPHABETS[rng.integers(len(ALPHABETS))]
+    value = "".join(letters[i] for i in rng.integers(len(letters), size=int(rng.integers(16, 44))))
+    head = re.sub(r"""[\w.-]*["']?\s*[:=]?\s*["']?$""", "", line[:start], count=1)
+    kind = rng.integers(4)
+    name = NAMES[rng.integers(len(NAMES))] + ("=", ": ", " = ", ' = "', "='", ":")[rng.integers(6)] if kind else ""
+    return head + name + value + line[end:], len(head + name), len(head + name + value)
+
+
+def plain_value(line: str, start: int, end: int, rng: np.random.Generator) -> str:
+    """The line with an everyday word of its own in place of the secret: a name alone makes none."""
+    words = [w for w in re.findall(r"[^\W\d_]+", line[:start] + " " + line[end:])] or ["nothing"]
+    return line[:start] + words[rng.integers(len(words))] + line[end:]
+
+
+def training_lines(text: str, rng: np.random.Generator, clean: float = 0.15, altered_times: int = 2, around: int = 200) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(classes, tags) of lines to learn from.
+
+    The fixed patterns tag the values in a line. Each value is also learned `altered_times` over, rewritten
+    so that no fixed pattern finds it, and once replaced by a plain word and tagged OUT: shape and context
+    decide, not the patterns. `clean` is the share of lines without a secret that are kept. Of a line, up
+    to `around` characters on either side of the value are learned.
+    """
+    out = []
+
+    def add(line: str, values: list[tuple[int, int]]) -> None:
+        tokens = list(TOKEN.finditer(line))
+        tags = np.full(len(tokens), OUT)
+        for start, end in values:
+            inside = [i for i, m in enumerate(tokens) if m.start() < end and m.end() > start]
+            tags[inside] = INSIDE
+            tags[inside[:1]] = BEGIN
+        if tokens:
+            out.append((np.array([token_class(m.group()) for m in tokens], np.int64), tags))
+
+    at = 0
+    found = [(ASSIGN.match(text, s).start(2) if kind == 0 else s, e) for s, e, kind in base_spans(text)]
+    for line in text.split("\n"):
+        values = sorted({(s - at, e - at) for s, e in found if at <= s and e <= at + len(line)})
+        values = [v for i, v in enumerate(values) if not i or v[0] >= values[i - 1][1]]
+        for s, e in values:
+            lo = max(0, s - around)
+            lo = line.find(" ", lo, s) + 1 or s if lo else 0  # cut at a space
+            part = line[lo : e + around]
+            inside = [(a - lo, b - lo) for a, b in values if a >= lo and b <= e + around]
+            add(part, inside)
+            if len(inside) == 1:
+                for _ in range(altered_times):
+                    other, a, b = altered(part, *inside[0], rng)
+                    add(other, [(a, b)])
+                add(plain_value(part, *inside[0], rng), [])
+        if not values and rng.random() < clean:
+            add(line[: 10 * around], [])
+        at += len(line) + 1
+    return out
+
+
+def train(texts: list[str], epochs: int = 8, rate: float = 0.3, seed: int = 3, **options) -> Model:
+    """Fit by stochastic gradient ascent on the log-likelihood of the tags of training_lines()."""
     rng = np.random.default_rng(seed)
-    lines = []
     parts, context = _tables()
-    for text in texts:
-        spans, file = base_spans(text), file_class(text)
-        tokens = list(TOKEN.finditer(text))
-        tags = np.full(len(tokens), OUT)
-        for start, end, kind in spans:
-            value = ASSIGN.match(text, start).start(2) if kind == 0 else start
-            inside = [i for i, m in enumerate(tokens) if m.start() < end and m.end() > value]
-            for n, i in enumerate(inside):
-                tags[i] = BEGIN if n == 0 or tags[i] == BEGIN else INSIDE
-        classes = np.array([token_class(m.group()) for m in tokens], np.int64)
-        cuts = [-1, *[i for i, m in enumerate(tokens) if m.group() == "\n"], len(tokens)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if b - a > 1:
-                line, gold = classes[a + 1 : b], tags[a + 1 : b]
-                if (gold != OUT).any() or rng.random() < 0.15:
-                    lo, hi = 0, len(line)
-                    if hi > 400:  # a training window of a long line, around a secret if it has one
-                        mid = int(np.flatnonzero(gold != OUT)[0]) if (gold != OUT).any() else 0
-                        lo, hi = max(0, mid - 200), mid + 200
-                    lines.append((line[lo:hi], gold[lo:hi], file))
+    lines = [(classes, tags, file) for text in texts for file in (file_class(text),) for classes, tags in training_lines(text, rng, **options)]
     emit, move = np.zeros((SLOTS, 3)), np.zeros((3, 3))
     for epoch in range(epochs):
         step = rate / (1 + epoch)
         for i in rng.permutation(len(lines)):
             line, gold, file = lines[i]
             n = len(line)
-            e = Model(emit, move).emissions(line, file) if n > 2000 else _emit(emit, parts, context, line, file)
+            e = _emit(emit, parts, context, line, file)
             top, legal = e.max(), np.exp(move)
             legal[OUT, INSIDE] = 0
             x = np.exp(e - top)
@@ -227,7 +262,8 @@ class Tagger(dict):
         parts, self.context = _tables()
         self.own = model.emit[parts].sum(1)
         self.gain = self.own[:, :2].max(1) - self.own[:, OUT]
-        # no path through a token beats OUT unless the token's lead plus what two moves can add is positive
+        # a tagged token takes part in two moves at most, so if no token's lead over OUT and two best moves
+        # together reach nought, nor does any tagging of the line
         self.reach = 2 * max(0.0, float((model.move - model.move[OUT, OUT]).max()))
         self.newline = token_class("\n")
         lead = lambda at, n: model.emit[at : at + n, :2].max(1) - model.emit[at : at + n, OUT]
@@ -235,9 +271,18 @@ class Tagger(dict):
         self.files = lead(OWN + 3 * CONTEXTS, FILES)
 
     def __missing__(self, token: str) -> int:
-        found = self[token] = token_class(token)
+        found = token_class(token)
+        if len(token) <= SHORT:
+            self[token] = found
         return found
 
+    def leads(self, classes: np.ndarray, file: int) -> np.ndarray:
+        """Of every token, the most by which a tag beats OUT; contexts stop at line ends, as in decoding."""
+        ends = classes == self.newline
+        c = np.concatenate([[0, 0], np.where(ends, 0, self.context[classes]), [0]])
+        second = np.where(np.concatenate([[False], ends[:-1]]), 0, c[:-3])
+        return self.gain[classes] + self.reach + self.around[0][c[1:-2]] + self.around[1][second] + self.around[2][c[3:]] + self.files[file]
+
     def spans(self, text: str) -> list[tuple[int, int]]:
         """(start, end) of every run BEGIN INSIDE* in the best tags of each line."""
         if len(self) > REMEMBER:
@@ -246,22 +291,18 @@ class Tagger(dict):
         if not tokens:
             return []
         classes = np.fromiter(map(self.__getitem__, tokens), np.int32, count=len(tokens))
-        lead = self.gain[classes] + self.reach
-        most = lead.max() + sum(float(x.max()) for x in self.around) + float(self.files.max())
-        if most <= 0:
+        most = self.gain[classes].max() + self.reach + sum(float(x.max()) for x in self.around) + float(self.files.max())
+        if most < 0:
             return []
         file = file_class(text)
-        c = np.concatenate([[0, 0], self.context[classes], [0]])
-        lead += self.around[0][c[1:-2]] + self.around[1][c[:-3]] + self.around[2][c[3:]] + self.files[file]
-        maybe = np.flatnonzero((lead > 0) & (classes != self.newline))
+        maybe = np.flatnonzero((self.leads(classes, file) >= 0) & (classes != self.newline))
         if not len(maybe):
             return []
         ends = np.append(np.flatnonzero(classes == self.newline), len(classes))
         matches, out = list(TOKEN.finditer(text)), []
         for line in np.unique(np.searchsorted(ends, maybe)):
             a, b = (ends[line - 1] + 1 if line else 0), ends[line]
-            own = classes[a:b]
-            tags = viterbi(_emit(self.model.emit, _tables()[0], self.context, own, file), self.model.move)
+            tags = viterbi(_emit(self.model.emit, _tables()[0], self.context, classes[a:b], file), self.model.move)
             start = None
             for i, tag in enumerate([*tags, OUT]):
                 if start is not None and tag != INSIDE:
@@ -275,19 +316,26 @@ class Tagger(dict):
 def find(text: str, tagger: Tagger) -> tuple[list, list]:
     """(base spans, all spans): the field's spans are added where they don't touch a base span."""
     base = base_spans(text)
-    extra, taken = [], [(s, e) for s, e, _ in base]
-    for start, end in tagger.spans(text):
-        if not any(s < end and start < e for s, e in taken):
+    extra, i, reached = [], 0, -1
+    for start, end in tagger.spans(text):  # by start, as the base spans are
+        while i < len(base) and base[i][0] <= start:
+            reached = max(reached, base[i][1])
+            i += 1
+        if reached <= start and (i == len(base) or base[i][0] >= end):
             extra.append((start, end, 3))
     return base, sorted([*base, *extra], key=lambda s: (s[0], s[2]))
 
 
 def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", most: int = 2_000, longest: int = 20_000) -> Model:
-    """A model from a bounded sample: the `most` documents of smallest key hash with at most `longest` characters."""
+    """A model from a bounded sample: the `most` documents of smallest key hash with at most `longest` characters.
+
+    It learns from training_lines() of them. All texts are scanned, whatever their length. No rows give a
+    model that tags nothing.
+    """
     rows = docs.filter(F.length(text) <= longest).select(F.col(text).alias("text"), F.xxhash64(key).alias("_hash"), F.xxhash64(text).alias("_text"))
     picked = rows.select("_hash", "_text").distinct().orderBy("_hash", "_text").limit(most)  # hashes first: texts of the picked alone travel
-    found = rows.join(F.broadcast(picked), ["_hash", "_text"]).collect()
-    return train([t for _, _, t in sorted({(r["_hash"], r["_text"], r["text"]) for r in found})])
+    found = rows.join(F.broadcast(picked), ["_hash", "_text"]).dropDuplicates(["_hash", "_text"]).collect()
+    return train([r["text"] for r in sorted(found, key=lambda r: (r["_hash"], r["_text"]))])
 
 
 _taggers: dict[str, Tagger] = {}
@@ -298,6 +346,8 @@ def scan(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     redacted is the text with every span replaced by its kind in angle brackets; overlapping spans become
     one. Null texts count as empty; their redacted text stays null. Offsets are code points, ends exclusive.
+    Texts are scanned whole. Columns of those names are replaced, others pass; no rows give no rows, repeated
+    rows get equal answers.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     mark = xxhash.xxh64_hexdigest(model.emit.tobytes() + model.move.tobytes())
