@@ -48,6 +48,27 @@ def test_recall(vectors):
     assert np.mean(hits) >= 9
 
 
+def test_structured_vectors_need_few_parts(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(60, 16)) * 6
+    x = (centres[rng.integers(60, size=6000)] + rng.normal(size=(6000, 16))).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    model = ann.train(x[:3000].astype(float), 16)
+    assert ann.probes_needed(model, x[3000:].astype(float), 0.95) <= 3  # under a fifth of the parts
+    rows = ann.search(df, F.col("vec_id") % 100 == 0, parts=16, sample=3000, tune=2000).collect()
+    x = x.astype(np.float64)
+    hits = [len({r.vec_id for r in rows if r.query_id == q} & {i for i, _ in brute(x, q)}) for q in range(0, 6000, 100)]
+    assert np.mean(hits) >= 9
+
+
+def test_repeated_ids_other_lengths_and_clashing_names(spark):
+    schema = "vec_id long, embedding array<float>, id string, part int, near string"
+    rows = [(0, [0.0, 1.0]), (0, [0.0, 9.0]), (1, [0.0, 2.0]), (1, [0.0, 5.0]), (1, [0.0, 2.0]), (2, [3.0, 1.0]), (3, [1.0, 1.0, 1.0]), (100, [1.0, 1.0, 2.0])]
+    df = spark.createDataFrame([(*r, "x", 1, None) for r in rows], schema)
+    got = sorted(tuple(r) for r in ann.search(df, F.col("vec_id") % 100 == 0, probes=1.0).collect())
+    assert got == [(0, 1, 1, 1.0), (0, 2, 2, 3.0), (100, 1, 3, 1.0)]
+
+
 def test_small_and_empty_tables(spark):
     schema = "vec_id long, embedding array<float>, label int"
     assert not ann.search(spark.createDataFrame([], schema), F.lit(True)).count()

@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -123,75 +122,133 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(np.float64) if len(column) else np.empty((0, 0))
 
 
-def _nearest(k: int):
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """Queries and rows of one block -> each query's k best rows there, exact distances, ties to smaller ids."""
-        none = pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        if left.empty or right.empty:
-            return none
-        q, x = np.stack(left["vector"].to_numpy()).astype(np.float64), np.stack(right["vector"].to_numpy()).astype(np.float64)
-        ids, names = right["id"].to_numpy(np.int64), left["id"].to_numpy(np.int64)
-        by = np.argsort(ids, kind="stable")
-        x, ids = x[by], ids[by]
-        square, out = (x**2).sum(1), []
-        for a, name in zip(q, names, strict=True):
-            rough = square - 2 * (x @ a) + a @ a
-            rough[ids == name] = np.inf
-            last = np.partition(rough, k - 1)[k - 1] if len(rough) > k else np.inf
-            pick = np.flatnonzero((rough <= last + 1e-9 * (1 + square.max() + a @ a)) & (ids != name))
+def probes_needed(model: Model, x: np.ndarray, recall: float, k: int = 10) -> int:
+    """The fewest probed parts that find `recall` of the k nearest among rows x that the model has not seen.
+
+    Fewer rows than the table has lie farther apart, so the answer errs on the side of more parts.
+    """
+    parts = len(model.second_bias)
+    if len(x) < 2 or parts < 2:
+        return parts
+    order = np.argsort(-model.logits(x), axis=1, kind="stable")
+    graph = neighbour_graph(x, k)
+    rank = np.empty_like(order)
+    np.put_along_axis(rank, order, np.arange(parts)[None].repeat(len(x), 0), axis=1)
+    at = rank[np.arange(len(x))[:, None], order[graph, 0]]  # which probe of a row reaches the part of its neighbour
+    found = np.cumsum(np.bincount(at.ravel(), minlength=parts)) / at.size
+    return int(np.searchsorted(found, recall - 1e-12)) + 1
+
+
+def _top(q: np.ndarray, names: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, id, exact distance) arrays: each query's k best rows of x, ids rising, ties to smaller ids; a
+    repeated id counts once, by its nearest row."""
+    square, out = (x**2).sum(1), []
+    repeats = bool((ids[1:] == ids[:-1]).any())
+    for at in range(0, len(q), 64):
+        rough = square - 2 * (q[at : at + 64] @ x.T) + (q[at : at + 64] ** 2).sum(1)[:, None]
+        for a, name, row in zip(q[at : at + 64], names[at : at + 64], rough, strict=True):
+            row[ids == name] = np.inf
+            last = np.partition(row, k - 1)[k - 1] if len(row) > k and not repeats else np.inf
+            pick = np.flatnonzero((row <= last + 1e-9 * (1 + square.max() + a @ a)) & (ids != name))
             exact = np.sqrt(((x[pick] - a) ** 2).sum(1))
-            top = np.lexsort((ids[pick], exact))[:k]
-            out.append(pd.DataFrame({"query_id": np.full(len(top), name), "vec_id": ids[pick][top], "score": exact[top]}))
-        return pd.concat(out) if out else none
+            top = np.lexsort((ids[pick], exact))
+            if repeats:
+                top = top[np.sort(np.unique(ids[pick][top], return_index=True)[1])]
+            top = top[:k]
+            out.append((np.full(len(top), name), ids[pick][top], exact[top]))
+    return out
+
+
+FOUND = "query_id long, vec_id long, score double"
+
+
+def _nearest(k: int):
+    """Over rows (part, block, asks, id, vector) sorted so: the rows of a block, at most BLOCK or so, are held,
+    the queries that follow them stream by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, ids = None, [], []
+        for batch in batches:
+            part, block, asks, names = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            new = np.flatnonzero((np.diff(part) != 0) | (np.diff(block) != 0) | (np.diff(asks) != 0)) + 1
+            out = []
+            for a, b in zip([0, *new], [*new, batch.num_rows], strict=True):
+                if (part[a], block[a]) != now:
+                    now, held, ids = (part[a], block[a]), [], []
+                vectors = _matrix(batch.column(4).slice(a, b - a))
+                if not asks[a]:
+                    held.append(vectors)
+                    ids.append(names[a:b])
+                elif held:
+                    held, ids = [np.concatenate(held)], [np.concatenate(ids)]
+                    out += _top(vectors, names[a:b], held[0], ids[0], k)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def search(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", k: int = 10, sample: int = 8_192, parts: int | None = None, probes: float = 0.8, block: int = BLOCK) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", k: int = 10, sample: int = 8_192, parts: int | None = None, probes: float | None = None, recall: float = 0.95, tune: int = 4_096, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest rows by Euclidean distance, as far as found.
 
     queries is a condition that picks the rows to search for. The index is learned on the `sample` rows of
     smallest key hash: their neighbour graph is cut into balanced parts and a small classifier trained on
-    them; then every row enters the classifier's best part, and a query looks into the most probable parts,
-    `probes` of them by share, whose rows are compared exactly. Rows without a usable vector, or whose
-    length isn't the most common one, take no part. Rows that repeat a key are separate candidates, but
-    none of them is its own query's.
-
-    parts defaults to a sixth of the root of the number of rows, a power of two from 8 to 256. A part larger
-    than `block` rows, such as one with many copies of a vector, is dealt to several tasks, each of which
-    sees all its queries. The model and the parts' sizes reach the driver; both are bounded by `parts`.
+    them; then every row enters the classifier's best part, and a query looks into its most probable parts,
+    whose rows are compared exactly. How many is found out on the next `tune` rows by key hash (of a small
+    table, on a quarter of it), which the classifier has not seen: the fewest that reach `recall` there, so vectors with clusters need few parts
+    and vectors without structure many. probes, a share of the parts, overrules it.
+
+    Vectors null, empty, zero or with null or non-finite components take no part. Vectors of another length
+    than the commonest are compared with all of their own length. Rows that repeat a key are candidates that
+    count once, by the nearest; as queries they ask once, with the least vector. No rows give no rows; other
+    columns are not looked at, whatever their names.
+
+    parts defaults to a sixth of the root of the number of rows, a power of two from 8 to 1,024. A part
+    larger than `block` rows, such as one with many copies of a vector, is dealt to several tasks, each of
+    which sees all its queries, a batch at a time. The sample, the model and the parts' sizes reach the
+    driver; all are bounded by the parameters.
     """
     spark = vectors.sparkSession
     small_batches(spark)
     scratch = Scratch(spark)
-    good = vectors.filter(usable(F.col(vector)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), queries.alias("asks"))
+    good = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), F.coalesce(queries, F.lit(False)).alias("asks"))
+    good = good.filter(usable(F.col("vector")) & F.col("id").isNotNull())
     sizes = good.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if sizes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    good = good.filter(F.size("vector") == sizes["d"])
+    width = sizes["d"]
     if parts is None:
-        parts = int(np.clip(2 ** round(np.log2(max(1, sizes["count"]) ** 0.5 / 6)), 8, 256))
-    picked = good.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)  # ids first: vectors of the picked alone travel
-    rows = good.join(F.broadcast(picked), "id").select("id", "vector").toPandas().sort_values("id", kind="stable").drop_duplicates("id")
-    model = train(np.stack(rows["vector"].to_numpy()), parts)
+        parts = int(np.clip(2 ** round(np.log2(max(1, sizes["count"]) ** 0.5 / 6)), 8, 1_024))
+    same = good.filter(F.size("vector") == width)
+    picked = same.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample + tune)  # ids first: vectors of the picked alone travel
+    rows = same.join(F.broadcast(picked), "id").groupBy("id").agg(F.min("vector").alias("vector")).withColumn("order", F.xxhash64("id")).toPandas().sort_values(["order", "id"])
+    chosen = np.stack(rows["vector"].to_numpy())
+    seen = min(sample, max(1, len(chosen) * 3 // 4))
+    model = train(chosen[:seen], parts)
     shared, parts = spark.sparkContext.broadcast(model), len(model.second_bias)
-    reach = max(1, min(parts, int(np.ceil(parts * probes))))
+    reach = probes_needed(model, chosen[seen:], recall, k) if probes is None else int(np.ceil(parts * probes))
+    reach = max(1, min(parts, reach))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            z = shared.value.logits(_matrix(batch.column(1)))
-            order = np.argsort(-z, axis=1, kind="stable")[:, :reach].astype(np.int32)
-            asks = batch.column(2).to_pylist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([o.tolist() if a else o[:1].tolist() for o, a in zip(order, asks, strict=True)], pa.list_(pa.int32()))], names=["id", "vector", "asks", "near"])
+            column, asks = batch.column(1), batch.column(2).to_pylist()
+            sizes = np.diff(column.offsets.to_numpy())
+            near = [[-int(d)] for d in sizes]
+            at = np.flatnonzero(sizes == width)
+            order = np.argsort(-shared.value.logits(_matrix(column.take(pa.array(at)))), axis=1, kind="stable")[:, :reach] if len(at) else []
+            for i, o in zip(at, order, strict=True):
+                near[i] = o.tolist() if asks[i] else o[:1].tolist()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.list_(pa.int32()))], names=["id", "vector", "asks", "near"])
 
     placed = scratch.cut(good.mapInArrow(place, "id long, vector array<double>, asks boolean, near array<int>"))
-    counts = {r["p"]: r["n"] for r in placed.groupBy(F.get("near", F.lit(0)).alias("p")).agg(F.count("*").alias("n")).collect()}
+    first = F.get("near", F.lit(0))
+    counts = {r["p"]: r["n"] for r in placed.groupBy(first.alias("p")).agg(F.count("*").alias("n")).collect()}
     blocks = F.create_map(*[F.lit(x) for p, n in counts.items() for x in (p, max(1, -(-n // block)))])
     pick = lambda p: F.coalesce(F.element_at(blocks, p), F.lit(1))
-    first = F.get("near", F.lit(0))
-    right = placed.select("id", "vector", first.alias("part"), F.pmod(F.xxhash64("id"), pick(first).cast("long")).cast("int").alias("block"))
-    asked = placed.filter("asks").select("id", "vector", F.explode("near").alias("part"))
-    left = asked.select("id", "vector", "part", F.explode(F.sequence(F.lit(0), pick(F.col("part")) - 1)).alias("block"))
-    found = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(_nearest(k), "query_id long, vec_id long, score double")
+    rows = placed.select(first.alias("part"), F.pmod(F.xxhash64("id"), pick(first).cast("long")).cast("int").alias("block"), F.lit(0).alias("asks"), "id", "vector")
+    asked = placed.filter("asks").groupBy("id").agg(F.min(F.struct("vector", "near")).alias("least")).select("id", "least.vector", F.explode("least.near").alias("part"))
+    dealt = asked.select("part", F.explode(F.sequence(F.lit(0), pick(F.col("part")) - 1)).alias("block"), F.lit(1).alias("asks"), "id", "vector")
+    met = rows.union(dealt).repartition("part", "block").sortWithinPartitions("part", "block", "asks", "id")
+    found = met.mapInArrow(_nearest(k), FOUND).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
