@@ -106,16 +106,62 @@ def test_urls(spark):
     assert not urls.judge(empty, urls.fit(empty), RULES).count()
 
 
-def test_segmentation_is_the_likeliest():
+def brute_split(name, counts):
+    """Every cut of a name; least cost, then fewer words, then the longer last word."""
     import itertools
-
-    s = urls.Splitter({"free": 50, "bets": 20, "be": 5, "ts": 5, "f": 1})
-    assert s["freebets"] == ("free", "bets")
-    for name in ("freebe", "tsfree", "xfree"):
-        cuts = itertools.chain.from_iterable(itertools.combinations(range(1, len(name)), n) for n in range(len(name)))
-        cost = lambda ws: sum(s.cost.get(w, s.unknown[len(w)]) for w in ws)
-        every = [[name[a:b] for a, b in zip((0, *c), (*c, len(name)), strict=True)] for c in cuts]
-        assert abs(cost(s[name]) - min(map(cost, every))) < 1e-9
+    from math import log
+
+    if name.isdigit():
+        return ["0"]
+    once = log(sum(counts.values()) + 1)
+    cost = lambda w: once - log(counts[w]) if w in counts else once + 3 * len(w)
+    cuts = itertools.chain.from_iterable(itertools.combinations(range(1, len(name)), n) for n in range(len(name)))
+    every = [[name[a:b] for a, b in zip((0, *c), (*c, len(name)), strict=True)] for c in cuts]
+    return min(every, key=lambda ws: (round(sum(map(cost, ws)), 9), len(ws), -len(ws[-1])))
+
+
+def test_segmentation_is_the_likeliest(spark):
+    counts = {"free": 50, "bets": 20, "be": 5, "ts": 5, "f": 1, "casino": 7, "win": 3}
+    words = spark.createDataFrame(list(counts.items()), "w string, n long")
+    names = ["freebets", "freebe", "tsfree", "xfree", "f", "winwin", "casinowin", "zzzz", "2024", "été"]
+    got = {r.part: r.words for r in urls.segmented(spark.createDataFrame([(n,) for n in names], "part string"), words, sum(counts.values()) + 1).collect()}
+    assert got == {n: brute_split(n, counts) for n in names} and got["freebets"] == ["free", "bets"]
+
+
+def test_bayes_equals_brute_force_and_reaches_beyond_its_seeds(spark):
+    from math import log
+
+    plain = [f"http://{w}.org/{t}/{i}" for i, w in enumerate(["river", "stone", "letter", "window", "garden"] * 8) for t in ("news", "about")]
+    bad = [f"http://{w}.org/offer/{i}" for i, w in enumerate(["casinofarm", "farm-casino", "pokerfarm"] * 5)] + ["http://fine.org/casino/poker/9"]
+    odd = ["http://farm.org/offer/1", "http://farm.org/offer/77", "http://unheard.org/", None, "", "http://" + "stone" * 400 + ".org/x", "http://two\nlines.org/a\nb"]
+    rows = [(i, u, "<p>river stone letter window garden casino farm poker news about offer org fine</p>", "x", 1.0) for i, u in enumerate([*plain, *bad, *odd, plain[0]])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, HOST string, block_odds double")
+    model = urls.fit(pages, seeds=("casino", "poker"), rounds=0)
+    got = urls.judge(pages, model, [])
+    assert got.columns == ["page_id", "url", "html", "host", "path", "rule", "verdict", "block_odds"]
+    got = {r.page_id: r for r in got.collect()}
+    counts = {r.w: r.n for r in model.words.collect()}
+    import re
+
+    def tokens(u):
+        _, mark, rest = (u or "").partition("://")
+        host, path = re.match(r"([^/?#]*)([^?#]*)", rest if mark else "").groups()
+        return [m + w for m, t in (("", host.lower()), ("/", path.lower())) for p in re.findall("[a-z]+|[0-9]+", t) for w in (brute_split(p, counts) if len(p) < 16 else ["stone"] * 400)]
+
+    bags = {r[0]: tokens(r[1]) for r in rows}
+    label = {i: any(t.lstrip("/") in ("casino", "poker") for t in b) for i, b in bags.items()}
+    vocabulary = {t for b in bags.values() for t in b}
+    n = {side: {t: 1 + sum(b.count(t) for i, b in bags.items() if label[i] == side) for t in vocabulary} for side in (True, False)}
+    total = {side: sum(n[side].values()) + 1 for side in n}
+    prior = log((sum(label.values()) + 1) / (len(label) - sum(label.values()) + 1))
+    for i, b in bags.items():
+        want = prior + sum(log(n[True][t] / total[True]) - log(n[False][t] / total[False]) for t in b)
+        assert got[i].block_odds == pytest.approx(want, abs=1e-9)
+        assert got[i].verdict == ("block" if want > 0 else "allow")
+    again = {r.page_id: r.verdict for r in urls.judge(pages, urls.fit(pages, seeds=("casino", "poker")), []).collect()}
+    first = len(plain) + len(bad)
+    assert again[first] == again[first + 1] == "block", "the seed word is gone, what came with it tells"
+    assert all(again[i] == "allow" for i in range(len(plain))) and again[first - 1] == "block"
 
 
 def test_pipeline(spark):
