@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 #: Masks over word positions; 1: the word counts, 0: it may differ. Each run of 13 words with up to two
 #: substitutions holds a place where one fits; masks_for() gives others for items that are too short for that.
 MASKS = ("11111", "11001011")
-#: Rows of benchmark seeds up to which they are broadcast; beyond it Spark shuffles both sides.
-BROADCAST_SEEDS = 200_000
+#: Rows of benchmark seeds, and words of items (eight bytes each), up to which both are broadcast; beyond
+#: either Spark shuffles both sides.
+BROADCAST_SEEDS, BROADCAST_WORDS = 200_000, 2_000_000
 
 
 def words(text: Column) -> Column:
@@ -75,11 +76,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str
     """(key, item_key, matched, window, place): benchmark items that a document holds, one row per pair.
 
     Seeds of both sides meet in an equi-join, as narrow rows, which leaves the documents that have any and
-    how far each item is shifted; there the item is laid over the document without gaps, and the pair counts if some `window` words in a row (an item with fewer: all of it) agree in at
-    least `similar` of their places. matched is the largest number of such agreements, place the word of
+    how far each item is shifted; there the item is laid over the document without gaps, and the pair counts
+    if some `window` words in a row (an item with fewer: all of it) agree in at least `similar` of their places. matched is the largest number of such agreements, place the word of
     the document where its window starts (the first of the best). The masks follow from the sizes of the
     items (masks_for), so that every such pair has a seed. Items of fewer than `shortest` words take no part,
-    nor do null texts. Repeated rows of a key count once.
+    nor do null texts; null keys are keys. Repeated rows of a key count once, different texts of a key as one.
+    If both tables call their key alike, the item's column gets `item_` before its name. Other columns are
+    not looked at, whatever their names; an empty table gives no rows. Documents of any length are searched
+    whole: all shifts of a document come together in one row, 12 bytes each.
     """
     items = benchmark.filter(F.col(item_text).isNotNull()).select(F.col(item_key).alias("_item"), F.col(item_text).alias("_text"))
     items = items.filter(F.size(words(F.col("_text"))) >= max(shortest, 1))
@@ -90,13 +94,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str
             sizes.setdefault(mask, []).append(size)
     masks = tuple(sorted(sizes, key=lambda m: (-len(m), m))) or masks
     seeds = _seeded(items, "_text", masks, "_item", sizes=sizes, window=window).withColumnsRenamed({"at": "_at"})
-    if seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
+    n_words = known.agg(F.sum(F.size("_words") + 1).alias("n")).first()["n"] or 0
+    if n_words <= BROADCAST_WORDS and seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
         known, seeds = F.broadcast(known), F.broadcast(seeds)
     rows = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     met = _seeded(rows, "_text", masks, "_key").join(seeds, "seed").select("_key", "_item", (F.col("at") - F.col("_at")).alias("shift")).distinct()
     hits = met.groupBy(F.col("_key").alias("_of")).agg(F.collect_list(F.struct("_item", "shift")).alias("hits"))
     again = rows.join(hits, F.col("_key").eqNullSafe(F.col("_of"))).select("_key", _hashes(F.col("_text")).alias("hashes"), "hits")
-    each = again.select("_key", "hashes", F.inline_outer("hits")).join(known, "_item")
+    known = known.withColumnRenamed("_item", "_known")
+    each = again.select("_key", "hashes", F.inline_outer("hits")).join(known, F.col("_item").eqNullSafe(F.col("_known")))
     size = F.size("_words")
     low = F.greatest(F.col("shift"), F.lit(0))
     length = F.least(F.col("shift") + size, F.size("hashes")) - low
@@ -108,11 +114,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str
     # the condition stands after the grouping: pushed below, it would compute the sums anew for every place
     every = best.groupBy("_key", "_item").agg(F.max("matched").alias("matched"), F.max("window").alias("window"), F.min_by("place", F.struct(-F.col("matched"), "place")).alias("place"))
     top = every.filter(F.col("matched") >= F.ceil(F.col("window") * F.lit(similar) - F.lit(1e-9)))
-    return top.select(F.col("_key").alias(key), F.col("_item").alias(item_key), F.col("matched").cast("long"), F.col("window").cast("long"), "place")
+    item = item_key if item_key.lower() != key.lower() else f"item_{item_key}"
+    return top.select(F.col("_key").alias(key), F.col("_item").alias(item), F.col("matched").cast("long"), F.col("window").cast("long"), "place")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """The documents that hold no benchmark item. A document is its key and text: keys may be null or repeat."""
-    named = docs.withColumn("_doc", F.xxhash64(key, text))
-    bad = overlaps(named, benchmark, text, "_doc", **options).select(F.col("_doc").alias("_bad")).distinct()
-    return named.join(bad, F.col("_doc") == F.col("_bad"), "left_anti").select(*docs.columns)
+    """The documents that hold no benchmark item. A document is its key and text: keys may be null or repeat.
+
+    All columns pass, whatever their names; null and empty texts stay, and without items everything does.
+    """
+    named = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(key, text).alias("doc"), F.col(text).alias("body"))
+    bad = overlaps(named, benchmark, "body", "doc", **options).select(F.col("doc").alias("bad")).distinct()
+    return named.join(bad, F.col("doc") == F.col("bad"), "left_anti").select("row.*")

@@ -17,38 +17,45 @@ PIECES_FILE = "piece_bpe_32k.model"
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest vectors of every vector whose id is divisible by 100, among all others."""
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every whole document: base spans, and those the conditional random field adds."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.scan(docs, secrets.fit(docs))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole document, learned from the documents that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = langid.identify(docs, langid.fit(docs, ~held_out()))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "languages")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document: three-word shingles, links at two bits."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's url."""
     pages = table(spark, sf_dir, "pages")
     found = urls.judge(pages.select("page_id", "url"), urls.fit(pages), RULES)
     return found.select("page_id", "host", "path", "rule", "verdict", "block_odds")
 
 
 def op6_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram tokens of every whole document, counted only."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokencount.count_tokens(docs, public_tokenizers.path(PIECES_FILE)).select("doc_id", "n_tokens")
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every whole document's byte-level BPE ids and of what they decode to."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = bpe.encode(docs, public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN, decoded=True)
     ids = F.array_join(F.col("token_ids").cast("array<string>"), " ")
@@ -56,25 +63,30 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words that repeated windows of 20 words cover."""
     done = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.Model:
+    """The quality classifier, learned from labelled documents that are not held out."""
     return quality.fit(quality.training_rows(docs, table(spark, sf_dir, "labels"), learn_from=~held_out()))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every whole document, learned from labels that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = quality.score(docs, quality_model(spark, docs, sf_dir))
     return done.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
 
 
 def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a document and a benchmark item of any length that it holds."""
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), shortest=1)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that corpus_pipeline.run() makes of documents."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
@@ -90,11 +102,16 @@ each AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS p FROM w)
 kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS k FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
 
-# Of 13 places in a row at most two differ, so some four in a row agree: four words find every pair, then places are counted.
-DECONTAM_SQL = r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents), b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
-dg AS (SELECT doc_id, i, w[i:i + 3] AS g FROM d, range(1, len(w) - 2) t(i)), bg AS (SELECT item_id, i, w[i:i + 3] AS g FROM b, range(1, len(w) - 2) t(i)),
-c AS (SELECT DISTINCT doc_id, item_id, dg.i - bg.i AS shift FROM dg JOIN bg USING (g)),
-a AS (SELECT doc_id, item_id, shift, least(13, len(b.w)) AS size, j, CAST(d.w[j + shift] = b.w[j] AS INTEGER) AS same FROM c JOIN d USING (doc_id) JOIN b USING (item_id), range(1, len(b.w) + 1) t(j) WHERE j + shift BETWEEN 1 AND len(d.w)),
+# Where at most m of `size` places differ, some ceil((size - m) / (m + 1)) in a row agree: so many words find every
+# pair, whatever the item's size, then places are counted.
+DECONTAM_SQL = r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+s AS (SELECT item_id, w, least(13, len(w)) AS size, least(13, len(w)) - greatest(ceil(least(13, len(w)) * 0.8 - 1e-9), 1) AS m FROM b WHERE len(w) > 0),
+i AS (SELECT item_id, w, size, CAST(ceil((size - m) / (m + 1)) AS BIGINT) AS run FROM s),
+dg AS (SELECT doc_id, run, k, w[k:k + run - 1] AS g FROM d, (SELECT DISTINCT run FROM i), range(1, len(w) - run + 2) t(k)),
+bg AS (SELECT item_id, run, k, w[k:k + run - 1] AS g FROM i, range(1, len(w) - run + 2) t(k)),
+c AS (SELECT DISTINCT doc_id, item_id, dg.k - bg.k AS shift FROM dg JOIN bg USING (run, g)),
+a AS (SELECT doc_id, item_id, shift, size, j, CAST(d.w[j + shift] = i.w[j] AS INTEGER) AS same FROM c JOIN d USING (doc_id) JOIN i USING (item_id), range(1, len(i.w) + 1) t(j) WHERE j + shift BETWEEN 1 AND len(d.w)),
 m AS (SELECT doc_id, item_id, size, j + shift - 1 AS place, sum(same) OVER f AS matched, count(*) OVER f AS n FROM a WINDOW f AS (PARTITION BY doc_id, item_id, shift ORDER BY j ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, place) AS r FROM m WHERE n = size)
 SELECT doc_id, item_id, CAST(matched AS BIGINT) AS matched, CAST(size AS BIGINT) AS "window", CAST(place AS BIGINT) AS place FROM k WHERE r = 1 AND matched >= ceil(size * 0.8 - 1e-9)"""
