@@ -219,10 +219,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", wid
     made = ("n_words", "n_removed", "begins", "ends", "kept")
     others = [c for c in docs.columns if c.lower() not in made]
     own = [F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("own_key"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("own_crc")]
-    keyed = docs.select(F.struct(*others).alias("row"), F.col(text).cast("string").alias("body"), *own)
+    kept = text.lower() in [c.lower() for c in others]  # then the text travels in its row only
+    keyed = docs.select(F.struct(*others).alias("row"), *([] if kept else [F.col(text).alias("body")]), *own)
     met = keyed.join(spans, (F.col("own_key") == F.col("span_key")) & (F.col("own_crc") == F.col("span_crc")), "left")
     coded = F.concat_ws(" ", F.array_join(F.col("begins").cast("array<string>"), ","), F.array_join(F.col("ends").cast("array<string>"), ","))
-    packed = met.select("row", "begins", "ends", F.concat(coded, F.lit("\n"), F.coalesce("body", F.lit(""))).alias("both"))
+    body = (F.col("row")[text] if kept else F.col("body")).cast("string")
+    packed = met.select("row", "begins", "ends", F.concat(coded, F.lit("\n"), F.coalesce(body, F.lit(""))).alias("both"))
 
     def make(texts: list) -> dict[str, pa.Array]:
         words_, removed, kept = [], [], []
