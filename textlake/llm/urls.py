@@ -115,13 +115,14 @@ def _tokens(parts: DataFrame, words: DataFrame, total: int, scratch: Scratch) ->
     return parts.select("mark", "part").distinct().join(split, "part").select("mark", "part", "words", named.alias("tokens"))
 
 
-def _scores(parts: DataFrame, tokens: DataFrame, odds: DataFrame) -> DataFrame:
+def _scores(parts: DataFrame, tokens: DataFrame, odds: DataFrame, scratch: Scratch) -> DataFrame:
     """(host, path, score): sums of the odds of a unit's tokens. A token without odds adds nothing.
 
-    Odds are summed for each different part first: what meets the many pages is one number a part.
+    Odds are summed for each different part first: what meets the many pages is one number a part, from a
+    written table, so that Spark can split the join where a part, such as a common domain, has very many.
     """
     each = tokens.select("mark", "part", F.explode("tokens").alias("token")).join(odds, "token", "left")
-    summed = each.groupBy("mark", "part").agg(F.sum(F.coalesce("odds", F.lit(0.0))).alias("odds"))
+    summed = scratch.cut(each.groupBy("mark", "part").agg(F.sum(F.coalesce("odds", F.lit(0.0))).alias("odds")))
     return parts.join(summed, ["mark", "part"]).groupBy("host", "path").agg(F.sum("odds").alias("score"))
 
 
@@ -158,7 +159,7 @@ def fit(pages: DataFrame, url: str = "url", html: str = "html", seeds: tuple[str
     first = scratch.cut(parts.join(seeded, ["mark", "part"], "left_semi").select("host", "path").distinct())
     odds, prior = _learn(units, parts, tokens, first, scratch)
     for _ in range(rounds):
-        own = _scores(parts, tokens, odds).filter(F.col("score") + prior > 0).select("host", "path")
+        own = _scores(parts, tokens, odds, scratch).filter(F.col("score") + prior > 0).select("host", "path")
         odds, prior = _learn(units, parts, tokens, scratch.cut(first.union(own).distinct()), scratch)
     return Model(words, total, odds, prior)
 
@@ -177,7 +178,7 @@ def judge(pages: DataFrame, model: Model, rules: list[tuple[str, str]], url: str
     host, path = split_url(F.col(url))
     rows = pages.select(F.struct(*[c for c in pages.columns if c.lower() not in made]).alias("row"), host.alias("host"), path.alias("path"))
     parts = scratch.cut(_parts(_units(pages, url)))
-    scores = _scores(parts, _tokens(parts, model.words, model.total, scratch), model.odds)
+    scores = _scores(parts, _tokens(parts, model.words, model.total, scratch), model.odds, scratch)
     met = rows.join(scores, ["host", "path"], "left").withColumn("block_odds", F.coalesce("score", F.lit(0.0)) + model.prior)
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("block_odds") > 0, "block").otherwise("allow")
