@@ -156,8 +156,15 @@ def test_overlap_metrics(spark):
 
 def test_numbers(spark):
     assert [udfs.german_year(n) for n in (1954, 1100, 2021)] == ["neunzehnhundertvierundfünfzig", "elfhundert", "zweitausendeinundzwanzig"]
-    assert [udfs.german_cardinal(n) for n in (0, 1, 21, 101, 1001, 31000, 2_000_001)] == ["null", "eins", "einundzwanzig", "einhunderteins", "eintausendeins", "einunddreißigtausend", "zwei Millionen eins"]
-    assert [udfs.german_ordinal(n) for n in (1, 3, 8, 12, 20, 101)] == ["erste", "dritte", "achte", "zwölfte", "zwanzigste", "einhunderterste"]
+    assert [udfs.german_cardinal(n) for n in (0, 1, 21, 101, 1001, 31000, 2_000_001)] == ["null", "eins", "einundzwanzig", "hunderteins", "tausendeins", "einunddreißigtausend", "zwei Millionen eins"]
+    cardinals = {7: "sieben", 11: "elf", 12: "zwölf", 16: "sechzehn", 17: "siebzehn", 30: "dreißig", 99: "neunundneunzig", 100: "hundert", 256: "zweihundertsechsundfünfzig", 1000: "tausend", 1024: "tausendvierundzwanzig", 2009: "zweitausendneun", 101000: "hunderteintausend", 10**6: "eine Million", 2_500_000: "zwei Millionen fünfhunderttausend", 3 * 10**9: "drei Milliarden", -5: "minus fünf"}
+    assert {n: udfs.german_cardinal(n) for n in cardinals} == cardinals
+    assert udfs.german_cardinal(1954, spaced=True) == "tausend neunhundert vierundfünfzig"
+    years = {1900: "neunzehnhundert", 1843: "achtzehnhundertdreiundvierzig", 999: "neunhundertneunundneunzig"}
+    assert {n: udfs.german_year(n) for n in years} == years
+    assert [udfs.german_ordinal(n) for n in (1, 3, 8, 12, 20, 101)] == ["erste", "dritte", "achte", "zwölfte", "zwanzigste", "hunderterste"]
+    ordinals = {(3, "en"): "dritten", (7, "er"): "siebter", (19, "en"): "neunzehnten", (21, "en"): "einundzwanzigsten", (100, "e"): "hundertste", (1000, "es"): "tausendstes"}
+    assert {k: udfs.german_ordinal(*k) for k in ordinals} == ordinals
     assert one(spark, *[T.plural_ru(F.lit(n), "день", "дня", "дней") for n in (1, 3, 11, 14, 22)]) == ("день", "дня", "дней", "дней", "дня")
     assert one(spark, T.german_number(F.lit("1,234.5"))) == ("1.234,5",)
 
@@ -194,8 +201,10 @@ def test_markup(spark):
 
 def test_suggestions(spark):
     vocabulary = spark.createDataFrame([("коммутатор", 5), ("комната", 9), ("кот", 2)], "form string, freq long")
-    words = spark.createDataFrame([("коммутатро",), ("кит",), ("zzz",)], "word string")
-    assert {r.word: r.correction for r in suggest.corrections(words, vocabulary).collect()} == {"коммутатро": "коммутатор", "кит": "кот"}
+    words = spark.createDataFrame([("коммутатро",), ("кит",), ("zzz",), ("оммутатор",), ("caot",), ("xoat",), ("coasst",), ("coaste",)], "word string")
+    more = vocabulary.union(spark.createDataFrame([("coat", 3), ("coats", 3), ("coast", 3)], "form string, freq long"))
+    # under four letters nothing; a swap is one edit; short words keep their first letter, long ones need not
+    assert {r.word: (r.correction, r.distance) for r in suggest.corrections(words, more).collect()} == {"коммутатро": ("коммутатор", 1), "оммутатор": ("коммутатор", 1), "caot": ("coat", 1), "coasst": ("coast", 1), "coaste": ("coast", 1)}
     history = spark.createDataFrame([("комната с видом", 1)], "query string, n long")
     got = suggest.autocomplete(spark.createDataFrame([("ком",)], "prefix string"), history, vocabulary).orderBy("rank").collect()
     assert [r.suggestion for r in got] == ["комната с видом", "комната", "коммутатор"]

@@ -68,21 +68,20 @@ TENS = ["", "", "zwanzig", "dreißig", "vierzig", "fünfzig", "sechzig", "siebzi
 LARGE = [(10**12, "Billion", "Billionen"), (10**9, "Milliarde", "Milliarden"), (10**6, "Million", "Millionen")]
 
 
-def german_cardinal(n: int) -> str:
-    """A whole number in German words, below a million as one word."""
+def german_cardinal(n: int, spaced: bool = False) -> str:
+    """A whole number in German words, below a million as one word or, spaced, in words for each power."""
     if n < 0:
-        return "minus " + german_cardinal(-n)
+        return "minus " + german_cardinal(-n, spaced)
     for size, one, many in LARGE:
         if n >= size:
             head, rest = divmod(n, size)
-            words = f"eine {one}" if head == 1 else f"{german_cardinal(head)} {many}"
-            return f"{words} {german_cardinal(rest)}" if rest else words
-    if n >= 1000:
-        head, rest = divmod(n, 1000)
-        return ("ein" if head == 1 else _joined(head)) + "tausend" + (german_cardinal(rest) if rest else "")
-    if n >= 100:
-        head, rest = divmod(n, 100)
-        return ("ein" if head == 1 else ONES[head]) + "hundert" + (german_cardinal(rest) if rest else "")
+            words = f"eine {one}" if head == 1 else f"{german_cardinal(head, spaced)} {many}"
+            return f"{words} {german_cardinal(rest, spaced)}" if rest else words
+    for size, name in ((1000, "tausend"), (100, "hundert")):
+        if n >= size:
+            head, rest = divmod(n, size)
+            words = ("" if head == 1 else _joined(head)) + name
+            return words + (" " * spaced + german_cardinal(rest, spaced) if rest else "")
     if n >= 20:
         ten, one = divmod(n, 10)
         return (f"{'ein' if one == 1 else ONES[one]}und" if one else "") + TENS[ten]

@@ -11,18 +11,33 @@ LIMIT = 300
 
 
 def features(docs: DataFrame, method: str, text: str = "text") -> DataFrame:
-    """docs(owner, text) -> (owner, feature, n) by method: ngram, alphabet or running."""
+    """docs(owner, text) -> (owner, feature, n) by method: ngram, alphabet or running.
+
+    Where features stay within words (ngram, alphabet), an owner's different words are counted first and
+    only those are taken apart.
+    """
     normal = T.letters(text)
-    made = {"ngram": lambda: T.padded_ngrams(normal), "alphabet": lambda: F.filter(F.split(F.replace(normal, F.lit(" ")), ""), lambda c: c != ""), "running": lambda: T.running_ngrams(normal)}[method]()
-    return docs.select("owner", F.explode(made).alias("feature")).groupBy("owner", "feature").agg(F.count("*").alias("n"))
+    if method == "running":
+        made = docs.select("owner", F.explode(T.running_ngrams(normal)).alias("feature"))
+        return made.groupBy("owner", "feature").agg(F.count("*").alias("n"))
+    words = docs.select("owner", F.explode(F.split(normal, " ")).alias("word")).filter("word <> ''").groupBy("owner", "word").agg(F.count("*").alias("uses"))
+    parts = T.padded_ngrams("word") if method == "ngram" else F.filter(F.split("word", ""), lambda c: c != "")
+    return words.select("owner", "uses", F.explode(parts).alias("feature")).groupBy("owner", "feature").agg(F.sum("uses").alias("n"))
 
 
 def profiles(counts: DataFrame, limit: int | None = LIMIT) -> DataFrame:
     """(owner, feature, n, rank, weight): ranks from 0 by falling count, then name; a weight is the share of all
-    features, also of those the limit cuts off."""
+    features, also of those the limit cuts off.
+
+    With a limit, ranks past it are dropped before the shuffle and totals join the few rows that stay: an
+    owner may have any number of features."""
     w = Window.partitionBy("owner")
-    ranked = counts.withColumns({"rank": F.row_number().over(w.orderBy(F.desc("n"), "feature")) - 1, "weight": F.col("n") / F.sum("n").over(w)})
-    return ranked if limit is None else ranked.filter(F.col("rank") < limit)
+    place = F.row_number().over(w.orderBy(F.desc("n"), "feature"))
+    if limit is None:
+        return counts.withColumns({"rank": place - 1, "weight": F.col("n") / F.sum("n").over(w)})
+    totals = counts.groupBy("owner").agg(F.sum("n").alias("total"))
+    top = counts.withColumn("place", place).filter(F.col("place") <= limit).join(totals, "owner")
+    return top.select("owner", "feature", "n", (F.col("place") - 1).alias("rank"), (F.col("n") / F.col("total")).alias("weight"))
 
 
 def rank_distance(docs: DataFrame, languages: DataFrame, penalty_least: int = LIMIT) -> DataFrame:
@@ -41,12 +56,12 @@ def share_distance(docs: DataFrame, languages: DataFrame) -> DataFrame:
     """(owner, lang, distance): half the sum of differences of shares over the union of features, at most 1.
 
     Rewritten over the common features only, so no outer join is needed: the sum over the union is both
-    sides' totals less twice the smaller shares of what they share.
+    sides' totals less twice the smaller shares of what they share. Languages are few, and so are their letters.
     """
     left = docs.groupBy("owner").agg(F.sum("weight").alias("mine"))
     right = languages.groupBy("owner").agg(F.sum("weight").alias("theirs")).withColumnRenamed("owner", "lang")
     own = languages.select(F.col("owner").alias("lang"), "feature", F.col("weight").alias("lang_weight"))
-    common = docs.join(own, "feature").groupBy("owner", "lang").agg(F.sum(F.least("weight", "lang_weight")).alias("common"))
+    common = docs.join(F.broadcast(own), "feature").groupBy("owner", "lang").agg(F.sum(F.least("weight", "lang_weight")).alias("common"))
     rows = left.crossJoin(F.broadcast(right)).join(common, ["owner", "lang"], "left")
     return rows.select("owner", "lang", F.least(F.lit(1.0), (F.col("mine") + F.col("theirs") - 2 * F.coalesce("common", F.lit(0.0))) / 2).alias("distance"))
 

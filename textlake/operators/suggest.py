@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textlake.functions import udfs
+
 
 def autocomplete(prefixes: DataFrame, history: DataFrame, vocabulary: DataFrame, limit: int = 8) -> DataFrame:
     """prefixes(prefix) -> (prefix, rank, suggestion): past queries first, by use, then forms by frequency.
@@ -33,21 +35,25 @@ def _deleted(word, edits: int):
     return F.array_distinct(F.concat(F.array(word), once, F.flatten(F.transform(once, lambda w: F.when(F.length(w) > 0, drop(w)).otherwise(F.array().cast("array<string>")))))) if edits > 1 else F.array_distinct(F.concat(F.array(word), once))
 
 
-def corrections(words: DataFrame, vocabulary: DataFrame, most: int = 2, short: int = 4) -> DataFrame:
+def corrections(words: DataFrame, vocabulary: DataFrame, most: int = 2, short: int = 5, least: int = 4) -> DataFrame:
     """words(word) -> (word, correction, distance, freq): the nearest form of vocabulary(form, freq).
 
-    Edit distance at most `most`, one for words up to `short` letters, same first letter; nearest first, then
-    most frequent, then by name. Two strings within k edits share a string left by at most k deletions of
-    each, so the sides meet by equality on those instead of all against all. Words are a query's: few.
+    The distance counts a swap of neighbours as one edit (optimal string alignment). Words of fewer than
+    `least` letters have no correction; words of up to `short` letters take one edit and keep their first
+    letter, longer ones up to `most`. Nearest first, then most frequent, then by name. Two strings within k
+    edits, swaps included, share a string left by at most k deletions of each, so the sides meet by
+    equality on those instead of all against all. Words are a query's: few.
     """
     first = lambda c: F.substring(c, F.lit(1), F.lit(1))
-    asked = words.distinct().withColumn("key", F.explode(_deleted(F.col("word"), most)))
-    offers = vocabulary.filter(F.length("form").between(2, 40)).withColumn("key", F.explode(_deleted(F.col("form"), most)))
-    met = asked.join(offers, "key").filter(first("word") == first("form")).select("word", "form", "freq").distinct()
-    allowed = F.when(F.length("word") <= short, 1).otherwise(most)
-    near = met.withColumn("distance", F.levenshtein("word", "form")).filter((F.col("distance") <= allowed) & (F.col("distance") > 0))
+    size = F.length("word")
+    asked = words.filter(size >= least).distinct().withColumn("key", F.explode(_deleted(F.col("word"), most)))
+    offers = vocabulary.filter(F.length("form").between(1, 40)).withColumn("key", F.explode(_deleted(F.col("form"), most)))
+    met = asked.join(offers, "key").filter((size > short) | (first("word") == first("form"))).select("word", "form", "freq").distinct()
+    allowed = F.when(size <= short, 1).otherwise(most)
+    near = met.filter(F.abs(size - F.length("form")) <= allowed).withColumn("distance", udfs.osa("word", "form"))
     order = Window.partitionBy("word").orderBy("distance", F.desc("freq"), "form")
-    return near.withColumn("n", F.row_number().over(order)).filter("n = 1").select("word", F.col("form").alias("correction"), "distance", "freq")
+    best = near.filter((F.col("distance") <= allowed) & (F.col("distance") > 0)).withColumn("n", F.row_number().over(order))
+    return best.filter("n = 1").select("word", F.col("form").alias("correction"), "distance", "freq")
 
 
 def thesaurus(groups: DataFrame) -> DataFrame:

