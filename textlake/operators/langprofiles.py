@@ -13,16 +13,20 @@ LIMIT = 300
 def features(docs: DataFrame, method: str, text: str = "text") -> DataFrame:
     """docs(owner, text) -> (owner, feature, n) by method: ngram, alphabet or running.
 
-    Where features stay within words (ngram, alphabet), an owner's different words are counted first and
-    only those are taken apart.
+    For n-grams an owner's different words are counted first and only those are taken apart; letters are
+    counted in the row they stand in, one row a different letter.
     """
     normal = T.letters(text)
-    if method == "running":
-        made = docs.select("owner", F.explode(T.running_ngrams(normal)).alias("feature"))
-        return made.groupBy("owner", "feature").agg(F.count("*").alias("n"))
-    words = docs.select("owner", F.explode(F.split(normal, " ")).alias("word")).filter("word <> ''").groupBy("owner", "word").agg(F.count("*").alias("uses"))
-    parts = T.padded_ngrams("word") if method == "ngram" else F.filter(F.split("word", ""), lambda c: c != "")
-    return words.select("owner", "uses", F.explode(parts).alias("feature")).groupBy("owner", "feature").agg(F.sum("uses").alias("n"))
+    if method == "ngram":
+        words = docs.select("owner", F.explode(F.split(normal, " ")).alias("word")).filter("word <> ''").groupBy("owner", "word").agg(F.count("*").alias("uses"))
+        made = words.select("owner", "uses", F.explode(T.padded_ngrams("word")).alias("feature"))
+    elif method == "alphabet":
+        once = lambda t: F.filter(F.array_distinct(F.split(t, "")), lambda c: c != "")
+        uses = lambda t: F.transform(once(t), lambda c: F.struct(c.alias("feature"), (F.length(t) - F.length(F.replace(t, c, F.lit("")))).cast("long").alias("uses")))
+        made = docs.select("owner", F.inline(T.let(F.replace(normal, F.lit(" "), F.lit("")), uses)))
+    else:
+        made = docs.select("owner", F.lit(1).alias("uses"), F.explode(T.running_ngrams(normal)).alias("feature"))
+    return made.groupBy("owner", "feature").agg(F.sum("uses").alias("n"))
 
 
 def profiles(counts: DataFrame, limit: int | None = LIMIT) -> DataFrame:
