@@ -107,8 +107,12 @@ def test_tagger(spark):
     """A word after `the` is a noun, the same word after `to` a verb."""
     rows = [(i, ["the", w, "to", v, "."], ["D", "N", "T", "V", "M"]) for i, (w, v) in enumerate((a, b) for a in ("run", "walk", "play") for b in ("run", "walk", "play", "rest"))]
     train = spark.createDataFrame([*rows, (99, None, None), (98, [], [])], "id int, words array<string>, tags array<string>")
-    model = tagger.train(train, "id", shards=3, passes=5, known=tagger.certain_words(train, least=10))
-    assert model.known == {"the": "D", "to": "T", ".": "M"}
+    model = tagger.train(train, "id", shards=3, passes=5)
+    known = tagger.certain_words(train, least=10)
+    assert {r.word: r.tag for r in known.collect()} == {"the": "D", "to": "T", ".": "M"}
+    sure = tagger.with_certain(train, known, "id")
+    assert {r.id: r.sure for r in sure.filter("id in (0, 98, 99)").collect()} == {0: ["D", None, "T", None, "M"], 98: [], 99: None}
+    assert tagger.tag(sure, model).filter("told <> tags").count() == 0
     told = tagger.tag(spark.createDataFrame([(1, ["the", "rest", "to", "jump", "."]), (2, None), (3, [])], "id int, words array<string>"), model)
     assert {r.id: r.told for r in told.collect()} == {1: ["D", "N", "T", "V", "M"], 2: None, 3: []}
     wrong = tagger.accuracy(tagger.tag(train, model)).filter("gold <> told").count()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlake.functions import text as T
@@ -61,6 +61,11 @@ def summary(docs: DataFrame, tf: DataFrame, host: str = "source") -> DataFrame:
     return own.crossJoin(terms)
 
 
+def size(docs: DataFrame) -> Column:
+    """The number of documents, as a scalar subquery: nothing runs while a plan is made."""
+    return docs.agg(F.count("*")).scalar()
+
+
 def popular_queries(log: DataFrame, limit: int = 10) -> DataFrame:
     """log(id, raw_query, results_count): queries that found something, by how often; later ones first on ties."""
     found = log.filter("results_count > 0").groupBy(F.lower("raw_query").alias("query"))

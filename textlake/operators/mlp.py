@@ -75,14 +75,14 @@ def train(fragments: list[str], gold: list[str], features: list[str], hidden: in
     return Network(features, languages, tuple(w))
 
 
-def fit(docs: DataFrame, most: int = 100, limit: int = 400) -> Network:
-    """docs(owner, text), owner the language: features from all of them, fragments from the `most` documents of smallest
-    hash of each language. What reaches the driver is bounded by both numbers."""
+def fit(docs: DataFrame, most: int = 600, limit: int = 400) -> Network:
+    """docs(owner, text), owner the language: features from all of them; of the fragments of all whole texts the `most` of
+    smallest hash of each language are learnt from. What reaches the driver is bounded by both numbers."""
     features = [r["feature"] for r in select_features(langprofiles.profiles(langprofiles.features(docs, "running"), limit), limit).orderBy("place").collect()]
-    n = F.row_number().over(Window.partitionBy("owner").orderBy(F.xxhash64("text"), "text"))
-    picked = docs.filter("owner is not null and text is not null").withColumn("n", n).filter(F.col("n") <= most).select("owner", F.substring(T.letters("text"), 1, 800).alias("t"))
+    n = F.row_number().over(Window.partitionBy("owner").orderBy(F.xxhash64("f"), "f"))
     cut = F.flatten(F.array(*[T.fragments("t", size, int(size * 0.65)) for size in SIZES]))
-    rows = picked.select("owner", F.explode(cut).alias("f")).orderBy("owner", "f").toPandas()
+    every = docs.filter("owner is not null and text is not null").select("owner", T.letters("text").alias("t")).select("owner", F.explode(cut).alias("f"))
+    rows = every.withColumn("n", n).filter(F.col("n") <= most).select("owner", "f").orderBy("owner", "f").toPandas()
     return train(rows["f"].tolist(), rows["owner"].tolist(), features)
 
 

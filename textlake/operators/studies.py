@@ -20,11 +20,22 @@ def compare_searches(vectors: DataFrame, postings: DataFrame, documents: DataFra
     return out
 
 
+def numbered(rows: DataFrame, key: str, name: str = "i") -> DataFrame:
+    """With name: 1, 2, ... in order of a unique key. Only keys are sorted, and each range of them numbers its own rows from
+    where the ranges before it end, so no task sees the whole table."""
+    keys = rows.select(F.col(key).alias("_key")).repartitionByRange("_key").withColumn("_part", F.spark_partition_id())
+    sizes = keys.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_key").alias("_least"))
+    starts = sizes.select("_least", F.coalesce(F.sum("_n").over(Window.orderBy("_least").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.coalesce(F.lead("_least").over(Window.orderBy("_least")), F.lit(None)).alias("_next"))
+    placed = keys.drop("_part").join(F.broadcast(starts), (F.col("_key") >= F.col("_least")) & (F.col("_next").isNull() | (F.col("_key") < F.col("_next"))))
+    own = F.row_number().over(Window.partitionBy("_least").orderBy("_key"))
+    return rows.join(placed.select("_key", (F.col("_before") + own).alias(name)), F.col(key) == F.col("_key")).drop("_key")
+
+
 def mixture_study(docs: DataFrame, first: str, second: str, languages: DataFrame, size: int = 400, steps: int = 20) -> DataFrame:
     """(ratio, pairs, share): how often texts mixed from pairs of the i-th documents of two languages, `ratio` of the
     second, are taken for the second, by letter shares."""
-    numbered = lambda lang, name: docs.filter(F.col("lang") == lang).select(F.col("text").alias(name), F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")).alias("i"))
-    pairs = numbered(first, "a").join(numbered(second, "b"), "i").select("i", "a", "b", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("step"))
+    texts = lambda lang, name: numbered(docs.filter(F.col("lang") == lang).select("doc_id", F.col("text").alias(name)), "doc_id")
+    pairs = texts(first, "a").join(texts(second, "b"), "i").select("i", "a", "b", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("step"))
     mixed = pairs.select(F.concat_ws("/", "i", "step").alias("owner"), langprofiles.mixed(F.col("a"), F.col("b"), F.col("step") / steps, size).alias("text"))
     own = langprofiles.profiles(langprofiles.features(mixed, "alphabet"), None)
     told = langprofiles.classify(langprofiles.share_distance(own, languages))

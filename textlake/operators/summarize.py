@@ -106,8 +106,7 @@ def keywords(weights: DataFrame, top: int = 10) -> DataFrame:
         return pd.DataFrame(out, columns=["doc_id", "rank", "lemma", "weight"])
 
     value = weights.select("doc_id", "lemma", (F.col("tf") * F.col("weight")).alias("value")).filter("value > 0")
-    n = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("value"), "lemma"))
-    return value.withColumn("n", n).filter(F.col("n") <= 20 * top).drop("n").groupBy("doc_id").applyInPandas(pick, "doc_id long, rank int, lemma string, weight double")
+    return value.groupBy("doc_id").applyInPandas(pick, "doc_id long, rank int, lemma string, weight double")
 
 
 def phrases(tokens: DataFrame, least: int = 2) -> DataFrame:

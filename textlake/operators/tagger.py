@@ -16,11 +16,10 @@ Weights = dict[str, dict[str, float]]
 
 @dataclass(frozen=True)
 class Tagger:
-    """Classes in order (the first wins ties), weights by feature and class, and words whose tag is certain."""
+    """Classes in order (the first wins ties), and weights by feature and class."""
 
     classes: list[str]
     weights: Weights
-    known: dict[str, str]
 
 
 def word_features(words: list[str], i: int, one: str, two: str) -> list[str]:
@@ -79,14 +78,14 @@ def _shard(shared: Broadcast[Weights], classes: list[str]):
     return run
 
 
-def train(sentences: DataFrame, key: str, shards: int = 8, passes: int = 4, most: int = 200_000, known: DataFrame | None = None) -> Tagger:
+def train(sentences: DataFrame, key: str, shards: int = 8, passes: int = 4, most: int = 20_000) -> Tagger:
     """sentences(key, words, tags) -> a tagger.
 
-    Every pass deals the sentences to shards by the key's hash; each shard goes on from the common weights, and the weights
-    become the shards' mean by words seen. Only the `most` largest weights reach the driver and go out again, so both are
-    bounded whatever the corpus. known(word, tag) are words that need no decision; they too are cut to `most`.
+    It learns from the `most` sentences of smallest key hash, so weights that reach the driver and go out again are bounded
+    whatever the corpus; none is cut. Every pass deals them to shards by the key's hash; each shard goes on from the common
+    weights, and the weights become the shards' mean by words seen.
     """
-    good = sentences.filter((F.size("words") > 0) & (F.size("words") == F.size("tags"))).select(key, "words", "tags")
+    good = sentences.filter((F.size("words") > 0) & (F.size("words") == F.size("tags"))).select(key, "words", "tags").orderBy(F.xxhash64(key), F.xxhash64("words")).limit(most)
     dealt = good.repartition(shards, F.xxhash64(key)).sortWithinPartitions(F.xxhash64(key), "words").select("words", "tags")
     facts = good.select(F.explode("tags").alias("tag")).groupBy("tag").count().orderBy("tag").collect()
     classes, total = [r["tag"] for r in facts], sum(r["count"] for r in facts)
@@ -95,35 +94,42 @@ def train(sentences: DataFrame, key: str, shards: int = 8, passes: int = 4, most
         changes = dealt.mapInPandas(_shard(sentences.sparkSession.sparkContext.broadcast(weights), classes), "feature string, tag string, weight double, n long")
         mixed = changes.groupBy("feature", "tag").agg((F.sum(F.col("weight") * F.col("n")) / total).alias("weight")).filter("weight <> 0")
         merged: Weights = defaultdict(dict, {f: dict(t) for f, t in weights.items()})
-        for r in mixed.orderBy(F.desc(F.abs("weight")), "feature", "tag").limit(most).toLocalIterator():
+        for r in mixed.toLocalIterator():
             merged[r["feature"]][r["tag"]] = merged[r["feature"]].get(r["tag"], 0.0) + r["weight"]
-        kept = sorted(((abs(w), f, t, w) for f, table in merged.items() for t, w in table.items()), reverse=True)[:most]
-        weights = {}
-        for _, f, t, w in kept:
-            weights.setdefault(f, {})[t] = w
-    sure = {r["word"]: r["tag"] for r in known.orderBy("word").limit(most).toLocalIterator()} if known is not None else {}
-    return Tagger(classes, weights, sure)
+        weights = dict(merged)
+    return Tagger(classes, weights)
+
+
+def with_certain(sentences: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """With sure: at the place of each word that known(word, tag) has, its tag. Different words are joined, each once a
+    sentence, so no table of words has to fit anywhere. The key is unique."""
+    words = sentences.select(key, F.explode(F.array_distinct("words")).alias("word"))
+    met = words.join(known, "word").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("word", "tag"))).alias("_sure"))
+    return sentences.join(met, key, "left").withColumn("sure", F.transform("words", lambda w: F.try_element_at("_sure", w))).drop("_sure")
 
 
 def tag(sentences: DataFrame, model: Tagger, name: str = "told") -> DataFrame:
-    """Append the tags of `words`, decided from left to right; null words have null tags. Rows stay where they are."""
+    """Append the tags of `words`, decided from left to right; null words have null tags. Rows stay where they are. Tags in
+    a column `sure` (with_certain) stand as they are."""
     shared = sentences.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("array<string>")
-    def run(column: pd.Series) -> pd.Series:
+    def run(column: pd.Series, sure: pd.Series) -> pd.Series:
         m, out = shared.value, []
-        for words in column:
+        for words, fixed in zip(column, sure, strict=True):
             if words is None:
                 out.append(None)
                 continue
             tags: list[str] = []
             for i, w in enumerate(words):
                 one, two = tags[-1] if i else "<>", tags[-2] if i > 1 else "<>"
-                tags.append(m.known.get(w) or _best(m.weights, m.classes, word_features(words, i, one, two)))
+                own = fixed[i] if fixed is not None else None
+                tags.append(own or _best(m.weights, m.classes, word_features(words, i, one, two)))
             out.append(tags)
         return pd.Series(out, dtype=object)
 
-    return sentences.withColumn(name, run("words"))
+    sure = F.col("sure") if "sure" in sentences.columns else F.lit(None).cast("array<string>")
+    return sentences.withColumn(name, run("words", sure))
 
 
 def accuracy(tagged: DataFrame, gold: str = "tags", told: str = "told") -> DataFrame:

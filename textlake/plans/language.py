@@ -72,8 +72,8 @@ def tagged_turns(spark, sf_dir):
     words = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]"), F.lit(0))
     kind = lambda w: F.when(w.rlike(r"^\p{N}+$"), "number").when(w.rlike(r"^[^\p{L}\p{N}]$"), "mark").when(w.rlike(r"^\p{Lu}"), "capital").otherwise("word")
     turns = table(spark, sf_dir, "conversations").filter("text is not null").select(F.concat_ws("/", "conv_id", "turn").alias("id"), words.alias("words")).withColumn("tags", F.transform("words", kind))
-    model = tagger.train(turns, "id", passes=2, known=tagger.certain_words(turns))
-    return tagger.accuracy(tagger.tag(turns, model))
+    model = tagger.train(turns, "id", passes=2)
+    return tagger.accuracy(tagger.tag(tagger.with_certain(turns, tagger.certain_words(turns), "id"), model))
 
 
 _RULES_SQL = ", ".join(f"({i}, '{e}', '{g}', '{m}', {c})" for i, (p, e, g, _, m, c) in enumerate(wordformation.ENDINGS) if p == "noun")

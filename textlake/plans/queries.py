@@ -333,14 +333,14 @@ def _sentences(spark, sf_dir):
 
 def _scores(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    weights = summarize.term_weights(index.term_frequencies(docs), F.lit(docs.count()))
+    weights = summarize.term_weights(index.term_frequencies(docs), index.size(docs))
     return summarize.sentence_scores(_sentences(spark, sf_dir), weights)
 
 
 @query(f"WITH {LN} SELECT doc_id, lemma, tf, round(weight, 6) AS weight FROM lw")
 def term_weights_ln(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return summarize.term_weights(index.term_frequencies(docs), F.lit(docs.count())).select("doc_id", "lemma", "tf", r6("weight"))
+    return summarize.term_weights(index.term_frequencies(docs), index.size(docs)).select("doc_id", "lemma", "tf", r6("weight"))
 
 
 @query(f"WITH {SCORES} SELECT doc_id, idx, round(score, 6) AS score, round(pos_doc, 6) AS pos_doc, round(pos_par, 6) AS pos_par, round(score * pos_doc * pos_par, 6) AS weight FROM sc")
@@ -362,7 +362,7 @@ def extractive_summary(spark, sf_dir):
 @query()
 def document_keywords(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return summarize.keywords(summarize.term_weights(index.term_frequencies(docs), F.lit(docs.count())))
+    return summarize.keywords(summarize.term_weights(index.term_frequencies(docs), index.size(docs)))
 
 
 @query(f"""WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(translate(lower(text), 'ё', 'е'), '{PATTERN}'), lambda x: x) AS ws FROM documents)
