@@ -266,3 +266,96 @@ def norm(a: Column | str) -> Column:
 def inverse_frequency(documents: Column, df: Column) -> Column:
     """log10(N / df), zero where either isn't positive."""
     return F.when((documents > 0) & (df > 0), F.log10(documents / df)).otherwise(F.lit(0.0))
+
+
+# The letters of words written in a language's own script.
+CYRILLIC_WORD = r"(?iu)^[а-яё]+(?:-[а-яё]+)*$"
+LATIN_WORD = r"(?iu)^[a-zäöüßàáâçèéêëìíîïñòóôùúûÿœæ]+(?:[-'][a-zäöüßàáâçèéêëìíîïñòóôùúûÿœæ]+)*$"
+#: Characters that show nothing: soft hyphen, zero-width ones, marks of direction, byte-order mark.
+INVISIBLE = "\u00ad\u200b\u200c\u200d\u200e\u200f\u2060\ufeff"
+
+
+def in_script(word: Column | str, language: Column | str) -> Column:
+    """A word is wholly in the script of its language: Cyrillic for ru, else Latin."""
+    w, l = _col(word), _col(language)
+    return F.when(l == "ru", w.rlike(CYRILLIC_WORD)).otherwise(w.rlike(LATIN_WORD))
+
+
+def is_counted(word: Column, language: Column, stop_words: tuple[str, ...] = ()) -> Column:
+    """In the language's script, longer than one letter, no stop-word."""
+    good = in_script(word, language) & (F.length(word) > 1)
+    return good & ~F.lower(word).isin(*stop_words) if stop_words else good
+
+
+def cleaned(text: Column | str) -> Column:
+    """Invisible characters dropped, spaces of each line squeezed and trimmed. Composed forms: see udfs.nfc."""
+    t = F.regexp_replace(F.regexp_replace(_col(text), rf"[{INVISIBLE}]", ""), r"\r\n?", "\n")
+    return F.regexp_replace(F.regexp_replace(t, r"[ \t\f\u000b\u00a0\u2000-\u200a\u202f\u205f\u3000]+", " "), r"(?m)^ | $", "")
+
+
+# References that a summary leaves out.
+CITATION = r"\s*\[\s*\d+(?:\s*[,;–-]\s*\d+)*(?:\s*[,;]\s*(?:с|c|s|S|p|pp|стр)\.\s*\d+(?:\s*[–-]\s*\d+)?)?\s*\]"
+FIGURE = r"(?iu)\s*\((?:см\.\s*|vgl\.\s*|siehe\s*|s\.\s*)?(?:рис|рисунок|табл|таблица|abb|abbildung|tab|tabelle|fig)\.?\s*[\d.,\s–-]*\)"
+
+
+def compressed(sentence: Column | str, openings: tuple[str, ...] = (), least: int = 20) -> Column:
+    """A sentence without citations, references to figures and, where `openings` names them (lower case), the phrase and
+    comma that it begins with, if at least `least` characters are left. What would become empty stays as it was."""
+    s = _col(sentence)
+    t = F.regexp_replace(F.regexp_replace(s, CITATION, ""), FIGURE, "")
+    if openings:
+        start = "|".join(f"\\Q{o}\\E" for o in sorted(openings, key=len, reverse=True))
+        rest = F.regexp_replace(t, rf"(?iu)^(?:{start}),\s*", "")
+        lifted = F.concat(F.upper(F.substring(rest, F.lit(1), F.lit(1))), F.substring(rest, F.lit(2), F.length(rest)))
+        t = F.when((rest != t) & (F.length(rest) >= least), lifted).otherwise(t)
+    t = F.trim(F.regexp_replace(F.regexp_replace(t, r"\s+([,.;:!?…])", "$1"), r"\s{2,}", " "))
+    return F.when(t == "", s).otherwise(t)
+
+
+def difference(old: Column | str, new: Column | str) -> Column:
+    """(common, removed): how many characters both begin with, and what followed them in the old text."""
+    o = _col(old)
+    return let(common_prefix(o, new), lambda n: F.struct(n.alias("common"), F.substring(o, n + 1, F.length(o)).alias("removed")))
+
+
+def spelled_pairs(text: Column | str) -> Column:
+    """(written, compared) of every word: as it stands and as phrases are compared."""
+    raw = F.regexp_extract_all(_col(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    parts = lambda w: F.transform(F.filter(F.split(phrase(w), " "), lambda p: p != ""), lambda p: F.struct(w.alias("written"), p.alias("compared")))
+    return F.flatten(F.transform(raw, parts))
+
+
+def decayed(level: Column, days: Column, a_day: float = 5.0) -> Column:
+    """(level, state, size) of something fed: it loses `a_day` a day, never below 0; states by level; size from 0.8 to 1.6."""
+    now = F.greatest(F.lit(0), F.bround(level - a_day * days)).cast("int")
+    state = lambda n: F.when(n > 70, "full").when(n >= 30, "normal").when(n >= 10, "hungry").otherwise("starved")
+    return let(now, lambda n: F.struct(n.alias("level"), state(n).alias("state"), F.round(F.least(F.lit(1.6), 0.8 + 0.8 * n / 100), 2).alias("size")))
+
+
+def entry_word(german: Column | str) -> Column:
+    """A lexicon's German without the marks for prefixes, endings and repeats."""
+    return F.translate(_col(german), "|*~", "")
+
+
+def entry_shown(german: Column, gender: Column, plural: Column, plural_mark: str = "Pl.") -> Column:
+    """A noun with its article and plural; words without gender as they are."""
+    article = F.when(gender == "m", "der").when(gender == "f", "die").when(gender == "n", "das")
+    more = F.when(~plural.isin("", "-"), F.concat(F.lit(f" ({plural_mark} "), plural, F.lit(")"))).otherwise("")
+    word = entry_word(german)
+    return F.when(article.isNotNull(), F.concat(article, F.lit(" "), word, more)).when(gender == "pl", F.concat(F.lit("die "), word, F.lit(f" ({plural_mark})"))).otherwise(word)
+
+
+def is_hesitation(words: Column, noises: tuple[str, ...]) -> Column:
+    """Recognised words that say nothing: only noises, or one word of at most two letters."""
+    return F.forall(words, lambda w: w.isin(*noises)) | ((F.size(words) == 1) & (F.length(F.get(words, F.lit(0))) <= 2))
+
+
+def is_speakable(sentence: Column, least: int = 4, most: int = 14) -> Column:
+    """A sentence fit for reading aloud: of `least` to `most` words, which are letters alone, commas allowed."""
+    body = F.regexp_replace(sentence, r"[.!?]+$", "")
+    return body.rlike(r"^\p{L}+(?:[ ,]+\p{L}+)*$") & F.size(F.split(F.trim(F.regexp_replace(body, "[ ,]+", " ")), " ")).between(least, most)
+
+
+def replaced(text: Column, pairs: Column) -> Column:
+    """Text with each pair(wrong, right) of an array replaced, one after the other."""
+    return F.aggregate(F.coalesce(pairs, F.array().cast("array<struct<wrong string, right string>>")), text, lambda t, p: F.replace(t, p["wrong"], p["right"]))

@@ -94,3 +94,9 @@ def lemmatize(words: DataFrame, rules: DataFrame, longest: int = 4) -> DataFrame
     best = met.groupBy("form", "tag").agg(F.max_by(F.struct("strip", "add"), F.length("suffix")).alias("r"))
     made = F.concat(F.substring("form", F.lit(1), F.length("form") - F.col("r.strip")), F.col("r.add"))
     return words.join(best, ["form", "tag"], "left").select("form", "tag", F.coalesce(made, "form").alias("lemma"))
+
+
+def counts(lexicon: DataFrame) -> DataFrame:
+    """(pos, domain, entries, words, meanings): by part of speech and domain, by part of speech, and of all."""
+    sets = lexicon.groupingSets([["pos", "domain"], ["pos"], []], "pos", "domain")
+    return sets.agg(F.count("*").alias("entries"), F.count_distinct("en").alias("words"), F.count_distinct("de").alias("meanings"))

@@ -67,3 +67,12 @@ def wave_sizes(groups: DataFrame, waves: int) -> DataFrame:
     w = Window.partitionBy("id")
     cut = rows.withColumn("base", F.floor("exact")).withColumns({"left": F.col("total") - F.sum("base").over(w), "n": F.row_number().over(w.orderBy(F.desc(F.col("exact") - F.col("base")), F.desc("wave")))})
     return cut.select("id", "wave", (F.col("base") + F.when(F.col("n") <= F.col("left"), 1).otherwise(0)).alias("size"))
+
+
+def under_roots(roots: DataFrame, paths: DataFrame) -> DataFrame:
+    """roots(root_path, ...) and paths(path) -> roots with documents: how many paths lie under each. A path brings every
+    folder above it, so the sides meet by equality."""
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    counts = paths.select(F.explode(above).alias("root_path")).groupBy("root_path").agg(F.count("*").alias("documents"))
+    return roots.join(counts, "root_path", "left").na.fill(0, ["documents"])
