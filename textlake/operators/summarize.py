@@ -46,8 +46,8 @@ def sentence_scores(sentences: DataFrame, weights: DataFrame, stop_words: tuple[
 
 
 def select(scores: DataFrame, count: int = 10, method: str = "extraction") -> DataFrame:
-    """(doc_id, idx, text, method): the chosen sentences. Methods: extraction, score, position, lead, random (by hash)."""
-    order = {"extraction": [F.desc("weight"), "idx"], "score": [F.desc("score"), "idx"], "position": [F.desc(F.col("pos_doc") * F.col("pos_par")), "idx"], "lead": ["idx"], "random": [F.xxhash64("doc_id", "idx"), "idx"]}[method]
+    """(doc_id, idx, text, method): the chosen sentences; weights tie at nine digits. Methods: extraction, score, position, lead, random (by hash)."""
+    order = {"extraction": [F.desc(F.round("weight", 9)), "idx"], "score": [F.desc("score"), "idx"], "position": [F.desc(F.col("pos_doc") * F.col("pos_par")), "idx"], "lead": ["idx"], "random": [F.xxhash64("doc_id", "idx"), "idx"]}[method]
     n = F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))
     return scores.withColumn("n", n).filter(F.col("n") <= count).select("doc_id", "idx", "text", F.lit(method).alias("method"))
 

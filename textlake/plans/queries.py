@@ -293,13 +293,20 @@ def langid_agreement(spark, sf_dir):
     return each.groupBy("owner").agg(F.count("*").alias("opinions"), F.max(F.when(F.col("n") == 2, F.col("predicted"))).alias("agreed"))
 
 
-@query()
+def _sure_sql(source: str) -> str:
+    """The nearest language with how much nearer it is than the second."""
+    return f"""(SELECT owner, lang AS predicted, CASE WHEN second > 0 THEN least(1.0, greatest(0.0, (second - distance) / second)) ELSE 0.0 END AS confidence
+FROM (SELECT *, lead(distance) OVER w AS second, row_number() OVER w AS place FROM {source} WINDOW w AS (PARTITION BY owner ORDER BY distance, lang)) WHERE place = 1)"""
+
+
+@query(f"""WITH {RANK_SQL}, {SHARE_SQL}, v AS (SELECT * FROM {_sure_sql('rd')} UNION ALL SELECT * FROM {_sure_sql('sd')}), e AS (SELECT owner, predicted, count(*) AS n, max(confidence) AS c FROM v GROUP BY owner, predicted)
+SELECT owner, predicted, round(n / sum(n) OVER (PARTITION BY owner), 6) AS agreement FROM e QUALIFY row_number() OVER (PARTITION BY owner ORDER BY n DESC, c DESC, predicted) = 1""")
 def langid_consensus(spark, sf_dir):
     votes = None
     for method, distances in (("ngram", _rank_distance(spark, sf_dir)), ("alphabet", _share_distance(spark, sf_dir))):
         own = langprofiles.classify(distances).withColumn("method", F.lit(method))
         votes = own if votes is None else votes.unionByName(own)
-    return langprofiles.consensus(votes)
+    return langprofiles.consensus(votes).withColumn("agreement", F.round("agreement", 6))
 
 
 @query(f"""WITH {SHARE_SQL}, b AS (SELECT CAST(floor(log2(n_chars + 1)) AS BIGINT) AS size, avg(CAST(lang = predicted AS INT)) AS accuracy, count(*) AS n FROM {_best_sql('sd')} x JOIN documents ON doc_id = owner WHERE lang IS NOT NULL GROUP BY 1),
@@ -354,7 +361,8 @@ def lead_summary(spark, sf_dir):
     return summarize.summaries(summarize.select(rows, 10, "lead"))
 
 
-@query()
+@query(f"""WITH {SCORES}, k AS (SELECT doc_id, idx, text FROM sc QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score * pos_doc * pos_par, 9) DESC, idx) <= 10)
+SELECT doc_id, count(*) AS sentences, CAST(sum(length(text)) AS BIGINT) AS chars, string_agg(text, ' ' ORDER BY idx) AS summary FROM k GROUP BY doc_id""")
 def extractive_summary(spark, sf_dir):
     return summarize.summaries(summarize.select(_scores(spark, sf_dir), 10))
 

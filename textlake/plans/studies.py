@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textlake.functions import text as T
 from textlake.operators import index, langprofiles, mlp, search, studies
-from textlake.plans.queries import INDEX, PATTERN, SIGNIFICANT, WORD_PAIRS, _documents, _index, _profiles, _queries, _word_pairs, query, r6, table, toks
+from textlake.plans.queries import INDEX, LETTERS_SQL, PATTERN, SIGNIFICANT, WORD_PAIRS, _documents, _index, _profile_sql, _profiles, _queries, _word_pairs, query, r6, table, toks
 
 CONFIGURATIONS = {"base": search.Modifiers(), "strict": search.Modifiers(strict=True), "flat": search.Modifiers(flat_idf=True), "short": search.Modifiers(short_bonus=True)}
 
@@ -20,7 +20,15 @@ def search_configurations(spark, sf_dir):
     return found.select("configuration", "queries", *map(r6, ("precision", "recall", "ap", "ndcg", "bpref")))
 
 
-@query()
+_MIXED = "trim(regexp_replace(lower(trim(concat_ws(' ', substr(a, 1, 400 - 20 * step), substr(b, 1, 20 * step)))), '[^\\p{L}]+', ' ', 'g'))"
+
+
+@query(f"""WITH {_profile_sql(LETTERS_SQL, 'lang', None, 'l')}, a AS (SELECT row_number() OVER (ORDER BY doc_id) AS i, text AS a FROM documents WHERE lang = 'en'), b AS (SELECT row_number() OVER (ORDER BY doc_id) AS i, text AS b FROM documents WHERE lang = 'de'),
+c AS (SELECT i, step, feature, count(*) AS n FROM (SELECT i, CAST(step AS INTEGER) AS step, unnest(string_split(replace({_MIXED}, ' ', ''), '')) AS feature FROM a JOIN b USING (i), (SELECT CAST(unnest(range(0, 21)) AS INTEGER) AS step)) WHERE feature <> '' GROUP BY ALL),
+w AS (SELECT i, step, feature, n / sum(n) OVER (PARTITION BY i, step) AS weight FROM c), m AS (SELECT i, step, l.owner AS lang, sum(least(w.weight, l.weight)) AS common FROM w JOIN l USING (feature) GROUP BY ALL),
+d AS (SELECT o.i, o.step, g.lang, 1 - coalesce(common, 0) AS distance FROM (SELECT DISTINCT i, step FROM w) o CROSS JOIN (SELECT DISTINCT owner AS lang FROM l) g LEFT JOIN m ON m.i = o.i AND m.step = o.step AND m.lang = g.lang),
+t AS (SELECT step, lang AS predicted FROM d QUALIFY row_number() OVER (PARTITION BY i, step ORDER BY distance, lang) = 1)
+SELECT step / 20 AS ratio, count(*) AS pairs, round(avg(CASE WHEN predicted = 'de' THEN 1.0 ELSE 0 END), 6) AS share FROM t GROUP BY step""")
 def language_mixtures(spark, sf_dir):
     languages = _profiles(spark, sf_dir, "alphabet", "lang", None)
     found = studies.mixture_study(table(spark, sf_dir, "documents"), "en", "de", languages)
