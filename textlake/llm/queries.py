@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlake.llm import ann, bpe, decontam, langid, quality, secrets, simhash, substrings, tokencount, urls
+from textlake.llm import ann, bpe, decontam, langid, quality, repair, secrets, simhash, substrings, tokencount, urls
 from textlake.llm.shared import held_out, table
 
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/")]
@@ -85,6 +85,23 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), shortest=1)
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with turns dropped, emptied, cut, repeated or given to the user, by a hash of conversation and turn.
+
+    `times` is how often a turn stands then. Nulls count as one space, in the hash too.
+    """
+    names = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")]
+    fate = F.crc32(F.concat(names[0], F.lit(":"), names[1]).cast("binary")) % 20
+    text = F.when(fate == 1, "").when(fate == 2, F.regexp_replace(names[3], "[.!?]", "")).otherwise(names[3])
+    times = F.when(fate == 0, 0).when(fate == 3, 2).otherwise(1)
+    return turns.select("conv_id", "turn", F.when(fate == 4, "user").otherwise(names[2]).alias("role"), text.alias("text"), times.alias("times"))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and least repair of every conversation, after damage."""
+    return repair.digests(repair.repair(damaged(table(spark, sf_dir, "conversations")), times="times"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows that corpus_pipeline.run() makes of documents."""
     import corpus_pipeline
@@ -92,7 +109,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_ann, op2_secrets, op3_langid, op4_simhash, op5_urls, op6_tokencount, op7_bpe, op8_substrings, op9_quality, op10_decontam, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_ann, op2_secrets, op3_langid, op4_simhash, op5_urls, op6_tokencount, op7_bpe, op8_substrings, op9_quality, op10_decontam, op12_repair, pipeline)}
 
 # Windows of 20 words that also start earlier, the words they cover, what is left.
 SUBSTRINGS_SQL = r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
@@ -116,4 +133,30 @@ m AS (SELECT doc_id, item_id, size, j + shift - 1 AS place, sum(same) OVER f AS
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, place) AS r FROM m WHERE n = size)
 SELECT doc_id, item_id, CAST(matched AS BIGINT) AS matched, CAST(size AS BIGINT) AS "window", CAST(place AS BIGINT) AS place FROM k WHERE r = 1 AND matched >= ceil(size * 0.8 - 1e-9)"""
 
-ORACLES = {"op8_substrings": SUBSTRINGS_SQL, "op10_decontam": DECONTAM_SQL}
+# A turn is read from four points of the grammar (nothing, system, user, pairs); of each, the least (cost, audit,
+# lines). Before a turn up to two may be inserted. CRC-32 is folded from its table.
+REPAIR_SQL = r"""WITH tab AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) r(i))),
+n AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS id FROM conversations),
+h AS (SELECT n.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(id, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda a, b: xor(t[xor(a & 255, b) + 1], a >> 8)), 4294967295) % 20 AS fate FROM n, tab),
+g AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM h, range(CASE fate WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END) k(k)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS core FROM g),
+f AS (SELECT *, lag(role[1]) OVER w AS prior, CASE WHEN core = '' THEN 0 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 1 WHEN core[-1] NOT IN ('.', '!', '?') THEN 2 ELSE 3 END AS fault FROM o WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+x AS (SELECT *, {'r': role[1], 'role': role, 'text': text, 'gone': fault < 2, 'late': CASE fault WHEN 2 THEN 3 ELSE 0 END,
+  's0': {'c': 0, 'a': '', 'l': ''}, 's1': {'c': 9000000, 'a': '', 'l': ''}, 's2': {'c': 9000000, 'a': '', 'l': ''}, 's3': {'c': 9000000, 'a': '', 'l': ''}} AS e FROM f),
+v AS (SELECT conv_id, list_prepend({'r': '', 'role': '', 'text': '', 'gone': false, 'late': 0, 's0': {'c': 0, 'a': '', 'l': ''}, 's1': {'c': 9000000, 'a': '', 'l': ''}, 's2': {'c': 9000000, 'a': '', 'l': ''}, 's3': {'c': 9000000, 'a': '', 'l': ''}}, list(e ORDER BY pos)) AS es,
+  max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 0) AS blank, count(*) FILTER (fault = 1) AS duplicate, count(*) FILTER (fault = 2) AS truncated,
+  count(*) FILTER (prior IS NOT NULL AND prior || role[1] NOT IN ('su', 'ua', 'au')) AS illegal FROM x GROUP BY conv_id),
+w AS (SELECT *, list_reduce(es, lambda p, q: list_transform([{
+    'u': list_min([p.s2, {'c': p.s0.c + 3, 'a': p.s0.a || 'I', 'l': p.s0.l || chr(10) || 'user:'}, {'c': p.s1.c + 3, 'a': p.s1.a || 'I', 'l': p.s1.l || chr(10) || 'user:'}, {'c': p.s3.c + 3, 'a': p.s3.a || 'I', 'l': p.s3.l || chr(10) || 'user:'}]),
+    'w': list_min([p.s3, {'c': p.s2.c + 3, 'a': p.s2.a || 'I', 'l': p.s2.l || chr(10) || 'assistant:'}, {'c': p.s0.c + 6, 'a': p.s0.a || 'II', 'l': p.s0.l || chr(10) || 'user:' || chr(10) || 'assistant:'}, {'c': p.s1.c + 6, 'a': p.s1.a || 'II', 'l': p.s1.l || chr(10) || 'user:' || chr(10) || 'assistant:'}])}],
+   lambda i: {'r': q.r, 'role': q.role, 'text': q.text, 'gone': q.gone, 'late': q.late,
+    's0': {'c': p.s0.c + 4, 'a': p.s0.a || 'D', 'l': p.s0.l},
+    's1': list_min([{'c': p.s1.c + 4, 'a': p.s1.a || 'D', 'l': p.s1.l}, {'c': CASE WHEN q.gone OR q.r <> 's' THEN 9000000 ELSE p.s0.c + q.late END, 'a': p.s0.a || 'K', 'l': p.s0.l || chr(10) || q.role || ':' || q.text}]),
+    's2': list_min([{'c': i.u.c + 4, 'a': i.u.a || 'D', 'l': i.u.l}] || list_transform([p.s0, p.s1, i.w], lambda z: {'c': z.c + q.late + CASE WHEN q.gone THEN 9000000 WHEN q.r = 'u' THEN 0 ELSE 3 END, 'a': z.a || CASE q.r WHEN 'u' THEN 'K' ELSE 'R' END, 'l': z.l || chr(10) || CASE q.r WHEN 'u' THEN q.role ELSE 'user' END || ':' || q.text})),
+    's3': list_min([{'c': i.w.c + 4, 'a': i.w.a || 'D', 'l': i.w.l}, {'c': i.u.c + q.late + CASE WHEN q.gone THEN 9000000 WHEN q.r = 'a' THEN 0 ELSE 3 END, 'a': i.u.a || CASE q.r WHEN 'a' THEN 'K' ELSE 'R' END, 'l': i.u.l || chr(10) || CASE q.r WHEN 'a' THEN q.role ELSE 'assistant' END || ':' || q.text}])})[1]) AS z FROM v),
+b AS (SELECT *, list_min([z.s0, z.s3, {'c': z.s2.c + 3, 'a': z.s2.a || 'I', 'l': z.s2.l || chr(10) || 'assistant:'}, {'c': z.s1.c + 6, 'a': z.s1.a || 'II', 'l': z.s1.l || chr(10) || 'user:' || chr(10) || 'assistant:'}]) AS best FROM w)
+SELECT k.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal,
+  CAST(coalesce(best.c, 0) AS BIGINT) AS cost, coalesce(best.a, '') AS audit, sha256(substr(coalesce(best.l, ''), 2)) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) k LEFT JOIN b ON k.conv_id IS NOT DISTINCT FROM b.conv_id"""
+
+ORACLES = {"op8_substrings": SUBSTRINGS_SQL, "op10_decontam": DECONTAM_SQL, "op12_repair": REPAIR_SQL}
