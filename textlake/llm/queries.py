@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlake.llm import ann, bpe, decontam, langid, quality, repair, secrets, simhash, substrings, tokencount, urls
+from textlake.llm import ann, bpe, decontam, divergence, langid, quality, repair, secrets, sigtree, simhash, substrings, tokencount, urls
 from textlake.llm.shared import held_out, table
 
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/")]
@@ -85,6 +85,11 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), shortest=1)
 
 
+def op11_ngramjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets of four-word shingles of every whole document, and their components at a similarity of 0.85."""
+    return sigtree.join(table(spark, sf_dir, "documents"))
+
+
 def damaged(turns: DataFrame) -> DataFrame:
     """Conversations with turns dropped, emptied, cut, repeated or given to the user, by a hash of conversation and turn.
 
@@ -102,6 +107,11 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.digests(repair.repair(damaged(table(spark, sf_dir, "conversations")), times="times"))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of sources and terms that set them apart, over every whole document."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows that corpus_pipeline.run() makes of documents."""
     import corpus_pipeline
@@ -109,7 +119,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_ann, op2_secrets, op3_langid, op4_simhash, op5_urls, op6_tokencount, op7_bpe, op8_substrings, op9_quality, op10_decontam, op12_repair, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_ann, op2_secrets, op3_langid, op4_simhash, op5_urls, op6_tokencount, op7_bpe, op8_substrings, op9_quality, op10_decontam, op11_ngramjoin, op12_repair, op13_divergence, pipeline)}
 
 # Windows of 20 words that also start earlier, the words they cover, what is left.
 SUBSTRINGS_SQL = r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
@@ -159,4 +169,30 @@ SELECT k.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank
   CAST(coalesce(best.c, 0) AS BIGINT) AS cost, coalesce(best.a, '') AS audit, sha256(substr(coalesce(best.l, ''), 2)) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) k LEFT JOIN b ON k.conv_id IS NOT DISTINCT FROM b.conv_id"""
 
-ORACLES = {"op8_substrings": SUBSTRINGS_SQL, "op10_decontam": DECONTAM_SQL, "op12_repair": REPAIR_SQL}
+DIVERGENCE_SQL = r"""WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+o AS (SELECT lang, source, r, unnest(ws) AS term FROM d),
+k AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM o JOIN k USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT DISTINCT lang, source FROM d),
+s AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (SELECT lang, source, term, n, 1 + (CAST(1000000000 AS HUGEINT) * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v) AS p,
+  1 + (CAST(1000000000 AS HUGEINT) * (sum(n) OVER (PARTITION BY lang, term) + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS q FROM s JOIN v USING (lang)),
+x AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+y AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM u)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM y WHERE part = 'pair' OR rank <= 50"""
+
+NGRAMJOIN_SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM d, range(1, greatest(len(w) - 2, 2)) t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT a AS doc_id, min(b) AS least FROM r GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(least, d.doc_id)) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)"""
+
+ORACLES = {"op8_substrings": SUBSTRINGS_SQL, "op10_decontam": DECONTAM_SQL, "op11_ngramjoin": NGRAMJOIN_SQL, "op12_repair": REPAIR_SQL, "op13_divergence": DIVERGENCE_SQL}
