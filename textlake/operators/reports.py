@@ -9,12 +9,13 @@ from textlake.functions import text as T
 
 
 def profile_overlap(documents: DataFrame, languages: DataFrame, least: float = 0.0) -> DataFrame:
-    """Profiles (owner, feature, weight) of documents and languages -> (owner, lang, found, missing, share, coverage): how many
-    of a document's features a language has with at least that weight, and their weight in the document. Pairs without a
+    """Profiles (owner, feature, n, weight) of documents and languages -> (owner, lang, found, missing, share, coverage): how
+    many of a document's features a language has with at least that weight, and their weight in the document, added
+    as counts, so that no order rounds. Pairs without a
     common feature are left out. The join is on the feature; languages' profiles are few."""
     sizes = documents.groupBy("owner").agg(F.count("*").alias("_n"))
     theirs = languages.filter(F.col("weight") >= least).select(F.col("owner").alias("lang"), "feature")
-    met = documents.select("owner", "feature", "weight").join(theirs, "feature").groupBy("owner", "lang").agg(F.count("*").alias("found"), F.sum("weight").alias("coverage"))
+    met = documents.select("owner", "feature", "n", "weight").join(theirs, "feature").groupBy("owner", "lang").agg(F.count("*").alias("found"), (F.sum("n") / F.round(F.max(F.col("n") / F.col("weight")))).alias("coverage"))
     return met.join(sizes, "owner").select("owner", "lang", "found", (F.col("_n") - F.col("found")).alias("missing"), (F.col("found") / F.col("_n")).alias("share"), "coverage")
 
 

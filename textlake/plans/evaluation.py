@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -90,8 +91,9 @@ def suffix_rules(spark, sf_dir):
 
 
 @query(f"""WITH {_EXAMPLES}, {_RULES}, w AS (SELECT DISTINCT form, CASE WHEN length(form) % 2 = 0 THEN 'A' ELSE 'B' END AS tag FROM ({toks('text', 'documents')})),
-m AS (SELECT form, w.tag, strip, length(suffix) AS k FROM w JOIN rules r ON r.tag = w.tag AND ends_with(form, suffix) WHERE strip <= length(form) QUALIFY row_number() OVER (PARTITION BY form, w.tag ORDER BY length(suffix) DESC) = 1)
-SELECT form, tag, substr(form, 1, length(form) - coalesce(strip, 0)) AS lemma FROM w LEFT JOIN m USING (form, tag)""")
+e AS (SELECT form, tag, right(form, k) AS suffix FROM w, range(1, 5) t(k) WHERE k <= length(form)),
+m AS (SELECT form, tag, strip, add FROM e JOIN rules USING (suffix, tag) WHERE strip <= length(form) QUALIFY row_number() OVER (PARTITION BY form, tag ORDER BY length(suffix) DESC) = 1)
+SELECT form, tag, substr(form, 1, length(form) - coalesce(strip, 0)) || coalesce(add, '') AS lemma FROM w LEFT JOIN m USING (form, tag)""")
 def suffix_lemmas(spark, sf_dir):
     words = table(spark, sf_dir, "documents").select(F.explode(T.tokens("text")).alias("form")).distinct()
     return lexicon.lemmatize(words.withColumn("tag", F.when(F.length("form") % 2 == 0, "A").otherwise("B")), lexicon.suffix_rules(_examples(spark, sf_dir)))
@@ -240,18 +242,22 @@ def source_registry(spark, sf_dir):
     return tables.under_roots(named, docs.select(F.concat_ws("/", "source", "doc_id").alias("path")))
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/textlake-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="spark-")
+def written(spark: SparkSession, write: Callable[[str], None]) -> str:
+    """A new folder that driver and executors share, with what `write` puts there; spark.checkpoint.dir, or in local mode
+    a temporary one."""
+    shared, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if not shared and context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = f"{shared.rstrip('/') if shared else tempfile.mkdtemp(prefix='spark-')}/textlake-{uuid.uuid4().hex}"
+    write(path)
+    return path
 
 
 @query("SELECT CAST(d.doc_id % 40 AS INTEGER) AS query_id, d.doc_id, CAST(quality + toxic AS INTEGER) AS rel FROM labels d JOIN documents USING (doc_id)")
 def qrels_file(spark, sf_dir):
     """Judgements written as CSV and read back, their slugs resolved by the documents' paths."""
-    path = f"{_folder(spark)}/qrels"
     rows = table(spark, sf_dir, "labels").select((F.col("doc_id") % 40).alias("query_id"), F.concat(F.lit("d"), "doc_id").alias("doc_slug"), (F.col("quality") + F.col("toxic")).alias("rel"))
-    files.save_csv(rows, path, "query_id", "doc_slug")
+    path = written(spark, lambda path: files.save_csv(rows, path, "query_id", "doc_slug"))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("/docs/d"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"))
     return files.qrels(spark, path, docs)[0]
 
@@ -259,20 +265,17 @@ def qrels_file(spark, sf_dir):
 @query(f"SELECT item_id AS sent_id, array_to_string(regexp_extract_all(text, '{PATTERN}'), ' ') AS forms, len(regexp_extract_all(text, '{PATTERN}')) AS words FROM benchmark")
 def treebank_file(spark, sf_dir):
     """Sentences written in ten columns and read back."""
-    path = f"{_folder(spark)}/trees"
     words = F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))
     token = lambda w, i: F.struct((i + 1).alias("id"), w.alias("form"), F.lower(w).alias("lemma"), F.lit("X").alias("upos"), F.lit("_").alias("xpos"), F.lit("_").alias("feats"), i.alias("head"), F.lit("dep").alias("deprel"), F.lit(True).alias("space_after"))
     rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("sent_id"), F.regexp_replace("text", r"\s+", " ").alias("text"), F.transform(words, token).alias("tokens"))
-    files.to_conllu(rows).write.text(path)
-    read = files.conllu(spark, path)
+    read = files.conllu(spark, written(spark, lambda path: files.to_conllu(rows).write.text(path)))
     return read.select(F.col("sent_id").cast("long").alias("sent_id"), F.array_join(F.transform("tokens", lambda t: t["form"]), " ").alias("forms"), F.size("tokens").cast("long").alias("words"))
 
 
 @query("""SELECT p_name AS key, 'de ' || p_brand AS de, count(*) AS n FROM part GROUP BY ALL UNION ALL SELECT lower(p_type), 'andere', count(*) FROM part GROUP BY ALL""")
 def dictionary_file(spark, sf_dir):
     """Dictionary lines of two senses each, written and read back."""
-    path = f"{_folder(spark)}/dictionary"
     parts = table(spark, sf_dir, "part")
     line = F.concat(F.lit("de "), "p_brand", F.lit(" | andere :: to "), "p_name", F.lit(" (x) | "), "p_type")
-    parts.select(line.alias("value")).write.text(path)
+    path = written(spark, lambda path: parts.select(line.alias("value")).write.text(path))
     return files.dictionary(spark.read.text(path)).groupBy("key", "de").agg(F.count("*").alias("n"))

@@ -10,7 +10,7 @@ from textlake.plans import studies  # noqa: F401  (registers copied_shares)
 from textlake.plans.queries import LETTERS_SQL, NGRAMS_SQL, ORACLES, PATTERN, QUERIES, SIGNIFICANT, _profile_sql, _profiles, query, r6, table
 
 _OVERLAP = """SELECT owner, lang, found, n - found AS missing, round(found / n, 6) AS share, round(coverage, 6) AS coverage
-FROM (SELECT d.owner, l.owner AS lang, count(*) AS found, sum(d.weight) AS coverage FROM d JOIN l USING (feature) WHERE l.weight >= {least} GROUP BY ALL) JOIN (SELECT owner, count(*) AS n FROM d GROUP BY owner) USING (owner)"""
+FROM (SELECT d.owner, l.owner AS lang, count(*) AS found, sum(d.n) / round(max(d.n / d.weight)) AS coverage FROM d JOIN l USING (feature) WHERE l.weight >= {least} GROUP BY ALL) JOIN (SELECT owner, count(*) AS n FROM d GROUP BY owner) USING (owner)"""
 
 
 @query(f"WITH {_profile_sql(LETTERS_SQL, 'doc_id', None, 'd')}, {_profile_sql(LETTERS_SQL, 'lang', None, 'l')} {_OVERLAP.format(least='1e-4')}")
