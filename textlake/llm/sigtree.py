@@ -8,7 +8,9 @@ that sets below them can share; only pairs that could be similar are followed do
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,9 @@ SEED = 42
 #: Children of a tree's node.
 FAN = 8
 #: Sizes grow by this factor from a class to the next.
-GROWTH = 1.5
+GROWTH = 1.3
+#: Shingles up to which a part is thin.
+THIN = 1
 #: Sets, and shingles of sets, that are compared in a task at a time.
 SETS, SHINGLES = 2_000, 2_000_000
 #: Nodes up to which their list is broadcast.
@@ -79,28 +83,55 @@ def most_different(n: int, similar: int) -> int:
     return (200 * n // (100 + similar)) * (100 - similar) // 100
 
 
-def part_keys(hashes: np.ndarray, similar: int) -> np.ndarray:
-    """A key of every part of a set, for its own size class and, if a similar set may be in it, for the next one.
+@lru_cache(maxsize=None)
+def parts_of(c: int, similar: int) -> tuple[int, int]:
+    """(parts, spare) of class c: parts are `spare` + 1 more than the shingles that only one of two similar sets may have.
 
-    Two similar sets meet in the class of the larger: by its greatest size the parts are one more than the shingles that
-    only one of them may have. Equal sets are one already, so a class in which similar sets are equal has no keys.
+    So two similar sets have more than `spare` parts in common. Parts of up to THIN shingles say little; spare is chosen so
+    that few sets of the class have more such parts than that (their number is about normal).
+    """
+    top = int(GROWTH**c)
+    differ = most_different(top, similar)
+    if not differ:
+        return 0, 0
+    spare, low = 0, max(similar * top / GROWTH / 100, 1)
+    for _ in range(20):
+        parts = differ + 1 + spare
+        rate = low / parts
+        thin = sum(rate**k * math.exp(-rate) / math.factorial(k) for k in range(THIN + 1))
+        wanted = math.ceil(parts * thin + 2 * math.sqrt(parts * thin * (1 - thin)))
+        if wanted <= spare or wanted > 2 * differ:
+            break
+        spare = wanted
+    return differ + 1 + spare, spare
+
+
+def part_keys(hashes: np.ndarray, similar: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, class, whether the set is of a lower class) of parts of a set, for its own size class and, if a similar set
+    may be in it, for the next one.
+
+    Two similar sets meet in the class of the larger. They have more than `spare` equal parts there; if either of them has
+    at most `spare` thin parts, one of the equal parts is not thin. So a set with few thin parts needs no key of those, and
+    one with many has keys of all. Equal sets are one already: a class in which similar sets are equal has no keys.
     """
     n = len(hashes)
-    if not n:
-        return np.empty(0, np.uint64)
+    keys, classes, lower = [np.empty(0, np.uint64)], [np.empty(0, np.int32)], [np.empty(0, np.int8)]
     c = size_class(n)
-    every = []
-    for k in (c, c + 1):
+    for k in (c, c + 1) if n else ():
         if k > c and similar * (int(GROWTH**c) + 1) > 100 * n:
             break
-        differ = most_different(int(GROWTH**k), similar)
-        if not differ:
+        parts, spare = parts_of(k, similar)
+        if not parts:
             continue
-        part = (_mix(hashes ^ _MIX[1]) >> np.uint64(16)) % np.uint64(differ + 1)
-        sums = np.zeros(differ + 1, np.uint64)
+        part = ((_mix(hashes ^ _MIX[1]) >> np.uint64(16)) % np.uint64(parts)).astype(np.int64)
+        sums = np.zeros(parts, np.uint64)
         np.add.at(sums, part, _mix(hashes + _MIX[2]))
-        every.append(_mix(_mix(sums + np.arange(differ + 1, dtype=np.uint64)) + np.uint64(k)))
-    return np.concatenate(every) if every else np.empty(0, np.uint64)
+        thin = np.bincount(part, minlength=parts) <= THIN
+        every = _mix(_mix(sums + np.arange(parts, dtype=np.uint64)) + np.uint64(k))
+        keys.append(every[~thin] if thin.sum() <= spare else every)
+        classes.append(np.full(len(keys[-1]), k, np.int32))
+        lower.append(np.full(len(keys[-1]), k > c, np.int8))
+    return np.concatenate(keys), np.concatenate(classes), np.concatenate(lower)
 
 
 class Tree:
@@ -183,14 +214,14 @@ def linked(nodes: list[int], sets: list[np.ndarray], similar: int, roots: list[i
     return found
 
 
-def _joined(groups: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    """groups(group, node, root) and sets(node, hashes) -> (u, v) of linked() within every group."""
+def _joined(rows: DataFrame, similar: int) -> DataFrame:
+    """rows(group, node, root, hashes) -> (u, v) of linked() within every group; a node counts once in a group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, rows = None, []
+        last, held = None, {}
 
         def out() -> pa.RecordBatch:
-            found = linked(*(list(x) for x in zip(*((n, s) for n, _, s in rows), strict=True)), similar, [r for _, r, _ in rows]) if rows else []
+            found = linked(list(held), [s for _, s in held.values()], similar, [r for r, _ in held.values()])
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
         for batch in batches:
@@ -198,12 +229,13 @@ def _joined(groups: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
             for k, (group, node, root) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
                 if group != last:
                     yield out()
-                    last, rows = group, []
-                rows.append((node, root, values[ends[k] : ends[k + 1]].copy()))
+                    last, held = group, {}
+                if node not in held:
+                    held[node] = root, values[ends[k] : ends[k + 1]].copy()
         yield out()
 
-    dealt = groups.join(sets, "node").repartition("group").sortWithinPartitions("group")
-    return dealt.select("group", "node", "root", "hashes").mapInArrow(run, "u long, v long")
+    dealt = rows.select("group", "node", "root", "hashes").repartition("group").sortWithinPartitions("group")
+    return dealt.mapInArrow(run, "u long, v long")
 
 
 def _name(hashes: np.ndarray) -> int:
@@ -212,13 +244,14 @@ def _name(hashes: np.ndarray) -> int:
 
 
 def _keys(rows: DataFrame, size: int, similar: int) -> DataFrame:
-    """(bucket, node): the keys of every different set, once a task at least, so that copies hardly repeat them."""
+    """(bucket, node, class, lower): the keys of every different set, once a task at least, so that copies hardly repeat
+    them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         seen: set[int] = set()
         for part in pieces(batches, "text"):
-            buckets, nodes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            found = [(*part_keys(np.empty(0, np.uint64), similar), np.empty(0, np.int64))]
             for text in part.column(0).to_pylist():
                 hashes = shingles(text, size, known)
                 node = _name(hashes)
@@ -227,52 +260,81 @@ def _keys(rows: DataFrame, size: int, similar: int) -> DataFrame:
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(node)
-                buckets.append(part_keys(hashes, similar))
-                nodes.append(np.full(len(buckets[-1]), node, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(buckets).view(np.int64)), pa.array(np.concatenate(nodes))], names=["bucket", "node"])
+                keys = part_keys(hashes, similar)
+                found.append((*keys, np.full(len(keys[0]), node, np.int64)))
+            key, kind, lower, node = (np.concatenate(c) for c in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node), pa.array(kind), pa.array(lower)], names=["bucket", "node", "class", "lower"])
 
-    return rows.select("text").mapInArrow(run, "bucket long, node long")
+    return rows.select("text").mapInArrow(run, "bucket long, node long, class int, lower tinyint")
 
 
 def _met(keys: DataFrame) -> DataFrame:
-    """(bucket, node) of buckets with several nodes: sorted rows are compared with the rows beside them, as a stream."""
+    """(bucket, node, class) of buckets with several nodes, one of them of the class itself: a stream of sorted rows, each
+    compared with those beside it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest, left = np.empty((2, 0), np.int64), False  # the last row, and whether it has left
+        rest, left, own = np.empty((3, 0), np.int64), False, False  # the last row, whether it has left, and its bucket's first
         for batch in batches:
-            rows = np.concatenate([rest, np.stack([c.to_numpy() for c in batch.columns])], 1)
-            rows = rows[:, np.r_[True, (rows[:, 1:] != rows[:, :-1]).any(0)][: rows.shape[1]]]
+            lower = batch.column(3).to_numpy()
+            rows = np.concatenate([rest, np.stack([c.to_numpy().astype(np.int64) for c in batch.columns[:3]])], 1)
+            first = np.r_[np.full(rest.shape[1], 0 if own else 1), lower] == 0
+            new = np.r_[True, (rows[:2, 1:] != rows[:2, :-1]).any(0)][: rows.shape[1]]
+            rows, first = rows[:, new], first[new]
             if not rows.shape[1]:
                 continue
             same = rows[0, 1:] == rows[0, :-1]
-            several = np.r_[False, same] | np.r_[same, False]
+            starts = np.r_[True, ~same]
+            valid = first[starts][np.cumsum(starts) - 1]  # nodes of the class itself come first
+            several = (np.r_[False, same] | np.r_[same, False]) & valid
             if rest.shape[1]:
                 several[0] &= not left
             left = bool(same[-1]) if len(same) else left and bool(rest.shape[1])
-            rest = rows[:, -1:]
-            yield pa.RecordBatch.from_arrays([pa.array(rows[k][several]) for k in (0, 1)], names=["bucket", "node"])
+            rest, own = rows[:, -1:], bool(valid[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0][several]), pa.array(rows[1][several]), pa.array(rows[2][several].astype(np.int32))], names=["bucket", "node", "class"])
+
+    ordered = keys.repartition("bucket").sortWithinPartitions("bucket", "lower", "node")
+    return ordered.mapInArrow(run, "bucket long, node long, class int")
+
+
+def _families(met: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, class, root): nodes that buckets of a class connect, whether they are similar or not.
+
+    Classes stay apart: short texts share parts with many others, and would join the families of all longer ones.
+    """
+    members = met.select("bucket", "node", "class", F.xxhash64("node", "class").alias("member"))
+    least = members.groupBy("bucket").agg(F.min("member").alias("u"))
+    edges = members.join(least, "bucket").filter("u <> member").select("u", F.col("member").alias("v")).distinct()
+    names = met.select("node", "class").distinct().withColumn("member", F.xxhash64("node", "class"))
+    return names.join(components(edges, scratch).withColumnRenamed("node", "member"), "member").select("node", "class", "root")
 
-    return keys.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(run, "bucket long, node long")
 
+def _chosen(made: DataFrame, families: DataFrame) -> DataFrame:
+    """(node, class, _one, n, family, small) of every node that met another: one of its keys, and whether its family is
+    small enough for one task."""
+    one = made.join(families.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("_key").alias("_one"), F.first("n").alias("n"))
+    nodes = families.withColumnRenamed("root", "family").join(one, "node")
+    sizes = nodes.groupBy("family").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
+    return nodes.join(sizes, "family").select("node", "class", "_one", "n", "family", ((F.col("k") <= SETS) & (F.col("s") <= SHINGLES)).alias("small"))
 
-def _sets(rows: DataFrame, made: DataFrame, met: DataFrame, size: int, scratch: Scratch) -> DataFrame:
-    """(node, n, hashes) of every node that met another: hashed again from one of its texts, so that no other text's
-    set is ever written. Which rows those are is broadcast if they are FEW, else joined."""
-    chosen = scratch.cut(made.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("_key").alias("_one")))
+
+def _sets(rows: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
+    """(node, family, hashes): sets hashed again from one text of each node, so that no other text's set ever moves.
+
+    Which rows those are is broadcast if they are FEW, else joined. A key may stand on several rows, so a text counts
+    only if its set is the node's, and a node may come more than once.
+    """
     side = F.broadcast(chosen) if chosen.count() <= FEW else chosen
-    texts = rows.join(side, F.col("_key").eqNullSafe(F.col("_one"))).select("node", "text")
+    texts = rows.join(side, F.col("_key").eqNullSafe(F.col("_one"))).select("node", "family", "text")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         for part in pieces(batches, "text"):
-            found = [(node, hashes) for node, text in zip(*(c.to_pylist() for c in part.columns), strict=True) if _name(hashes := shingles(text, size, known)) == node]
+            found = [(node, family, hashes.view(np.int64)) for node, family, text in zip(*(c.to_pylist() for c in part.columns), strict=True) if _name(hashes := shingles(text, size, known)) == node]
             kinds = pa.int64(), pa.int64(), pa.list_(pa.int64())
-            columns = [n for n, _ in found], [len(h) for _, h in found], [h.view(np.int64) for _, h in found]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["node", "n", "hashes"])
+            columns = list(zip(*found, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["node", "family", "hashes"])
 
-    # a key may stand on several rows, a null one too
-    found = texts.mapInArrow(make, "node long, n long, hashes array<long>")
-    return scratch.cut(found.groupBy("node").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes")))
+    return texts.mapInArrow(make, "node long, family long, hashes array<long>")
 
 
 def _blocks(count: str, shingle: str) -> Column:
@@ -313,14 +375,37 @@ def _torn(rooted: DataFrame) -> DataFrame:
     return dealt.select(F.explode(groups).alias("group"), "node", "root")
 
 
+def _of_large(met: DataFrame, sets: DataFrame, similar: int, scratch: Scratch) -> DataFrame:
+    """(u, v) of families too large for a task, bucket by bucket: met(bucket, node, n), sets(node, hashes).
+
+    First each node in its largest bucket; then whatever buckets are not connected whole.
+    """
+    met, spark = scratch.cut(met), met.sparkSession
+    links, roots = spark.createDataFrame([], "u long, v long"), spark.createDataFrame([], "node long, root long")
+
+    def rooted() -> DataFrame:
+        return met.join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
+
+    for _ in range(3):  # a round leaves about one root of SETS; whatever is still apart then is compared below
+        best = scratch.cut(_best(rooted()))
+        found = scratch.cut(_joined(best.join(sets, "node"), similar))
+        if found.isEmpty():
+            break
+        links = scratch.cut(links.union(found))
+        roots = scratch.cut(components(links, scratch))
+        if best.filter("blocks > 1").isEmpty():
+            break
+    return scratch.cut(links.union(_joined(_torn(rooted()).join(sets, "node"), similar)))
+
+
 def join(docs: DataFrame, similar: int = 85, size: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_shingles, component_id) of every row: the number of its different shingles of `size` words, and the
     least key that links reach, its own included. Two rows link if 100 * shared >= similar * (shingles of either).
 
-    Equal sets are one node. Nodes meet in buckets of part_keys(), whose signature trees are joined with themselves:
-    first each node in its largest bucket, then whatever buckets are not connected whole, so that a set travels few
-    times and a family of copies costs about a comparison each. A bucket of many sets is dealt into blocks of SETS sets
-    or SHINGLES shingles; links leave a task only if they connect something new.
+    Equal sets are one node. Nodes meet in buckets of part_keys(); what buckets of a size class connect is a family,
+    whose signature tree is joined with itself in one task, so that a set moves once or twice. A family of more than SETS sets or SHINGLES
+    shingles is compared bucket by bucket, in blocks of that size: first each node in its largest bucket, then whatever
+    buckets are not connected whole. Links leave a task only if they connect something new.
 
     Null and empty texts have no shingles and link with nothing. A null key is no component's name unless all keys of
     a component are null. Equal rows stay rows. Other columns don't matter. No rows give no rows.
@@ -336,24 +421,12 @@ def join(docs: DataFrame, similar: int = 85, size: int = 4, text: str = "text",
 
     made = scratch.cut(add_columns(rows, "text", make, "node long, n long").drop("text"))
     met = scratch.cut(_met(_keys(rows, size, similar)))
-    sets = _sets(rows, made, met, size, scratch)
-    met = scratch.cut(met.join(sets.select("node", "n"), "node"))
-    links = spark.createDataFrame([], "u long, v long")
-    roots = spark.createDataFrame([], "node long, root long")
-
-    def rooted() -> DataFrame:
-        return met.join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
-
-    for _ in range(3):  # a round leaves about one root of SETS; whatever is still apart then is compared below
-        best = scratch.cut(_best(rooted()))
-        found = scratch.cut(_joined(best.drop("blocks"), sets, similar))
-        if found.isEmpty():
-            break
-        links = scratch.cut(links.union(found))
-        roots = scratch.cut(components(links, scratch))
-        if best.filter("blocks > 1").isEmpty():
-            break
-    links = scratch.cut(links.union(_joined(_torn(rooted()), sets, similar)))
+    chosen = scratch.cut(_chosen(made, _families(met, scratch)))
+    small, large = (chosen.filter(c) for c in ("small", "NOT small"))
+    links = scratch.cut(_joined(_sets(rows, small, size).select(F.col("family").alias("group"), "node", F.col("node").alias("root"), "hashes"), similar))
+    if not large.isEmpty():
+        sets = scratch.cut(_sets(rows, large, size).groupBy("node").agg(F.first("hashes").alias("hashes")))
+        links = links.union(_of_large(met.join(large.select("node", "class", "n"), ["node", "class"]).select("bucket", "node", "n"), sets, similar, scratch))
     named = made.join(components(links, scratch), "node", "left").select("_key", "n", F.coalesce("root", "node").alias("root"))
     least = named.filter("n > 0").groupBy("root").agg(F.min("_key").alias("least"))
     component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("_key"))
