@@ -9,7 +9,7 @@ from textlake.functions.udfs import LARGE, ONES, TENS, german_cardinal, german_o
 
 
 def _at(words: list[str], n: Column) -> Column:
-    return F.get(F.array(*map(F.lit, words)), n.cast("int"))
+    return F.get(F.split(F.lit("|".join(words)), r"\|"), n.cast("int"))
 
 
 HUNDRED = [german_cardinal(n) for n in range(100)]
@@ -56,10 +56,10 @@ def year(n: Column) -> Column:
 
 
 def ordinal_stem(n: Column) -> Column:
-    """An ordinal of less than 1,000 without its ending."""
+    """An ordinal of less than 1,000 without its ending; null beyond."""
     last = n % 100
     tail = F.when(last == 0, "st").when(last < 20, _at(STEMS, last)).otherwise(F.concat(_at(HUNDRED, last), F.lit("st")))
-    return F.when(n < 100, _at(STEMS, n)).otherwise(F.concat(_group(n - last), tail))
+    return F.when(n < 100, _at(STEMS, n)).when(n < 1000, F.concat(_group(n - last), tail))
 
 
 def digits(text: Column) -> Column:
@@ -80,15 +80,9 @@ def decade(n: Column) -> Column:
     return F.concat(F.when(n < 100, "").otherwise(year(n - rest)), tail, F.lit("er"))
 
 
-def fraction(a: Column, b: Column) -> Column:
-    """a/b of 0 < a < b <= 100; null otherwise."""
-    one = F.when(a == 1, "ein").otherwise(cardinal(a))
-    return F.when((a > 0) & (a < b) & (b <= 100), F.concat(one, F.lit(" "), _at(DENOMINATORS, b)))
-
-
-def clock(hours: Column, minutes: Column) -> Column:
-    head = F.concat(F.when(hours == 1, "ein").otherwise(cardinal(hours)), F.lit(" Uhr"))
-    return F.concat(head, F.when(minutes > 0, F.concat(F.lit(" "), cardinal(minutes))).otherwise(""))
+def fraction(a: Column, b: Column, words: Column) -> Column:
+    """a/b of 0 < a < b <= 100, given a in words; null otherwise."""
+    return F.when((a > 0) & (a < b) & (b <= 100), F.concat(F.when(a == 1, "ein").otherwise(words), F.lit(" "), _at(DENOMINATORS, b)))
 
 
 def month(n: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlake.operators import perceptron
@@ -183,6 +183,11 @@ def parse(sentences: DataFrame, parser: Parser, words: str = "words", tags: str
     without words empty lists. Rows stay where they are."""
     shared = sentences.sparkSession.sparkContext.broadcast(parser)
 
+    def label(p: Parser, seen: list[str]) -> str:
+        """Only what hangs on the root is labelled so."""
+        told = perceptron.best(p.arcs, p.labels, seen) if p.labels else "root"
+        return "dep" if told == "root" else told
+
     @F.pandas_udf("heads array<int>, labels array<string>")
     def run(words: pd.Series, tags: pd.Series) -> pd.DataFrame:
         p, out = shared.value, []
@@ -192,7 +197,7 @@ def parse(sentences: DataFrame, parser: Parser, words: str = "words", tags: str
                 continue
             forms, classes = [_form(w) for w in one], list(two)
             heads = heads_of(forms, classes, p.moves)
-            labels = ["root" if h == len(forms) else perceptron.best(p.arcs, p.labels, arc_features(forms, classes, heads, i)) for i, h in enumerate(heads)]
+            labels = ["root" if h == len(forms) else label(p, arc_features(forms, classes, heads, i)) for i, h in enumerate(heads)]
             out.append(([0 if h == len(forms) else h + 1 for h in heads], labels))
         return pd.DataFrame(out, columns=["heads", "labels"])
 
@@ -200,9 +205,7 @@ def parse(sentences: DataFrame, parser: Parser, words: str = "words", tags: str
     return sentences.withColumn(name, told).withColumn(name, F.when(F.col(f"{name}.heads").isNotNull(), F.col(name)))
 
 
-@F.pandas_udf("moves array<string>, heads array<int>")
-def oracle(heads: pd.Series) -> pd.DataFrame:
-    """The moves that lose least of a tree at every state, and the tree that they make; of equal ones the first."""
+def _oracle(heads: pd.Series) -> pd.DataFrame:
     out = []
     for column in heads:
         if column is None:
@@ -218,6 +221,11 @@ def oracle(heads: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["moves", "heads"])
 
 
+def oracle(heads: Column | str) -> Column:
+    """The moves that lose least of a tree at every state, and the tree that they make; of equal ones the first."""
+    return F.pandas_udf(_oracle, "moves array<string>, heads array<int>")(heads)
+
+
 def attachment(parsed: DataFrame, by: list[str], heads: str = "heads", labels: str = "labels", told: str = "told") -> DataFrame:
     """(by..., words, right_heads, right_labels, uas, las): words whose head is right, and whose label is too."""
     rows = F.arrays_zip(F.col(heads).alias("h"), F.col(labels).alias("l"), F.col(f"{told}.heads").alias("th"), F.col(f"{told}.labels").alias("tl"))
@@ -268,11 +276,14 @@ def _constituents(tokens: list[dict]) -> list[dict]:
     return out
 
 
-@F.pandas_udf(PHRASE)
-def phrases(tokens: pd.Series) -> pd.Series:
+def _phrases(tokens: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else _constituents(list(t)) for t in tokens], dtype=object)
+
+
+def phrases(tokens: Column | str) -> Column:
     """Constituents of a tree of conllu() tokens, by their head word's number: what a word with dependents spans, and in
     a clause its verb phrase. Words that no root reaches are left out; null trees have null ones."""
-    return pd.Series([None if t is None else _constituents(list(t)) for t in tokens], dtype=object)
+    return F.pandas_udf(_phrases, PHRASE)(tokens)
 
 
 def _merged(tokens: list[dict]) -> list[dict]:

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlake.functions import numerals as N
+from textlake.functions import text as T
+from textlake.functions import udfs
 
 W = "A-Za-zÄÖÜäöüßÀ-ÖØ-öø-ÿ"
 
@@ -68,7 +70,7 @@ def _table(text: str) -> list[list[str]]:
 
 
 def _look(pairs: dict[str, str], key: Column) -> Column:
-    return F.try_element_at(F.create_map(*(F.lit(x) for pair in pairs.items() for x in pair)), key)
+    return F.try_element_at(F.str_to_map(F.lit("\x1e".join(f"{k}\x1f{v}" for k, v in pairs.items())), F.lit("\x1e"), F.lit("\x1f")), key)
 
 
 ONE_UNIT, MANY_UNITS, GENDERS = ({r[0]: r[k] for r in _table(UNITS)} for k in (1, 2, 3))
@@ -157,6 +159,11 @@ def _number(t: Column) -> tuple[Column, Column]:
     return kind, said
 
 
+def _run(text: Column) -> Column:
+    n = text.try_cast("long")
+    return F.struct(n.alias("n"), N.whole(text).alias("whole"), F.coalesce(N.cardinal(n), N.digits(text)).alias("cardinal"), F.coalesce(N.year(n), N.digits(text)).alias("year"), N.ordinal_stem(n).alias("stem"))
+
+
 def readings(tokens: DataFrame, abbreviations: DataFrame, acronyms: DataFrame, citations: bool = False, urls: str = "short") -> DataFrame:
     """tokens(t), each once -> (t, kind, said, rest): what a token says alone. Of an ordinal and a date, `said` lacks the
     ending and `rest` follows it; of a time, `said` is that of a clock and `rest` of a ratio.
@@ -164,44 +171,45 @@ def readings(tokens: DataFrame, abbreviations: DataFrame, acronyms: DataFrame, c
     abbreviations(written, expansion, place) and acronyms(written, reading) are joined; citations are left out unless
     asked for, and addresses read as far as their host, `full` or not at all (`skip`).
     """
-    t = F.col("t")
-    num = lambda p, k=1: F.regexp_extract(t, p, k).try_cast("long")
-    pair = r"^(\d+)\s?[–—/:-]\s?(\d+)"
-    a, b = num(pair), num(pair, 2)
-    day, month, years = (num(r"^(\d+)\.\s?(\d+)\.\s?(\d+)$", k) for k in (1, 2, 3))
-    dated = day.between(1, 31) & month.between(1, 12)
+    t, runs = F.col("t"), F.col("runs")
+    first, second, third = (F.get(runs, F.lit(k)) for k in range(3))
+    a, b = first["n"], second["n"]
+    dated = a.between(1, 31) & b.between(1, 12)
     body = F.regexp_replace(t, r"^(?:https?://)?(?:www\.)?", "")
     host, path = F.regexp_extract(body, "^[^/]*", 0), F.regexp_replace(F.regexp_extract(body, "^[^/]*/(.*)$", 1), "/+$", "")
-    address = F.concat(_dotted(host), F.when((path != "") & F.lit(urls == "full"), F.concat(F.lit(" Schrägstrich "), _dotted(path))).otherwise(""))
-    quoted = F.regexp_extract_all(t, F.lit(r"\d+"), F.lit(0))
-    source = F.concat(F.when(F.size(quoted) > 1, "Quellen ").otherwise("Quelle "), F.array_join(F.transform(quoted, N.whole), " und "))
+    mail = t.rlike("^[^@]+@.+")
+    parts = F.when(mail, F.split(t, "@", 2)).when(F.lit(urls == "full") & (path != ""), F.array(host, path)).otherwise(F.array(host))
+    address = T.let(F.transform(parts, _dotted), lambda p: F.when(mail, F.array_join(p, " at ")).otherwise(F.array_join(p, " Schrägstrich ")))
+    wholes = F.transform(runs, lambda r: r["whole"])
+    source = F.concat(F.when(F.size(runs) > 1, "Quellen ").otherwise("Quelle "), F.array_join(wholes, " und "))
     both_years = a.between(1100, 2099) & b.between(1100, 2099) & t.rlike(r"^\d{4}\D")
-    say = lambda n: F.when(both_years, N.year(n)).otherwise(N.cardinal(n))
+    say = lambda r: F.when(both_years, r["year"]).otherwise(r["cardinal"])
+    clock = F.concat(F.when(a == 1, "ein").otherwise(first["cardinal"]), F.lit(" Uhr"), F.when(b > 0, F.concat(F.lit(" "), second["cardinal"])).otherwise(""))
+    ratio = F.concat(first["cardinal"], F.lit(" zu "), second["cardinal"])
     dec = r"^(\d{2,4})er([ns]?)(?:-(Jahren?))?$"
-    decade = F.concat(N.decade(num(dec)), F.regexp_extract(t, dec, 2), F.when(F.regexp_extract(t, dec, 3) != "", F.concat(F.lit(" "), F.regexp_extract(t, dec, 3))).otherwise(""))
-    power = lambda k: F.regexp_extract(t, r"^([^^]+)\^(.+)$", k)
-    operand = lambda p: F.when(p.rlike(r"^-?\d+$"), F.coalesce(N.cardinal(p.try_cast("long")), N.digits(p))).otherwise(_spell(p))
+    decade = F.concat(N.decade(a), F.regexp_extract(t, dec, 2), F.when(F.regexp_extract(t, dec, 3) != "", F.concat(F.lit(" "), F.regexp_extract(t, dec, 3))).otherwise(""))
+    power = F.transform(F.split(t, r"\^"), lambda p: F.when(p.rlike(r"^-?\d+$"), F.concat(F.when(p.startswith("-"), "minus ").otherwise(""), N.whole(F.ltrim(p, F.lit("-"))))).otherwise(_spell(p)))
     kind, number = _number(t)
     cases = [
         (F.col("reading").isNotNull(), "acronym", F.regexp_replace("reading", "'", ""), None),
         (t.rlike(r"^(?:https?://|www\.)"), "url", F.lit("") if urls == "skip" else address, None),
-        (t.rlike("^[^@]+@.+"), "email", F.concat(_dotted(F.regexp_extract(t, "^([^@]+)@", 1)), F.lit(" at "), _dotted(F.regexp_extract(t, "@(.*)$", 1))), None),
-        (t.rlike(r"^\[.+\]$"), "citation", F.when(F.size(quoted) > 0, source).otherwise("") if citations else F.lit(""), None),
-        (t.rlike(r"^\d+\.\s?\d+\.\s?\d+$") & dated & t.rlike(r"^\d{1,2}\.\s?\d{1,2}\.\s?(\d{2}|\d{4})$"), "date", N.ordinal_stem(day), F.concat_ws(" ", F.lit(""), N.month(month), F.when(years >= 1000, N.year(years)).otherwise(N.cardinal(years)))),
-        (t.rlike(r"^\d{1,2}\.\s?\d{1,2}\.\s?(\d{2}|\d{4})$") & ~t.rlike(r"^\d+\.\d+$"), "number", F.array_join(F.transform(quoted, N.whole), " "), None),
-        (t.rlike(r"^\d+:\d+\s?Uhr$") & (a <= 24) & (b < 60) & t.rlike(r":\d\d\D"), "time", N.clock(a, b), None),
-        (t.rlike(r"^\d+:\d\d$") & (a <= 24) & (b < 60), "either", N.clock(a, b), F.concat(N.cardinal(a), F.lit(" zu "), N.cardinal(b))),
-        (t.rlike(r"^\d+:\d+"), "number", F.concat(N.cardinal(a), F.lit(" zu "), N.cardinal(b)), None),
+        (mail, "email", address, None),
+        (t.rlike(r"^\[.+\]$"), "citation", F.when(F.size(runs) > 0, source).otherwise("") if citations else F.lit(""), None),
+        (t.rlike(r"^\d+\.\s?\d+\.\s?\d+$") & dated & t.rlike(r"^\d{1,2}\.\s?\d{1,2}\.\s?(\d{2}|\d{4})$"), "date", first["stem"], F.concat_ws(" ", F.lit(""), N.month(b), third["year"])),
+        (t.rlike(r"^\d{1,2}\.\s?\d{1,2}\.\s?(\d{2}|\d{4})$") & ~t.rlike(r"^\d+\.\d+$"), "number", F.array_join(F.transform(runs, lambda r: r["cardinal"]), " "), None),
+        (t.rlike(r"^\d+:\d+\s?Uhr$") & (a <= 24) & (b < 60) & t.rlike(r":\d\d\D"), "time", clock, None),
+        (t.rlike(r"^\d+:\d\d$") & (a <= 24) & (b < 60), "either", clock, ratio),
+        (t.rlike(r"^\d+:\d+"), "number", ratio, None),
         (F.col("expansion").isNotNull(), "abbreviation", F.col("expansion"), None),
         (t.rlike(dec), "decade", decade, None),
-        (t.rlike(r"^\d+\s?[–—-]\s?\d+$"), "range", F.concat(say(a), F.lit(" bis "), say(b)), None),
-        (t.rlike(r"^\d+(\.\d+)+$") & ~t.rlike(r"^\d{1,3}(\.\d{3})+$"), "version", F.array_join(F.transform(F.split(t, r"\."), N.whole), " Punkt "), None),
-        (t.rlike(r"^\d{1,3}\.$"), "ordinal", N.ordinal_stem(num(r"^(\d+)")), N.cardinal(num(r"^(\d+)"))),
-        (t.rlike(r"^\d+/\d+$"), "fraction", F.coalesce(N.fraction(a, b), F.concat(N.cardinal(a), F.lit(" Schrägstrich "), N.cardinal(b))), None),
-        (t.rlike(r"^[^^]+\^.+$"), "formula", F.concat(operand(power(1)), F.lit(" hoch "), operand(power(2))), None),
+        (t.rlike(r"^\d+\s?[–—-]\s?\d+$"), "range", F.concat(say(first), F.lit(" bis "), say(second)), None),
+        (t.rlike(r"^\d+(\.\d+)+$") & ~t.rlike(r"^\d{1,3}(\.\d{3})+$"), "version", F.array_join(wholes, " Punkt "), None),
+        (t.rlike(r"^\d{1,3}\.$"), "ordinal", first["stem"], first["cardinal"]),
+        (t.rlike(r"^\d+/\d+$"), "fraction", F.coalesce(N.fraction(a, b, first["cardinal"]), F.concat(first["cardinal"], F.lit(" Schrägstrich "), second["cardinal"])), None),
+        (t.rlike(r"^[^^]+\^.+$"), "formula", F.array_join(power, " hoch "), None),
         (t.rlike(rf"^-?\d") & ~t.rlike(rf"^\d+[{W}]|\d[{W}]+\d"), kind, number, None),
         (t.rlike("[0-9]"), "mixed", _mixed(t), None),
-        (t.rlike("^[A-ZÄÖÜ]{2,}[a-z]?$"), "short", _acronym(t), N.cardinal(F.coalesce(_look({k: str(v) for k, v in ROMAN.items()}, t), F.lit("-1")).cast("long"))),
+        (t.rlike("^[A-ZÄÖÜ]{2,}[a-z]?$"), "short", _acronym(t), _look({k: N.HUNDRED[v] for k, v in ROMAN.items()}, t)),
         (t.rlike(rf"^[{W}]$"), "letter", _spell(t), None),
         (t.rlike(rf"^[{W}]"), "word", t, None),
         (t == "#", "symbol", F.lit(""), None),
@@ -214,7 +222,9 @@ def readings(tokens: DataFrame, abbreviations: DataFrame, acronyms: DataFrame, c
     short = abbreviations.select(F.regexp_replace("written", r"\s", "").alias("_w"), "expansion").dropDuplicates(["_w"])
     known = acronyms.select(F.col("written").alias("_a"), "reading").dropDuplicates(["_a"])
     met = tokens.join(short, F.regexp_replace(t, r"\s", "") == F.col("_w"), "left").join(known, t == F.col("_a"), "left")
-    return met.select("t", told.alias("r")).filter("r IS NOT NULL").select("t", "r.*")
+    # each run of digits is put into words once, whatever its token makes of it
+    met = met.withColumn("runs", F.transform(F.regexp_extract_all(t, F.lit(r"\d+"), F.lit(0)), _run))
+    return met.select("t", F.inline(F.filter(F.array(told), lambda r: r.isNotNull())))  # worked out once, whatever is read of it
 
 
 def tidy(text: Column, final: bool = True) -> Column:
@@ -283,7 +293,7 @@ def _in_context(x: Column, place: Column, said: Column, every: Column, closing:
     great = {"Millionen": "Million", "Milliarden": "Milliarde"}
     one = F.when((after["kind"] == "abbreviation") & after["said"].isin(*great), "eine").when(noun & beside, F.when(_among(heard, DATIVE_ONE), F.when(female, "einer").otherwise("einem")).otherwise(F.when(female, "eine").otherwise("ein")))
     single = before.isNotNull() & (before["t"] == "1") & (before["kind"] == "number") & (x["kind"] == "abbreviation")
-    roman = x["rest"].isNotNull() & ~x["rest"].startswith("minus") & before["t"].rlike(r"^\p{Lu}") & before["kind"].isin("word", "acronym", "short", "english")
+    roman = x["rest"].isNotNull() & before["t"].rlike(r"^\p{Lu}") & before["kind"].isin("word", "acronym", "short", "english")
     return (
         F.when((x["kind"] == "ordinal") & before.isNull(), F.concat(x["rest"], F.lit(",")))
         .when(x["kind"] == "ordinal", F.concat(x["said"], ending)).when(x["kind"] == "date", F.concat(x["said"], ending, x["rest"]))
@@ -317,8 +327,8 @@ def read(sentences: DataFrame, key: str, abbreviations: DataFrame, acronyms: Dat
     out = cuts.join(met, key, "left")
 
     def first(t: Column, i: Column) -> Column:
-        own, plain = F.try_element_at("told", t), _alone(t, i, F.col("ts"))
-        return F.struct(t.alias("t"), i.alias("i"), *(F.when(own.isNotNull(), own[c]).otherwise(plain[c]).alias(c) for c in ("kind", "said", "rest")))
+        own = F.coalesce(F.try_element_at("told", t), _alone(t, i, F.col("ts")))
+        return T.let(own, lambda x: F.struct(t.alias("t"), i.alias("i"), x["kind"].alias("kind"), x["said"].alias("said"), x["rest"].alias("rest")))
 
     out = out.withColumn("every", F.transform("ts", first))
     out = out.withColumn("heard", F.filter("every", lambda x: ~x["kind"].isin(*SEPARATORS))).withColumn("closing", _closing(F.col("every")))
@@ -331,3 +341,23 @@ def read(sentences: DataFrame, key: str, abbreviations: DataFrame, acronyms: Dat
 
     out = out.withColumn("tokens", F.transform("every", second))
     return out.withColumn("spoken", tidy(F.array_join(F.transform("tokens", lambda x: x["written"]), ""))).select(*sentences.columns, "tokens", "spoken")
+
+
+def prepare(docs: DataFrame, key: str, abbreviations: DataFrame, acronyms: DataFrame, text: str = "text", **options) -> DataFrame:
+    """(key, paragraph, sentence, text, tokens, spoken, changed): every sentence of every document, read; `changed` counts
+    the tokens that are read otherwise than written. Null and empty texts have no sentences."""
+    blocks = docs.select(key, F.posexplode(T.blocks(F.coalesce(F.col(text), F.lit("")))).alias("paragraph", "block"))
+    parts = blocks.select(key, "paragraph", F.posexplode(udfs.sentences("block")).alias("sentence", "s"))
+    rows = parts.select(key, "paragraph", "sentence", F.col("s.text").alias("text"), F.concat_ws(":", key, "paragraph", "sentence").alias("_at"))
+    done = read(rows, "_at", abbreviations, acronyms, **options)
+    changed = F.size(F.filter("tokens", lambda x: ~x["kind"].isin(*SEPARATORS) & (x["written"] != x["text"])))
+    return done.select(key, "paragraph", "sentence", "text", "tokens", "spoken", changed.alias("changed"))
+
+
+def accuracy(rows: DataFrame, category: str = "category", told: str = "spoken", expected: str = "expected") -> DataFrame:
+    """(category, cases, right, accuracy) of each category, and of all under a null category: the words are equal, whatever
+    their case and the marks between them. A null counts as no words."""
+    words = lambda c: F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    sums = rows.select(F.col(category).alias("category"), (words(told) == words(expected)).alias("ok")).groupingSets([["category"], []], "category")
+    out = sums.agg(F.count("*").alias("cases"), F.count_if("ok").alias("right"))
+    return out.withColumn("accuracy", F.round(F.col("right") / F.col("cases"), 6))
