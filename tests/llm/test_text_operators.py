@@ -529,3 +529,12 @@ def test_scratch_needs_no_setting(spark, monkeypatch, tmp_path):
 def test_registered():
     assert [n for n in queries.QUERIES if n.startswith("op")] == sorted((n for n in queries.QUERIES if n.startswith("op")), key=lambda n: int(n[2:].split("_")[0]))
     assert len(queries.QUERIES) == 11
+
+
+def test_decontamination_of_one_word_again_and_again(spark):
+    """A million equal words: every shift of every item fits, and no row may hold them all."""
+    n = 1_000_000
+    docs = spark.createDataFrame([(1, "the " * n), (2, "a " * 300 + "the the b the the " + "a " * 300)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "the"), (2, "the the"), (5, "the " * 5), (13, "the " * 13), (90, "the " * 90)], "item_id long, text string")
+    got = sorted(map(tuple, decontam.overlaps(docs, items, shortest=1).collect()))
+    assert got == [(1, 1, 1, 1, 0), (1, 2, 2, 2, 0), (1, 5, 5, 5, 0), (1, 13, 13, 13, 0), (1, 90, 13, 13, 0), (2, 1, 1, 1, 300), (2, 2, 2, 2, 300), (2, 5, 4, 5, 300)]

@@ -14,6 +14,8 @@ MASKS = ("11111", "11001011")
 #: Rows of benchmark seeds, and words of items (eight bytes each), up to which both are broadcast; beyond
 #: either Spark shuffles both sides.
 BROADCAST_SEEDS, BROADCAST_WORDS = 200_000, 2_000_000
+#: Words of a document that are laid over an item at a time.
+BLOCK = 256
 
 
 def words(text: Column) -> Column:
@@ -75,45 +77,55 @@ def _seeded(rows: DataFrame, text: str, masks: tuple[str, ...], *keep: str, size
 def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", window: int = 13, similar: float = 0.8, masks: tuple[str, ...] = MASKS, shortest: int = 5) -> DataFrame:
     """(key, item_key, matched, window, place): benchmark items that a document holds, one row per pair.
 
-    Seeds of both sides meet in an equi-join, as narrow rows, which leaves the documents that have any and
-    how far each item is shifted; there the item is laid over the document without gaps, and the pair counts
-    if some `window` words in a row (an item with fewer: all of it) agree in at least `similar` of their places. matched is the largest number of such agreements, place the word of
-    the document where its window starts (the first of the best). The masks follow from the sizes of the
-    items (masks_for), so that every such pair has a seed. Items of fewer than `shortest` words take no part,
+    Seeds of both sides meet in an equi-join, as narrow rows, which leaves the blocks of documents that have any and
+    how far each item is shifted there; the words around such a block are laid over the item without gaps, and the pair
+    counts if some `window` words in a row (an item with fewer: all of it) agree in at least `similar` of their places.
+    matched is the largest number of such agreements, place the word of the document where its window starts (the first
+    of the best). The masks follow from the sizes of the items (masks_for), so that every such window has a seed. Items
+    of so few words that a seed is all of them need no laying over. Items of fewer than `shortest` words take no part,
     nor do null texts; null keys are keys. Repeated rows of a key count once, different texts of a key as one.
     If both tables call their key alike, the item's column gets `item_` before its name. Other columns are
     not looked at, whatever their names; an empty table gives no rows. Documents of any length are searched
-    whole: all shifts of a document come together in one row, 12 bytes each.
+    whole: no row holds more than a text's hashes, and what a shift needs is a block of BLOCK words.
     """
     items = benchmark.filter(F.col(item_text).isNotNull()).select(F.col(item_key).alias("_item"), F.col(item_text).alias("_text"))
-    items = items.filter(F.size(words(F.col("_text"))) >= max(shortest, 1))
+    items = items.withColumn("_n", F.size(words(F.col("_text")))).filter(F.col("_n") >= max(shortest, 1))
     known = items.select("_item", _hashes(F.col("_text")).alias("_words"))
     sizes: dict[str, list[int]] = {}
     for (size,) in known.select(F.least(F.size("_words"), F.lit(window))).distinct().collect():
         for mask in masks_for(size, similar, masks):
             sizes.setdefault(mask, []).append(size)
+    told = [n for m, ns in sizes.items() for n in ns if n < window and m == "1" * n and masks_for(n, similar, masks) == (m,)]
     masks = tuple(sorted(sizes, key=lambda m: (-len(m), m))) or masks
-    seeds = _seeded(items, "_text", masks, "_item", sizes=sizes, window=window).withColumnsRenamed({"at": "_at"})
+    seeds = _seeded(items, "_text", masks, "_item", "_n", sizes=sizes, window=window).withColumnsRenamed({"at": "_at"})
     n_words = known.agg(F.sum(F.size("_words") + 1).alias("n")).first()["n"] or 0
     if n_words <= BROADCAST_WORDS and seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
         known, seeds = F.broadcast(known), F.broadcast(seeds)
     rows = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    met = _seeded(rows, "_text", masks, "_key").join(seeds, "seed").select("_key", "_item", (F.col("at") - F.col("_at")).alias("shift")).distinct()
-    hits = met.groupBy(F.col("_key").alias("_of")).agg(F.collect_list(F.struct("_item", "shift")).alias("hits"))
-    again = rows.join(hits, F.col("_key").eqNullSafe(F.col("_of"))).select("_key", _hashes(F.col("_text")).alias("hashes"), "hits")
+    met = _seeded(rows, "_text", masks, "_key").join(seeds, "seed")
+    whole = F.col("_n").isin(told)
+    found = met.filter(whole).groupBy("_key", "_item").agg(F.max("_n").alias("matched"), F.max("_n").alias("window"), F.min("at").cast("long").alias("place"))
+    hits = met.filter(~whole).select("_key", "_item", (F.col("at") - F.col("_at")).alias("shift"), F.floor(F.col("at") / BLOCK).cast("int").alias("block")).distinct()
+    keys = hits.select(F.col("_key").alias("_of")).distinct()
+    h = F.col("hashes")
+    start = lambda b: F.greatest(b * BLOCK - window, F.lit(0))
+    numbers = F.sequence(F.lit(0), F.floor(F.size(h) / BLOCK).cast("int"))
+    cut = F.transform(numbers, lambda b: F.struct(b.alias("_block"), start(b).alias("from"), F.slice(h, start(b) + 1, F.lit(BLOCK + 2 * window)).alias("ws")))
+    again = rows.join(keys, F.col("_key").eqNullSafe(F.col("_of")), "left_semi").select(F.col("_key").alias("_of"), _hashes(F.col("_text")).alias("hashes"))
+    blocks = again.select("_of", F.inline(cut))
     known = known.withColumnRenamed("_item", "_known")
-    each = again.select("_key", "hashes", F.inline_outer("hits")).join(known, F.col("_item").eqNullSafe(F.col("_known")))
+    each = hits.join(blocks, F.col("_key").eqNullSafe(F.col("_of")) & (F.col("block") == F.col("_block"))).join(known, F.col("_item").eqNullSafe(F.col("_known")))
     size = F.size("_words")
-    low = F.greatest(F.col("shift"), F.lit(0))
-    length = F.least(F.col("shift") + size, F.size("hashes")) - low
-    agree = F.zip_with(F.slice("hashes", low + 1, length), F.slice("_words", low - F.col("shift") + 1, length), lambda a, b: (a == b).cast("int"))
-    laid = each.select("_key", "_item", low.alias("low"), agree.alias("agree"), F.least(F.lit(window), size).alias("window"))
+    low = F.greatest(F.col("shift"), F.col("from"))
+    length = F.greatest(F.least(F.col("shift") + size, F.col("from") + F.size("ws")) - low, F.lit(0))
+    agree = F.zip_with(F.slice("ws", low - F.col("from") + 1, length), F.slice("_words", low - F.col("shift") + 1, length), lambda a, b: (a == b).cast("int"))
+    laid = each.filter(length >= F.least(F.lit(window), size)).select("_key", "_item", low.alias("low"), agree.alias("agree"), F.least(F.lit(window), size).alias("window"))
     sums = F.transform(F.sequence(F.lit(1), F.size("agree") - F.col("window") + 1), lambda s: F.aggregate(F.slice("agree", s, F.col("window")), F.lit(0), lambda x, y: x + y))
-    summed = laid.select("_key", "_item", "low", "window", F.when(F.size("agree") >= F.col("window"), sums).alias("sums"))
+    summed = laid.select("_key", "_item", "low", "window", sums.alias("sums"))
     best = summed.select("_key", "_item", "window", F.array_max("sums").alias("matched"), (F.col("low") + F.array_position("sums", F.array_max("sums")) - 1).cast("long").alias("place"))
     # the condition stands after the grouping: pushed below, it would compute the sums anew for every place
     every = best.groupBy("_key", "_item").agg(F.max("matched").alias("matched"), F.max("window").alias("window"), F.min_by("place", F.struct(-F.col("matched"), "place")).alias("place"))
-    top = every.filter(F.col("matched") >= F.ceil(F.col("window") * F.lit(similar) - F.lit(1e-9)))
+    top = every.filter(F.col("matched") >= F.ceil(F.col("window") * F.lit(similar) - F.lit(1e-9))).select("_key", "_item", "matched", "window", "place").union(found)
     item = item_key if item_key.lower() != key.lower() else f"item_{item_key}"
     return top.select(F.col("_key").alias(key), F.col("_item").alias(item), F.col("matched").cast("long"), F.col("window").cast("long"), "place")
 
