@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlake.operators import parsing
+from textlake.operators import clauses, parsing
 from textlake.plans.evaluation import written
 from textlake.plans.queries import PATTERN, query, table
 from textlake.sources import files
@@ -97,3 +97,35 @@ def merged_hyphens(spark, sf_dir):
     read = parsing.merge_hyphens(files.conllu(spark, written(spark, lambda path: files.to_conllu(made).write.text(path))))
     inside = F.size(F.filter("tokens", lambda t: t["head"].between(0, F.size("tokens"))))
     return read.select(F.col("sent_id").cast("long").alias("item_id"), F.array_join(F.transform("tokens", lambda t: t["form"]), " ").alias("forms"), F.size("tokens").cast("long").alias("words"), inside.cast("long").alias("heads_inside"))
+
+
+_KINDS = {"nsubj": "subj", "obj": "obj", "det": "iobj", "advmod": "adv", "case": "pred", "aux": "neg", "conj": "conn", "ccomp": "nachfeld"}
+_KIND_SQL = f"CASE c.deprel {' '.join(f'WHEN {k!r} THEN {v!r}' for k, v in _KINDS.items())} END"
+_ORDER = "CASE WHEN kind = 'obj' AND n < 3 THEN 2 WHEN kind = 'iobj' AND n < 3 THEN 3 WHEN kind = 'conn' OR (kind = 'adv' AND pos < verb) THEN 4 ELSE CASE kind WHEN 'subj' THEN 0 WHEN 'iobj' THEN 5 WHEN 'neg' THEN 7 WHEN 'pred' THEN 8 ELSE 6 END END"
+
+
+@query(f"""WITH RECURSIVE {SENTENCES_SQL},
+up AS (SELECT sent_id, i, i AS top FROM g UNION ALL SELECT up.sent_id, up.i, g.head FROM up JOIN g ON g.sent_id = up.sent_id AND g.i = up.top WHERE g.head > 0),
+v AS (SELECT sent_id, i AS verb, form, (['main', 'sub', 'um', 'imperative'])[k % 4 + 1] AS type FROM g WHERE head = 0),
+p AS (SELECT v.sent_id, verb, type, c.i AS pos, {_KIND_SQL} AS kind, count(*) AS n, string_agg(m.form, ' ' ORDER BY m.i) AS words FROM v JOIN g c ON c.sent_id = v.sent_id AND c.head = verb JOIN up ON up.sent_id = v.sent_id AND up.top = c.i JOIN g m ON m.sent_id = up.sent_id AND m.i = up.i GROUP BY ALL),
+a AS (SELECT *, min(pos) FILTER (kind = 'subj') OVER (PARTITION BY sent_id) AS subject FROM p),
+f AS (SELECT *, CASE WHEN type <> 'main' THEN NULL WHEN kind NOT IN ('subj', 'neg', 'pred', 'nachfeld') AND pos < least(verb, coalesce(subject, verb)) THEN CASE kind WHEN 'conn' THEN 2 ELSE 0 END WHEN pos = subject THEN 1 END AS rank FROM a),
+o AS (SELECT *, rank IS NOT NULL AND row_number() OVER (PARTITION BY sent_id ORDER BY rank NULLS LAST, pos) = 1 AS front FROM f),
+z AS (SELECT sent_id, CASE WHEN kind = 'nachfeld' THEN 9 WHEN front THEN 2 ELSE 4 END AS zone, CASE WHEN front OR kind = 'nachfeld' THEN 0 ELSE {_ORDER} END AS key, pos, words FROM o
+UNION ALL SELECT sent_id, CASE WHEN type IN ('main', 'imperative') THEN 3 ELSE 8 END, 0, 0, CASE type WHEN 'um' THEN 'zu ' || form ELSE form END FROM v UNION ALL SELECT sent_id, 1, 0, 0, 'um' FROM v WHERE type = 'um')
+SELECT sent_id, string_agg(words, ' ' ORDER BY zone, key, pos) AS words FROM z GROUP BY sent_id""")
+def ordered_clauses(spark, sf_dir):
+    """Every tree as a German clause: the root is its verb, what hangs on it its parts, pronouns if they are short."""
+    rows = trees(spark, sf_dir)
+    flat = rows.select("sent_id", "tokens", F.inline("tokens"))
+    roots = flat.filter("head = 0").withColumn("type", F.expr("array('main', 'sub', 'um', 'imperative')[length(form) % 4]"))
+    um = F.col("type") == "um"
+    heads = roots.select(F.col("sent_id").alias("clause_id"), "type", F.col("id").alias("verb_pos"), F.when(~um, F.col("form")).alias("finite"), F.when(um, F.array(F.lit("zu"), "form")).otherwise(F.array().cast("array<string>")).alias("rest"), F.lit(None).cast("string").alias("prefix"), F.lit(None).cast("array<string>").alias("fixed"), F.lit(None).cast("array<string>").alias("intro"))
+    spans = rows.select("sent_id", F.explode(F.map_from_entries(F.transform(F.filter(parsing.phrases("tokens"), lambda p: p["label"] != "-"), lambda p: F.struct(F.concat_ws(":", p["id"], p["label"]), p)))).alias("k", "p")).select("sent_id", "p.*")
+    whole = spans.groupBy("sent_id", "id").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    kids = flat.join(roots.select("sent_id", F.col("id").alias("top")), "sent_id").filter(F.col("head") == F.col("top")).join(whole, ["sent_id", "id"], "left")
+    first, last = F.coalesce("first", "id"), F.coalesce("last", "id")
+    words = F.transform(F.slice("tokens", first, last - first + 1), lambda t: t["form"])
+    kind = F.coalesce(*(F.when(F.col("deprel") == k, v) for k, v in _KINDS.items()))
+    parts = kids.select(F.col("sent_id").alias("clause_id"), kind.alias("kind"), F.col("id").alias("pos"), (F.size(words) < 3).alias("pronoun"), F.lit(False).alias("clause"), words.alias("words"))
+    return clauses.linearized(heads, parts).select(F.col("clause_id").alias("sent_id"), F.array_join("words", " ").alias("words"))
