@@ -57,7 +57,7 @@ def spoken_orders(spark, sf_dir):
 #: Customers' balances, each in a category of its own, and what is expected: in every ninth row what is written.
 @query(f"""WITH c AS (SELECT c_custkey AS k, c_nationkey AS n, CAST(abs(round(c_acctbal * 100)) AS BIGINT) AS b FROM customer),
 g AS (SELECT CASE WHEN k % 9 = 0 THEN 0 ELSE 1 END AS ok, (['zahl', 'ordinal', 'einheit', 'bruch'])[k % 4 + 1] AS category FROM c)
-SELECT category, count(*) AS cases, CAST(sum(ok) AS BIGINT) AS "right", round(sum(ok) / count(*), 6) AS accuracy FROM g GROUP BY GROUPING SETS ((category), ())""")
+SELECT category, count(*) AS cases, CAST(sum(ok) AS BIGINT) AS correct, round(sum(ok) / count(*), 6) AS accuracy FROM g GROUP BY GROUPING SETS ((category), ())""")
 def normalization_accuracy(spark, sf_dir):
     """How many of the customers' lines are read as expected, by category and in all; the words expected are joined from
     tables of number words, not made by the reader."""
@@ -67,7 +67,7 @@ def normalization_accuracy(spark, sf_dir):
     forms = [("zahl", F.concat(F.lit("Es sind "), n, F.lit(" Zeilen.")), F.concat(F.lit("Es sind "), word, F.lit(" Zeilen."))), ("ordinal", F.concat(F.lit("Im "), n, F.lit(". Abschnitt.")), F.concat(F.lit("Im "), stem, F.lit("en Abschnitt."))), ("einheit", F.concat(F.lit("Er braucht "), n, F.lit(" ms.")), F.concat(F.lit("Er braucht "), word, F.lit(" Millisekunden."))), ("bruch", F.concat(F.lit("Es gilt "), n, F.lit(":1.")), F.concat(F.lit("Es gilt "), word, F.lit(" zu eins.")))]
     row = F.get(F.array(*(F.struct(F.lit(c).alias("category"), t.alias("text"), w.alias("expected")) for c, t, w in forms)), (F.col("k") % 4).cast("int"))
     lines = rows.select("k", row.alias("r")).select("k", "r.category", "r.text", F.when(F.col("k") % 9 == 0, F.col("r.text")).otherwise(F.col("r.expected")).alias("expected"))
-    return reading.accuracy(reading.read(lines, "k", *_tables(spark)))
+    return reading.accuracy(reading.read(lines, "k", *_tables(spark))).withColumnRenamed("right", "correct")
 
 
 @query()

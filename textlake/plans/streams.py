@@ -53,7 +53,7 @@ def reframed_turns(spark, sf_dir):
 @query("""WITH p AS (SELECT user_id, event_id AS code, ts, ts + INTERVAL 6 HOUR AS due FROM events WHERE event_type = 'purchase'),
 r AS (SELECT user_id, ts FROM events WHERE event_type <> 'purchase'),
 m AS (SELECT p.user_id, p.code, p.due, min(r.ts) AS back FROM p LEFT JOIN r ON r.user_id = p.user_id AND r.ts >= p.ts AND r.ts <= p.due GROUP BY ALL)
-SELECT user_id, code, CASE WHEN back IS NULL THEN 'lost' ELSE 'redeemed' END AS outcome, coalesce(back, due) AS at FROM m WHERE back IS NOT NULL OR due < (SELECT max(ts) FROM events)""")
+SELECT user_id, code, CASE WHEN back IS NULL THEN 'lost' ELSE 'redeemed' END AS outcome, coalesce(back, due) AS ended FROM m WHERE back IS NOT NULL OR due < (SELECT max(ts) FROM events)""")
 def pledge_outcomes(spark, sf_dir):
     """Purchases as pledges of six hours, redeemed by the user's next event of another kind."""
     events = table(spark, sf_dir, "events").select("user_id", "ts", "event_type", F.col("event_id").alias("code"))
@@ -61,4 +61,4 @@ def pledge_outcomes(spark, sf_dir):
     back = events.filter("event_type <> 'purchase'").select("user_id", F.col("ts").alias("_ts"))
     near = pawned.join(back, "user_id").filter("_ts >= ts AND _ts <= due").select("user_id", F.col("_ts").alias("ts"), F.lit("redeem").alias("kind"), "code", F.lit(None).cast("timestamp").alias("due"))
     last = events.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("user_id"), "ts", F.lit("none").alias("kind"), F.lit(-1).cast("long").alias("code"), F.lit(None).cast("timestamp").alias("due"))
-    return stateful.pledges(pawned.union(near).union(last))
+    return stateful.pledges(pawned.union(near).union(last)).withColumnRenamed("at", "ended")
