@@ -26,9 +26,11 @@ WORDS = (b"passw", b"secret", b"token", b"api")
 TOKEN = re.compile(r"\n|[\w+/.\-]+|[=:]+|[^\w\s+/.\-=:]+")
 SECRET_WORD = re.compile(r"(?:password|passwd|pwd|passphrase|secret|token|api_?key|credentials?|auth|authorization|bearer|key)$", re.I | re.A)
 #: Names that stand before a secret in altered training lines; no base pattern knows them.
-NAMES = ("pwd", "auth", "credential", "bearer", "passphrase", "access_key", "client_key", "Authorization", "db_auth", "signing-key", "conn", "value", "id", "DB_PWD")
+NAMES = ("pwd", "auth", "credential", "bearer", "passphrase", "access_key", "client_key", "Authorization", "db_auth", "signing-key", "DB_PWD", "login", "psk")
+#: Names that stand before what is no secret, however mixed it looks.
+PLAIN_NAMES = ("id", "conn", "host", "path", "file", "class", "url", "build", "version", "image", "isbn", "ref", "order", "request-id", "commit", "user", "name", "table", "date", "See", "in", "from", "by")
 #: Alphabets that values are rewritten in, so that no base pattern is what makes a secret.
-ALPHABETS = ("0123456789ABCDEF", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, string.ascii_letters + string.digits + "_-")
+ALPHABETS = ("0123456789ABCDEF", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, string.ascii_letters + string.digits + "_-", string.ascii_letters + string.digits + "!$%&*#@")
 BEGIN, INSIDE, OUT = 0, 1, 2
 #: Distinct tokens whose classes a worker remembers before it starts afresh.
 REMEMBER = 200_000
@@ -46,16 +48,40 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda s: (s[0], s[2]))
 
 
-# Token classes: a mixed-radix number of shape, length, digits, variety and word kind.
-SHAPES, LENGTHS, DIGITS, VARIETY, WORD_KINDS = 9, 8, 4, 4, 5
-CLASSES = SHAPES * LENGTHS * DIGITS * VARIETY * WORD_KINDS
-PARTS = (SHAPES, LENGTHS, DIGITS, VARIETY, WORD_KINDS)
+# Token classes: a mixed-radix number of shape, length, digits, variety, word kind and build.
+SHAPES, LENGTHS, DIGITS, VARIETY, WORD_KINDS, BUILDS = 9, 8, 4, 4, 5, 7
+CLASSES = SHAPES * LENGTHS * DIGITS * VARIETY * WORD_KINDS * BUILDS
+PARTS = (SHAPES, LENGTHS, DIGITS, VARIETY, WORD_KINDS, BUILDS)
+#: Runs that a name is built of: a word with or without a capital, capitals, digits.
+RUN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+DATED = re.compile(r"(?:19|20)\d\d[-_.]?(?:0[1-9]|1[0-2])[-_.]?(?:0[1-9]|[12]\d|3[01])")
 CONTEXTS = 10
 FILES = 16
 
 
+def token_build(token: str) -> int:
+    """What a token is built like: 1 a UUID, 2 a date or what holds one, 3 digits in groups, 4 a file, path or address of
+    words, 5 words put together, 6 a path of mixed parts; 0 anything else."""
+    if UUID.fullmatch(token):
+        return 1
+    if len(token) < 8:
+        return 0
+    if DATED.search(token):
+        return 2
+    if token[0].isdigit() and set(token) <= set("0123456789.-/+"):
+        return 3
+    runs = RUN.findall(token[:200])
+    letters = [r for r in runs if not r[0].isdigit()]
+    wordy = sum(len(r) for r in letters if len(r) >= 4) >= 0.6 * len(token[:200])
+    parts = re.split(r"[/.]", token)
+    if len(parts) > 1 and "+" not in token:
+        return 4 if wordy else 6 if any(p.isalpha() and len(p) >= 2 for p in parts) else 0
+    return 5 if wordy else 0
+
+
 def token_class(token: str) -> int:
-    """The class of a token by its shape alone."""
+    """The class of a token by its own letters."""
     size = len(token)
     if token == "\n":
         shape = 8
@@ -78,7 +104,7 @@ def token_class(token: str) -> int:
     variety = min(3, kinds // 5)
     word = 1 if SECRET_WORD.search(token) else 2 if token.startswith("AKIA") else 3 if set(token) <= set("=:") else 4 if token[0] in "\"'" else 0
     out = 0
-    for radix, part in zip(PARTS, (shape, length, digit, variety, word), strict=True):
+    for radix, part in zip(PARTS, (shape, length, digit, variety, word, token_build(token)), strict=True):
         out = out * radix + part
     return out
 
@@ -96,15 +122,19 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     for radix, part in zip(PARTS, found, strict=True):
         parts.append(part + at)
         at += radix
-    shape, length, digit, _, word = found
+    shape, length, digit, _, word, build = found
     parts.append(at + (shape * LENGTHS + length))
     at += SHAPES * LENGTHS
     parts.append(at + (shape * DIGITS + digit) * WORD_KINDS + word)
+    at += SHAPES * DIGITS * WORD_KINDS
+    parts.append(at + (build * SHAPES + shape) * LENGTHS + length)
+    for k in (0, 1, 2, 3, len(PARTS), len(PARTS) + 1):  # of a token with a build, that and its shape and length say it all
+        parts[k] = np.where(build > 0, OWN - 1, parts[k])
     context = np.select([shape == 8, word == 1, word == 3, word == 4, shape == 7, shape == 0, (length >= 3) & (digit > 0), shape == 6], [1, 2, 3, 4, 5, 6, 7, 8], 9)
     return np.stack(parts, 1), context
 
 
-OWN = sum(PARTS) + SHAPES * LENGTHS + SHAPES * DIGITS * WORD_KINDS
+OWN = sum(PARTS) + SHAPES * LENGTHS + SHAPES * DIGITS * WORD_KINDS + BUILDS * SHAPES * LENGTHS + 1
 SLOTS = OWN + 3 * CONTEXTS + FILES
 
 
@@ -148,9 +178,9 @@ def viterbi(e: np.ndarray, move: np.ndarray) -> list[int]:
 def altered(line: str, start: int, end: int, rng: np.random.Generator) -> tuple[str, int, int]:
     """The line with the secret at start:end rewritten in another alphabet under another name or none; where it is then."""
     letters = ALPHABETS[rng.integers(len(ALPHABETS))]
-    value = "".join(letters[i] for i in rng.integers(len(letters), size=int(rng.integers(16, 44))))
     head = re.sub(r"""[\w.-]*["']?\s*[:=]?\s*["']?$""", "", line[:start], count=1)
     kind = rng.integers(4)
+    value = "".join(letters[i] for i in rng.integers(len(letters), size=int(rng.integers(8 if kind else 16, 44))))  # short ones need a name
     name = NAMES[rng.integers(len(NAMES))] + ("=", ": ", " = ", ' = "', "='", ":")[rng.integers(6)] if kind else ""
     return head + name + value + line[end:], len(head + name), len(head + name + value)
 
@@ -161,13 +191,50 @@ def plain_value(line: str, start: int, end: int, rng: np.random.Generator) -> st
     return line[:start] + words[rng.integers(len(words))] + line[end:]
 
 
-def training_lines(text: str, rng: np.random.Generator, clean: float = 0.15, altered_times: int = 2, around: int = 200) -> list[tuple[np.ndarray, np.ndarray]]:
+def harmless_line(line: str, start: int, end: int, words: list[str], rng: np.random.Generator) -> str:
+    """The line with something harmless in place of the secret and of its name; nothing that a fixed pattern finds."""
+    head = re.sub(r"""[\w.-]*["']?\s*[:=]?\s*["']?$""", "", line[:start], count=1)
+    name = PLAIN_NAMES[rng.integers(len(PLAIN_NAMES))] + ("=", ": ", " = ", " ", " ", ":")[rng.integers(6)] if rng.integers(4) else ""
+    made = head + name + harmless(words, rng) + line[end:]
+    return made if not base_spans(made) else head + line[end:]
+
+
+def harmless(words: list[str], rng: np.random.Generator) -> str:
+    """What looks mixed and is no secret: an identifier, number, date, file, class, phone number or address, of given words."""
+    word = lambda: words[rng.integers(len(words))] if words else "item"
+    drawn = lambda letters, n: "".join(letters[i] for i in rng.integers(len(letters), size=n))
+    hexes, mixed, digits = "0123456789abcdef", string.ascii_lowercase + string.digits, string.digits
+    kind = rng.integers(14)
+    if kind == 0:
+        u = "-".join(drawn(hexes, n) for n in (8, 4, 4, 4, 12))
+        return u.upper() if rng.random() < 0.3 else u
+    if kind == 1:
+        return drawn(digits, int(rng.integers(9, 17)))
+    if kind == 2:
+        return "-".join(drawn(digits, int(rng.integers(1, 6))) for _ in range(int(rng.integers(3, 6))))
+    if kind == 11:
+        return f"+{rng.integers(1, 99)} ({drawn(digits, 3)}) {drawn(digits, 3)}-{drawn(digits, 4)}"
+    if kind == 12:
+        return f"{word().lower()}.{word().lower()}{rng.integers(100)}@{word().lower()}.com"
+    if kind in (3, 4, 13):
+        date = f"{rng.integers(1970, 2035)}{rng.integers(1, 13):02d}{rng.integers(1, 29):02d}"
+        return f"{word()[:4].upper()}{('', '_', '-')[rng.integers(3)]}{date}{('T' + drawn(digits, 6), '_' + drawn(digits, 4), '')[rng.integers(3)]}" + ("", "Z", ".jpg", ".log")[rng.integers(4)]
+    if kind in (5, 6):
+        return "".join(word().capitalize() for _ in range(int(rng.integers(2, 6)))) + ("", "", str(rng.integers(100)))[rng.integers(3)]
+    if kind == 7:
+        return ("_", "-")[rng.integers(2)].join(word().lower() for _ in range(int(rng.integers(2, 5)))) + (".txt", ".tar.gz", "", f"_v{rng.integers(9)}.{rng.integers(20)}")[rng.integers(4)]
+    host = f"{word().lower()}.{('com', 'org', 'net', 'de', 'io')[rng.integers(5)]}"
+    tail = ("/".join(word().lower() for _ in range(int(rng.integers(1, 4)))), drawn(mixed, int(rng.integers(8, 26))), f"{word().lower()}/{drawn(mixed, int(rng.integers(8, 20)))}")[rng.integers(3)]
+    return ("https://", "http://", "www.", "")[rng.integers(4)] + f"{host}/{tail}"
+
+
+def training_lines(text: str, rng: np.random.Generator, clean: float = 0.25, altered_times: int = 4, around: int = 200) -> list[tuple[np.ndarray, np.ndarray]]:
     """(classes, tags) of lines to learn from.
 
-    The fixed patterns tag the values in a line. Each value is also learned `altered_times` over, rewritten
-    so that no fixed pattern finds it, and once replaced by a plain word and tagged OUT: shape and context
-    decide, not the patterns. `clean` is the share of lines without a secret that are kept. Of a line, up
-    to `around` characters on either side of the value are learned.
+    The fixed patterns tag the values in a line. Each value is also learned `altered_times` over, rewritten so that no
+    fixed pattern finds it, and as what is no secret once replaced by a plain word, and once less than that by something
+    harmless(), under a name of its own or none: build and context decide, not the patterns. `clean` is the share of
+    lines without a secret that are kept. Of a line, up to `around` characters on either side of the value are learned.
     """
     out = []
 
@@ -197,17 +264,22 @@ def training_lines(text: str, rng: np.random.Generator, clean: float = 0.15, alt
                     other, a, b = altered(part, *inside[0], rng)
                     add(other, [(a, b)])
                 add(plain_value(part, *inside[0], rng), [])
+                words = re.findall(r"[^\W\d_]{3,12}", text[max(0, at - 2_000) : at + 2_000])
+                for _ in range(altered_times - 1):
+                    add(harmless_line(part, *inside[0], words, rng), [])
         if not values and rng.random() < clean:
             add(line[: 10 * around], [])
         at += len(line) + 1
     return out
 
 
-def train(texts: list[str], epochs: int = 8, rate: float = 0.3, seed: int = 3, **options) -> Model:
-    """Fit by stochastic gradient ascent on the log-likelihood of the tags of training_lines()."""
+def train(texts: list[str], epochs: int = 12, rate: float = 0.3, seed: int = 3, plain: list[str] = (), **options) -> Model:
+    """Fit by stochastic gradient ascent on the log-likelihood of the tags of training_lines(). plain: texts without secrets
+    beyond what the fixed patterns find; all lines of those without such count."""
     rng = np.random.default_rng(seed)
     parts, context = _tables()
     lines = [(classes, tags, file) for text in texts for file in (file_class(text),) for classes, tags in training_lines(text, rng, **options)]
+    lines += [(classes, tags, file) for text in plain if not base_spans(text) for file in (file_class(text),) for classes, tags in training_lines(text, rng, clean=1.0)]
     emit, move = np.zeros((SLOTS, 3)), np.zeros((3, 3))
     for epoch in range(epochs):
         step = rate / (1 + epoch)
@@ -326,16 +398,21 @@ def find(text: str, tagger: Tagger) -> tuple[list, list]:
     return base, sorted([*base, *extra], key=lambda s: (s[0], s[2]))
 
 
-def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", most: int = 2_000, longest: int = 20_000) -> Model:
+def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", most: int = 2_000, longest: int = 20_000, plain: DataFrame | None = None) -> Model:
     """A model from a bounded sample: the `most` documents of smallest key hash with at most `longest` characters.
 
-    It learns from training_lines() of them. All texts are scanned, whatever their length. No rows give a
-    model that tags nothing.
+    It learns from training_lines() of them, and from up to `most` texts of plain(text), such as addresses of pages, that
+    hold no secrets: those of smallest hash. All texts are scanned, whatever their length. No rows give a model that tags
+    nothing.
     """
+    harmless_texts = []
+    if plain is not None:
+        short = plain.filter(F.length("text").between(1, 1_000)).select("text").distinct()
+        harmless_texts = sorted(r["text"] for r in short.orderBy(F.xxhash64("text"), "text").limit(most).collect())
     rows = docs.filter(F.length(text) <= longest).select(F.col(text).alias("text"), F.xxhash64(key).alias("_hash"), F.xxhash64(text).alias("_text"))
     picked = rows.select("_hash", "_text").distinct().orderBy("_hash", "_text").limit(most)  # hashes first: texts of the picked alone travel
     found = rows.join(F.broadcast(picked), ["_hash", "_text"]).dropDuplicates(["_hash", "_text"]).collect()
-    return train([r["text"] for r in sorted(found, key=lambda r: (r["_hash"], r["_text"]))])
+    return train([r["text"] for r in sorted(found, key=lambda r: (r["_hash"], r["_text"]))], plain=harmless_texts)
 
 
 _taggers: dict[str, Tagger] = {}
