@@ -151,3 +151,19 @@ def test_shares_stay_exact(spark):
     rows = [(0, 1), (10**12, 10**13), (3, 9 * 10**15 // 1), (9 * 10**14, 9 * 10**15)]
     got = spark.createDataFrame(rows, "n long, total long").select(divergence.share("n", "total")).collect()
     assert [r[0] for r in got] == [1 + 10**9 * (n + 5) // t for n, t in rows]
+
+
+def test_closing_closes_its_own_tables_whatever_fails(spark):
+    from textlake.llm.shared import Scratch
+
+    outside = Scratch(spark)
+    made = []
+    with pytest.raises(ValueError, match="stage"), Scratch.closing():
+        made.append(Scratch(spark))
+        made[0].write(spark.range(3))
+        with Scratch.closing():
+            made.append(Scratch(spark))
+        assert made[1] not in Scratch.opened and made[0] in Scratch.opened
+        raise ValueError("stage")
+    assert made[0] not in Scratch.opened and outside in Scratch.opened
+    outside.close()

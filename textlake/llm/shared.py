@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -45,6 +46,10 @@ def shared_dir(spark: SparkSession) -> str:
     return _local[context.applicationId]
 
 
+#: What is opened inside the caller's closing(), of its own thread or task alone.
+_opened: ContextVar[list | None] = ContextVar("opened", default=None)
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage, so that a lost executor costs no recomputation.
 
@@ -58,6 +63,8 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_dir(spark)}/textlake-{uuid.uuid4().hex}"
         self.made = 0
         Scratch.opened.append(self)
+        if (opened := _opened.get()) is not None:
+            opened.append(self)
 
     def write(self, df: DataFrame) -> str:
         self.made += 1
@@ -80,14 +87,18 @@ class Scratch:
         if self in Scratch.opened:
             Scratch.opened.remove(self)
 
-    @classmethod
+    @staticmethod
     @contextmanager
-    def closing(cls) -> Iterator[None]:
-        """Close, at the end, what was opened inside."""
-        before = list(cls.opened)
-        yield
-        for one in [x for x in cls.opened if x not in before]:
-            one.close()
+    def closing() -> Iterator[None]:
+        """Close, at the end or when something fails, what this caller opened inside."""
+        opened: list[Scratch] = []
+        before = _opened.set(opened)
+        try:
+            yield
+        finally:
+            _opened.reset(before)
+            for one in opened:
+                one.close()
 
 
 def fresh(columns: list[str], stem: str) -> str:
