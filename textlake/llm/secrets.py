@@ -62,11 +62,13 @@ FILES = 16
 
 def token_build(token: str) -> int:
     """What a token is built like: 1 a UUID, 2 a date or what holds one, 3 digits in groups, 4 a file, path or address of
-    words, 5 words put together, 6 a path of mixed parts; 0 anything else."""
-    if UUID.fullmatch(token):
-        return 1
-    if len(token) < 8:
+    words, 5 words put together, 6 a path of mixed parts; 0 anything else, what is short or not ASCII too."""
+    if len(token) < 8 or not token.isascii():
         return 0
+    if token.isalpha() and token[1:].islower():  # most words, and the cheapest to tell
+        return 5
+    if len(token) == 36 and UUID.fullmatch(token):
+        return 1
     if DATED.search(token):
         return 2
     if token[0].isdigit() and set(token) <= set("0123456789.-/+"):
@@ -98,7 +100,7 @@ def token_class(token: str) -> int:
     else:
         shape = 5
     length = next(i for i, top in enumerate((3, 7, 11, 15, 19, 31, 47, 1 << 62)) if size <= top)
-    digits = sum(map(str.isdigit, token)) / size
+    digits = 0.0 if shape in (1, 2, 3) else sum(map(str.isdigit, token)) / size
     digit = 0 if not digits else 1 if digits < 0.2 else 2 if digits < 0.7 else 3
     kinds = len(set(token))
     variety = min(3, kinds // 5)
@@ -332,13 +334,18 @@ class Tagger(dict):
     def __init__(self, model: Model):
         self.model = model
         parts, self.context = _tables()
-        self.own = model.emit[parts].sum(1)
-        self.gain = self.own[:, :2].max(1) - self.own[:, OUT]
-        # a tagged token takes part in two moves at most, so if no token's lead over OUT and two best moves
-        # together reach nought, nor does any tagging of the line
-        self.reach = 2 * max(0.0, float((model.move - model.move[OUT, OUT]).max()))
+        own = model.emit[parts].sum(1)
+        self.own = [own[:, tag] - own[:, OUT] for tag in (BEGIN, INSIDE)]
+        # Against OUT throughout, tagged tokens in a row gain the lead of each and of their moves: into the first, on to each
+        # further one, and out. With the way out counted to the first and every other move to the token it leads to, the
+        # row gains nothing if no token does. Nothing leads into the first token of a line.
+        move = model.move - model.move[OUT, OUT]
+        out = max(0.0, float(move[:2, OUT].max()))
+        on = float(move[:2, BEGIN].max())
+        self.moves = max(float(move[OUT, BEGIN]) + out, on), float(move[:2, INSIDE].max())
+        self.first = max(out, on)
         self.newline = token_class("\n")
-        lead = lambda at, n: model.emit[at : at + n, :2].max(1) - model.emit[at : at + n, OUT]
+        lead = lambda at, n: [model.emit[at : at + n, tag] - model.emit[at : at + n, OUT] for tag in (BEGIN, INSIDE)]
         self.around = [lead(OWN + k * CONTEXTS, CONTEXTS) for k in range(3)]
         self.files = lead(OWN + 3 * CONTEXTS, FILES)
 
@@ -348,12 +355,17 @@ class Tagger(dict):
             self[token] = found
         return found
 
-    def leads(self, classes: np.ndarray, file: int) -> np.ndarray:
-        """Of every token, the most by which a tag beats OUT; contexts stop at line ends, as in decoding."""
+    def leads(self, classes: np.ndarray, file: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of every token, the most that it adds to a tagging's gain over OUT as BEGIN, and as INSIDE; contexts stop at line
+        ends, as in decoding."""
         ends = classes == self.newline
         c = np.concatenate([[0, 0], np.where(ends, 0, self.context[classes]), [0]])
-        second = np.where(np.concatenate([[False], ends[:-1]]), 0, c[:-3])
-        return self.gain[classes] + self.reach + self.around[0][c[1:-2]] + self.around[1][second] + self.around[2][c[3:]] + self.files[file]
+        after = np.concatenate([[False], ends[:-1]])
+        second = np.where(after, 0, c[:-3])
+        begin, inside = (self.own[k][classes] + self.around[0][k][c[1:-2]] + self.around[1][k][second] + self.around[2][k][c[3:]] + self.files[k][file] for k in (0, 1))
+        into = np.where(after, self.first, self.moves[0])
+        into[:1] = self.first
+        return begin + into, inside + self.moves[1]
 
     def spans(self, text: str) -> list[tuple[int, int]]:
         """(start, end) of every run BEGIN INSIDE* in the best tags of each line."""
@@ -363,17 +375,22 @@ class Tagger(dict):
         if not tokens:
             return []
         classes = np.fromiter(map(self.__getitem__, tokens), np.int32, count=len(tokens))
-        most = self.gain[classes].max() + self.reach + sum(float(x.max()) for x in self.around) + float(self.files.max())
-        if most < 0:
-            return []
         file = file_class(text)
-        maybe = np.flatnonzero((self.leads(classes, file) >= 0) & (classes != self.newline))
+        begin, inside = self.leads(classes, file)
+        maybe = np.flatnonzero((np.maximum(begin, inside) >= -1e-9) & (classes != self.newline))
         if not len(maybe):
             return []
         ends = np.append(np.flatnonzero(classes == self.newline), len(classes))
-        matches, out = list(TOKEN.finditer(text)), []
+        matches, out = None, []
         for line in np.unique(np.searchsorted(ends, maybe)):
             a, b = (ends[line - 1] + 1 if line else 0), ends[line]
+            row = top = -1e9  # the most that tagged tokens in a row gain, up to a token and anywhere
+            for x, y in zip(begin[a:b].tolist(), inside[a:b].tolist(), strict=True):
+                row = max(x, row + y, x + row)
+                top = max(top, row)
+            if top < -1e-9:
+                continue
+            matches = matches or list(TOKEN.finditer(text))
             tags = viterbi(_emit(self.model.emit, _tables()[0], self.context, classes[a:b], file), self.model.move)
             start = None
             for i, tag in enumerate([*tags, OUT]):
