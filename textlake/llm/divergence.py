@@ -30,7 +30,7 @@ SIDE, TERMS = 128, 512
 PAIR = "lang string, a string, b string, value long"
 
 
-def counted(docs: DataFrame, text: str, lang: str, source: str, held: int = 400_000) -> DataFrame:
+def counted(docs: DataFrame, text: str, lang: str, source: str, held: int = 600_000) -> DataFrame:
     """(lang, source, term, n, docs) over all documents, and a row of a null term for every group.
 
     A task counts up to `held` terms before it hands them on, so that a hot group leaves it as few rows.
@@ -64,7 +64,8 @@ def counted(docs: DataFrame, text: str, lang: str, source: str, held: int = 400_
                     groups, size = {}, 0
         yield handed(groups)
 
-    found = rows.mapInArrow(run, "lang string, source string, term string, n long, docs long")
+    # tasks have counted already: no second counting before the shuffle
+    found = rows.mapInArrow(run, "lang string, source string, term string, n long, docs long").repartition("lang", "term")
     return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
