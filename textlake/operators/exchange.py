@@ -81,11 +81,11 @@ def tree_lines(tree: DataFrame) -> DataFrame:
     plain = tree.filter("kind <> 'loose'")
     top = F.when(F.col("head").isNull(), F.col("text")).otherwise(F.col("head"))
     weight = plain.filter("head IS NULL").select("doc_id", F.col("text").alias("_top"), F.col("weight").alias("_weight"))
-    up = plain.select("doc_id", F.col("head").alias("_h"), F.col("text").alias("_t"), F.col("weight").alias("_w"), F.col("parent").alias("_up"))
+    up = plain.select(F.col("doc_id").alias("_doc"), F.col("head").alias("_h"), F.col("text").alias("_t"), F.col("weight").alias("_w"), F.col("parent").alias("_up"))
     rows = plain.withColumn("_top", top).join(weight, ["doc_id", "_top"])
-    rows = rows.join(up, (rows["doc_id"] == up["doc_id"]) & (rows["head"] == up["_h"]) & (rows["parent"] == up["_t"]), "left").drop(up["doc_id"])
+    rows = rows.join(up, (F.col("doc_id") == F.col("_doc")) & (F.col("head") == F.col("_h")) & (F.col("parent") == F.col("_t")), "left")
     depth = F.when(F.col("head").isNull(), 0).when(F.col("parent").isNull(), 1).when(F.col("_up").isNull(), 2).otherwise(3)
-    first = F.when(depth == 0, F.struct(F.lit(0.0).alias("w"), F.lit("").alias("t"))).when(depth == 1, F.struct((-F.col("weight")).alias("w"), F.col("text").alias("t"))).otherwise(F.struct((-F.col("_w")).alias("w"), F.col("parent").alias("t")))
+    first = F.when(depth == 0, F.struct(F.lit(float("-inf")).alias("w"), F.lit("").alias("t"))).when(depth == 1, F.struct((-F.col("weight")).alias("w"), F.col("text").alias("t"))).otherwise(F.struct((-F.col("_w")).alias("w"), F.col("parent").alias("t")))
     key = F.struct((-F.col("_weight")).alias("a"), F.col("_top").alias("b"), first.alias("c"), depth.alias("d"), (-F.col("weight")).alias("e"), F.concat(F.repeat(F.lit("    "), depth + 1), "text").alias("line"))
     lines = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda x: x["line"]), "\n").alias("lines"))
     loose = tree.filter("kind = 'loose'").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "text"))).alias("ls"))
