@@ -8,6 +8,8 @@ from math import ceil, comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textlake.llm.shared import Scratch
+
 #: Masks over word positions; 1: the word counts, 0: it may differ. Each run of 13 words with up to two
 #: substitutions holds a place where one fits; masks_for() gives others for items that are too short for that.
 MASKS = ("11111", "11001011")
@@ -102,10 +104,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str
     if n_words <= BROADCAST_WORDS and seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
         known, seeds = F.broadcast(known), F.broadcast(seeds)
     rows = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    met = _seeded(rows, "_text", masks, "_key").join(seeds, "seed")
     whole = F.col("_n").isin(told)
-    found = met.filter(whole).groupBy("_key", "_item").agg(F.max("_n").alias("matched"), F.max("_n").alias("window"), F.min("at").cast("long").alias("place"))
-    hits = met.filter(~whole).select("_key", "_item", (F.col("at") - F.col("_at")).alias("shift"), F.floor(F.col("at") / BLOCK).cast("int").alias("block")).distinct()
+    where = F.when(~whole, F.floor(F.col("at") / BLOCK)).cast("int").alias("block"), F.when(~whole, F.col("at") - F.col("_at")).alias("shift")
+    met = _seeded(rows, "_text", masks, "_key").join(seeds, "seed").groupBy("_key", "_item", "_n", *where).agg(F.min("at").cast("long").alias("place"))
+    met = Scratch(docs.sparkSession).cut(met)  # texts are searched once, for both kinds of items
+    found = met.filter("block IS NULL").groupBy("_key", "_item").agg(F.max("_n").alias("matched"), F.max("_n").alias("window"), F.min("place").alias("place"))
+    hits = met.filter("block IS NOT NULL").select("_key", "_item", "shift", "block").distinct()
     keys = hits.select(F.col("_key").alias("_of")).distinct()
     h = F.col("hashes")
     start = lambda b: F.greatest(b * BLOCK - window, F.lit(0))
