@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from textlake.llm import ann, bpe, decontam, divergence, langid, quality, repair, secrets, sigtree, simhash, substrings, tokencount, urls
 from textlake.llm.shared import held_out, table
 
-RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/")]
+RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 #: Least score that counts as good.
 GOOD = 0.7
 BPE_FILE = "byte_bpe_50k.tiktoken"
