@@ -148,3 +148,30 @@ def test_guess(spark, word, pos, de, plural):
     lexicon = spark.createDataFrame([(*e, i) for i, e in enumerate(LEXICON)], "en string, pos string, de string, gender string, plural string, rank int")
     words = spark.createDataFrame([(word, pos), (word, pos), (None, "noun"), ("xy", "noun"), ("zzzz", "noun")], "en string, pos string")
     assert [(r.de, r.plural) for r in wordformation.guess(words, lexicon).collect()] == [(de, plural)]
+
+
+def test_ngrams_are_counted_in_tasks_as_by_columns(spark):
+    """Counts and profiles of texts of any characters, owners of several texts, none and null ones."""
+    from pyspark.sql import functions as F
+
+    from textlake.functions import text as T
+    from textlake.operators import langprofiles
+
+    rows = [(1, "Das da, das!"), (1, "da ist ein Übermut"), (2, "сеть и сети"), (3, "数据 data 数据库 ế"), (4, ""), (5, None), (6, "123 ."), (None, "nobody"), (7, "x" * 40 + " y")]
+    docs = spark.createDataFrame(rows, "owner long, text string")
+    plain = docs.select("owner", F.explode(T.padded_ngrams(T.letters("text"))).alias("feature")).groupBy("owner", "feature").agg(F.count("*").alias("n"))
+    counts = langprofiles.features(docs, "ngram")
+    assert sorted(map(str, counts.collect())) == sorted(map(str, plain.collect()))
+    for limit in (5, 300):
+        want = langprofiles.profiles(plain.filter("owner is not null"), limit).select("owner", "feature", "n", "rank", "weight")
+        got = langprofiles.own_profiles(docs, limit)
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        assert "hashpartitioning(feature" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_equal_distances_tie_in_any_order(spark):
+    from textlake.operators import langprofiles
+
+    languages = spark.createDataFrame([("a", f, r) for f, r in zip("pqrstu", (1, 5, 9, 0, 2, 7))] + [("b", f, r) for f, r in zip("utsrqp", (1, 5, 9, 0, 2, 7))], "owner string, feature string, rank int")
+    docs = spark.createDataFrame([(1, f, 3) for f in "pqrstu"], "owner long, feature string, rank int")
+    assert len({r.distance for r in langprofiles.rank_distance(docs, languages).collect()}) == 1

@@ -12,11 +12,13 @@ def profile_overlap(documents: DataFrame, languages: DataFrame, least: float = 0
     """Profiles (owner, feature, n, weight) of documents and languages -> (owner, lang, found, missing, share, coverage): how
     many of a document's features a language has with at least that weight, and their weight in the document, added
     as counts, so that no order rounds. Pairs without a
-    common feature are left out. The join is on the feature; languages' profiles are few."""
-    sizes = documents.groupBy("owner").agg(F.count("*").alias("_n"))
-    theirs = languages.filter(F.col("weight") >= least).select(F.col("owner").alias("lang"), "feature")
-    met = documents.select("owner", "feature", "n", "weight").join(theirs, "feature").groupBy("owner", "lang").agg(F.count("*").alias("found"), (F.sum("n") / F.round(F.max(F.col("n") / F.col("weight")))).alias("coverage"))
-    return met.join(sizes, "owner").select("owner", "lang", "found", (F.col("_n") - F.col("found")).alias("missing"), (F.col("found") / F.col("_n")).alias("share"), "coverage")
+    common feature are left out. Languages' profiles are few and bounded; documents' are read once, and met where they are made."""
+    theirs = languages.filter(F.col("weight") >= least).select(F.col("owner").alias("lang"), "feature", F.lit(True).alias("_met"))
+    every = documents.select("owner", "feature", "n", "weight").crossJoin(F.broadcast(theirs.select("lang").distinct()))
+    met = every.join(F.broadcast(theirs), ["lang", "feature"], "left")
+    hit = lambda c: F.when(F.col("_met"), c)
+    sums = met.groupBy("owner", "lang").agg(F.count("*").alias("_n"), F.count("_met").alias("found"), F.sum(hit(F.col("n"))).alias("_uses"), F.max(hit(F.col("n") / F.col("weight"))).alias("_all")).filter("found > 0")
+    return sums.select("owner", "lang", "found", (F.col("_n") - F.col("found")).alias("missing"), (F.col("found") / F.col("_n")).alias("share"), (F.col("_uses") / F.round("_all")).alias("coverage"))
 
 
 def sizes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
