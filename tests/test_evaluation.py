@@ -86,3 +86,15 @@ def test_registry_and_counts(spark):
     assert {r.root_path: r.documents for r in tables.under_roots(roots, paths).collect()} == {"a": 2, "a/b": 1, "c": 0}
     entries = spark.createDataFrame([], "en string, pos string, de string, domain string")
     assert [r.entries for r in lexicon.counts(entries).collect()] in ([], [0])
+
+
+def test_lookup_meets_one_entry_of_a_word(spark):
+    """Of many entries of one word the best alone is joined; the domain's before general ones, then rank."""
+    from textlake.operators import lexicon
+
+    entries = spark.createDataFrame([("Ring", "noun", f"de{i}", "it" if i % 3 == 0 else "" if i % 3 == 1 else "med", 1000 - i) for i in range(900)] + [("ring", "verb", "läuten", "", 1)], "en string, pos string, de string, domain string, rank int")
+    words = spark.createDataFrame([(i, "RING", p) for i, p in enumerate(("noun", "verb", "adj", "adv", "name"))], "word_id long, en string, pos string")
+    found = lexicon.lookup(words, entries, "it")
+    assert sorted(tuple(r) for r in found.collect()) == [(0, "Ring", "noun", "de897", 0), (1, "ring", "verb", "läuten", 0), (2, "ring", "verb", "läuten", 2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("Join") :]

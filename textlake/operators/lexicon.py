@@ -30,12 +30,14 @@ def overlay(seed: DataFrame, user: DataFrame) -> DataFrame:
 
 def lookup(words: DataFrame, lexicon: DataFrame, domain: str = "") -> DataFrame:
     """words(word_id, en, pos) -> the best entry of each: the own part of speech first, then its fallbacks; the
-    domain's entries before general ones; then rank. Words without an entry are left out."""
+    domain's entries before general ones; then rank. Words without an entry are left out. Of the entries of one
+    word only the best meets the words that are asked for, however many there are."""
     tries = F.coalesce(*[F.when(F.col("pos") == k, F.array(*map(F.lit, v))) for k, v in FALLBACK.items()], F.array("pos"))
     asked = words.select("word_id", F.lower("en").alias("_en"), F.posexplode(tries).alias("step", "_pos"))
-    met = asked.join(lexicon, (F.lower("en") == F.col("_en")) & (F.col("pos") == F.col("_pos"))).filter(F.col("domain").isin("", domain))
-    best = Window.partitionBy("word_id").orderBy("step", F.when(F.col("domain") == domain, 0).otherwise(1), "rank")
-    return met.withColumn("n", F.row_number().over(best)).filter("n = 1").select("word_id", "en", "pos", "de", "step")
+    own = F.struct(F.when(F.col("domain") == domain, 0).otherwise(1), "rank")
+    entries = lexicon.filter(F.col("domain").isin("", domain)).groupBy(F.lower("en").alias("_en"), F.col("pos").alias("_pos")).agg(F.min_by(F.struct("en", "pos", "de"), own).alias("e"))
+    best = Window.partitionBy("word_id").orderBy("step")
+    return asked.join(entries, ["_en", "_pos"]).withColumn("n", F.row_number().over(best)).filter("n = 1").select("word_id", "e.en", "e.pos", "e.de", "step")
 
 
 def browse(lexicon: DataFrame, query: str = "", pos: str | None = None, source: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
