@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textlake.operators import german, sound, tagger, wordformation, writing
+from textlake.functions import text as T
+from textlake.operators import german, langprofiles, mlp, sound, tagger, wordformation, writing
 
 NOUNS = "lemma string, gender string, plural string, kind string, adjective string, degree string"
 
@@ -175,3 +176,17 @@ def test_equal_distances_tie_in_any_order(spark):
     languages = spark.createDataFrame([("a", f, r) for f, r in zip("pqrstu", (1, 5, 9, 0, 2, 7))] + [("b", f, r) for f, r in zip("utsrqp", (1, 5, 9, 0, 2, 7))], "owner string, feature string, rank int")
     docs = spark.createDataFrame([(1, f, 3) for f in "pqrstu"], "owner long, feature string, rank int")
     assert len({r.distance for r in langprofiles.rank_distance(docs, languages).collect()}) == 1
+
+
+def test_network_counts_and_keeps_within_tasks(spark):
+    """Running n-grams are added up before they are shuffled, and a task lets go of no more fragments than are learnt from."""
+    rows = [("en", "the path and the way"), ("en", "the path"), ("xx", "𝒜𝒷 я"), ("xx", ""), ("xx", None), ("y", "a")]
+    docs = spark.createDataFrame(rows, "owner string, text string").coalesce(1)
+    found = langprofiles.features(docs, "running")
+    each = docs.select("owner", F.explode(T.running_ngrams(T.letters("text"))).alias("feature")).groupBy("owner", "feature").agg(F.count("*").alias("n"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, each.collect()))
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    texts = docs.limit(1).crossJoin(spark.range(500)).select("owner", F.concat_ws(" ", F.lit("path"), F.sha2(F.col("id").cast("string"), 256)).alias("t")).coalesce(1)
+    kept = texts.mapInArrow(mlp._least(20), "owner string, f string")
+    least = texts.union(texts).union(texts).orderBy(F.xxhash64("t"), "t").limit(20).collect()  # a short text is a fragment of each of three sizes
+    assert sorted(r["f"] for r in kept.collect()) == sorted(r["t"] for r in least)
