@@ -121,3 +121,13 @@ def test_accuracy(spark):
     rows = spark.createDataFrame([("a", "Ein  Wort.", "ein wort"), ("a", None, "x"), ("b", "drei", "drei")], "category string, spoken string, expected string")
     got = {r["category"]: (r["cases"], r["right"], r["accuracy"]) for r in reading.accuracy(rows).collect()}
     assert got == {"a": (2, 1, 0.5), "b": (1, 1, 1.0), None: (3, 2, 0.666667)}
+
+
+def test_tokens_are_not_broadcast(spark):
+    """Tokens of all sentences compress well, but are as many as the sentences': only the two given tables are broadcast."""
+    tables = [spark.createDataFrame([], s) for s in (reading.ABBREVIATIONS, reading.READINGS)]
+    rows = spark.range(50).select(F.col("id").alias("k"), F.concat(F.lit("Am 3. Mai kamen "), F.col("id").cast("string"), F.lit(" Posten.")).alias("text"))
+    done = reading.read(rows, "k", *tables).select("k", "spoken")
+    assert "Am dritten Mai kamen sieben Posten." in [r["spoken"] for r in done.collect()]
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") >= 2 and "BroadcastHashJoin [t#" not in "".join(x for x in plan.split("\n") if "LeftOuter" not in x)

@@ -323,8 +323,9 @@ def read(sentences: DataFrame, key: str, abbreviations: DataFrame, acronyms: Dat
         known = english.select(F.lower("written").alias("_e"), F.regexp_replace("reading", "'", "").alias("_r")).dropDuplicates(["_e"])
         said = said.join(known, (F.lower("t") == F.col("_e")) & F.col("kind").isin("word"), "left")
         said = said.select("t", F.when(F.col("_r").isNotNull(), "english").otherwise(F.col("kind")).alias("kind"), F.coalesce("_r", "said").alias("said"), "rest")
-    met = words.join(said, "t").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("t", F.struct("kind", "said", "rest")))).alias("told"))
-    out = cuts.join(met, key, "left")
+    # both sides grow with the texts, though shuffled bytes of few different tokens look small: neither may be broadcast
+    met = words.join(said.hint("merge"), "t").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("t", F.struct("kind", "said", "rest")))).alias("told"))
+    out = cuts.join(met.hint("merge"), key, "left")
 
     def first(t: Column, i: Column) -> Column:
         own = F.coalesce(F.try_element_at("told", t), _alone(t, i, F.col("ts")))
