@@ -6,11 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlake.functions import text as T
+from textlake.session import cut
+
+#: A word is common if it is in at least one of so many documents. There are at most that many times a document's mean
+#: number of different words of them, whatever the number of documents; in practice far fewer.
+COMMON = 10_000
 
 
 def term_frequencies(docs: DataFrame, text: str = "text", key: str = "doc_id", stop_words: tuple[str, ...] = (), lemmas: DataFrame | None = None) -> DataFrame:
-    """(doc_id, lemma, tf): significant tokens counted; lemmas(form, lemma) replaces forms it knows."""
-    words = docs.select(F.col(key).alias("doc_id"), F.explode(T.tokens(text)).alias("form")).filter(T.is_significant(F.col("form"), stop_words))
+    """(doc_id, lemma, tf): significant tokens counted; lemmas(form, lemma) replaces forms it knows.
+
+    Texts are dealt by key, once; words are counted where they lie then, and so is whatever is grouped by doc_id later.
+    """
+    words = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).repartition("doc_id").select("doc_id", F.explode(T.tokens("text")).alias("form")).filter(T.is_significant(F.col("form"), stop_words))
     if lemmas is not None:
         words = words.groupBy("doc_id", "form").agg(F.count("*").alias("n")).join(lemmas, "form", "left")
         return words.groupBy("doc_id", F.coalesce("lemma", "form").alias("lemma")).agg(F.sum("n").alias("tf"))
@@ -22,17 +30,30 @@ def document_frequencies(tf: DataFrame) -> DataFrame:
     return tf.groupBy("lemma").agg(F.count("*").alias("df"))
 
 
+def with_df(tf: DataFrame, documents: DataFrame) -> DataFrame:
+    """tf(lemma, ...) with df and n, the number of documents, from the one row of documents(n).
+
+    Most rows have one of the common words: these are broadcast, so such rows stay where they are, and a word of every
+    document is no hot key. The rare words' rows are shuffled to their frequencies and need no sorting there.
+    """
+    df = document_frequencies(tf).crossJoin(F.broadcast(documents))
+    often = F.col("df") * COMMON >= F.col("n")
+    common = F.broadcast(df.filter(often))
+    rest = tf.join(F.broadcast(df.filter(often).select("lemma")), "lemma", "left_anti")
+    return tf.join(common, "lemma").unionByName(rest.join(df.filter(~often).hint("shuffle_hash"), "lemma"))
+
+
 def build(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> tuple[DataFrame, DataFrame]:
     """(postings, documents): (lemma, doc_id, tf, df, idf, weight) with weight = tf * log10(N / df), and
     (doc_id, term_count, norm) with the Euclidean norm of each document's weights.
 
     Every document counts in N, with or without terms; those without have norm 0. The count of documents is
-    a one-row side, joined without a key.
+    a one-row side, joined without a key. Frequencies are written once and read by all that follows.
     """
-    tf = term_frequencies(docs, text, key, **options)
-    total = docs.agg(F.count("*").alias("documents"))
-    idf = document_frequencies(tf).crossJoin(F.broadcast(total)).select("lemma", "df", T.inverse_frequency(F.col("documents"), F.col("df")).alias("idf"))
-    postings = tf.join(idf, "lemma").select("lemma", "doc_id", "tf", "df", "idf", (F.col("tf") * F.col("idf")).alias("weight"))
+    tf = cut(term_frequencies(docs, text, key, **options))
+    total = docs.agg(F.count("*").alias("n"))
+    idf = T.inverse_frequency(F.col("n"), F.col("df"))
+    postings = with_df(tf, total).select("lemma", "doc_id", "tf", "df", idf.alias("idf"), (F.col("tf") * idf).alias("weight"))
     sizes = postings.groupBy("doc_id").agg(F.sum("tf").alias("term_count"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     documents = docs.select(F.col(key).alias("doc_id")).join(sizes, "doc_id", "left").select("doc_id", F.coalesce("term_count", F.lit(0)).alias("term_count"), F.coalesce("norm", F.lit(0.0)).alias("norm"))
     return postings, documents

@@ -96,14 +96,16 @@ def rocchio(vectors: DataFrame, postings: DataFrame, documents: DataFrame, marks
 def similar(postings: DataFrame, documents: DataFrame, sources: DataFrame, terms: int = 25, limit: int = 10) -> DataFrame:
     """(doc_id, rank, other_id, score): documents nearest to each of sources(doc_id) over its `terms` heaviest lemmas.
 
-    The cosine uses the source's norm over those lemmas only. Sources are a bounded set; each brings at most
-    `terms` lemmas, so what meets in the join is the postings of those.
+    The cosine uses the source's norm over those lemmas only. Sources bring at most `terms` lemmas each and are broadcast;
+    the postings of these lemmas are dealt by document, so sums are whole where they are made, and a task lets go of
+    no more than its `limit` best documents of a source: pairs of sources and documents are not shuffled.
     """
     heavy = Window.partitionBy("doc_id").orderBy(F.desc(F.round("weight", 10)), "lemma")
     own = postings.join(sources.select("doc_id"), "doc_id", "left_semi").filter("weight > 0").withColumn("n", F.row_number().over(heavy)).filter(F.col("n") <= terms)
     own = own.select(F.col("doc_id").alias("source_id"), "lemma", F.col("weight").alias("own"))
     own_norm = own.groupBy("source_id").agg(F.sqrt(F.sum(F.col("own") * F.col("own"))).alias("own_norm"))
-    met = postings.join(own, "lemma").filter("doc_id <> source_id").groupBy("source_id", "doc_id").agg(F.sum(F.col("own") * F.col("weight")).alias("product"))
-    rows = met.join(own_norm, "source_id").join(documents.filter("norm > 0"), "doc_id").withColumn("score", F.round(F.col("product") / (F.col("own_norm") * F.col("norm")), 10)).filter("score > 0")
+    dealt = postings.join(F.broadcast(own.select("lemma").distinct()), "lemma", "left_semi").select("doc_id", "lemma", "weight").repartition("doc_id")
+    met = dealt.join(F.broadcast(own), "lemma").filter("doc_id <> source_id").groupBy("source_id", "doc_id").agg(F.sum(F.col("own") * F.col("weight")).alias("product"))
+    rows = met.join(documents.filter("norm > 0"), "doc_id").join(F.broadcast(own_norm), "source_id").withColumn("score", F.round(F.col("product") / (F.col("own_norm") * F.col("norm")), 10)).filter("score > 0")
     order = Window.partitionBy("source_id").orderBy(F.desc("score"), "doc_id")
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select(F.col("source_id").alias("doc_id"), "rank", F.col("doc_id").alias("other_id"), "score")
