@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from textlake.operators import index, search
+from textlake.functions import text as T
+from textlake.operators import index, search, summarize
 
 
 def docs(spark, n=40):
@@ -39,3 +40,14 @@ def test_index_of_common_and_rare_words(spark, monkeypatch):
     for common in (1, 10):
         monkeypatch.setattr(index, "COMMON", common)
         assert every() == found
+
+
+def test_sentence_weights_move_no_words(spark):
+    """Scores are those of weights joined to words, also when a key repeats, and no shuffle holds (document, sentence, word)."""
+    every = docs(spark).withColumn("text", F.concat_ws(". ", "text", F.lit("The end"), "text"))
+    sentences = summarize.sentence_rows(every, T.simple_sentences("par_text"))
+    found = summarize.weigh_sentences(sentences, index.size(every))
+    assert not [x for x in plan(found).split("\n") if "hashpartitioning" in x and "idx" in x and "lemma" in x.split("hashpartitioning")[1]]
+    plain = summarize.sentence_scores(sentences, summarize.term_weights(index.term_frequencies(every), index.size(every)))
+    rows = lambda df: sorted((str(r["doc_id"]), r["idx"], round(r["score"], 9), r["rank"]) for r in df.collect() if r["doc_id"] is not None)
+    assert rows(found) == rows(plain) and len(rows(found)) > 80

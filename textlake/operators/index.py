@@ -30,14 +30,15 @@ def document_frequencies(tf: DataFrame) -> DataFrame:
     return tf.groupBy("lemma").agg(F.count("*").alias("df"))
 
 
-def with_df(tf: DataFrame, documents: DataFrame) -> DataFrame:
-    """tf(lemma, ...) with df and n, the number of documents, from the one row of documents(n).
+def with_df(tf: DataFrame, documents: DataFrame, count: Column | None = None) -> DataFrame:
+    """tf(lemma, ...) with df and the number of documents, from the one row of documents(documents). df is the number of a
+    lemma's rows, or the given aggregate of them.
 
     Most rows have one of the common words: these are broadcast, so such rows stay where they are, and a word of every
     document is no hot key. The rare words' rows are shuffled to their frequencies and need no sorting there.
     """
-    df = document_frequencies(tf).crossJoin(F.broadcast(documents))
-    often = F.col("df") * COMMON >= F.col("n")
+    df = (document_frequencies(tf) if count is None else tf.groupBy("lemma").agg(count.alias("df"))).crossJoin(F.broadcast(documents))
+    often = F.col("df") * COMMON >= F.col("documents")
     common = F.broadcast(df.filter(often))
     rest = tf.join(F.broadcast(df.filter(often).select("lemma")), "lemma", "left_anti")
     return tf.join(common, "lemma").unionByName(rest.join(df.filter(~often).hint("shuffle_hash"), "lemma"))
@@ -51,8 +52,8 @@ def build(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -
     a one-row side, joined without a key. Frequencies are written once and read by all that follows.
     """
     tf = cut(term_frequencies(docs, text, key, **options))
-    total = docs.agg(F.count("*").alias("n"))
-    idf = T.inverse_frequency(F.col("n"), F.col("df"))
+    total = docs.agg(F.count("*").alias("documents"))
+    idf = T.inverse_frequency(F.col("documents"), F.col("df"))
     postings = with_df(tf, total).select("lemma", "doc_id", "tf", "df", idf.alias("idf"), (F.col("tf") * idf).alias("weight"))
     sizes = postings.groupBy("doc_id").agg(F.sum("tf").alias("term_count"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     documents = docs.select(F.col(key).alias("doc_id")).join(sizes, "doc_id", "left").select("doc_id", F.coalesce("term_count", F.lit(0)).alias("term_count"), F.coalesce("norm", F.lit(0.0)).alias("norm"))

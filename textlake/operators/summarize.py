@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlake.functions import text as T
+from textlake.operators import index
+from textlake.session import cut
 
 
 def sentence_rows(docs: DataFrame, sentences: Column, key: str = "doc_id") -> DataFrame:
@@ -27,10 +29,29 @@ def sentence_rows(docs: DataFrame, sentences: Column, key: str = "doc_id") -> Da
 
 def term_weights(tf: DataFrame, documents: Column) -> DataFrame:
     """tf(doc_id, lemma, tf) -> with weight = (1 + tf / largest tf) / 2 * ln(documents / df)."""
-    df = tf.groupBy("lemma").agg(F.count("*").alias("df"))
-    most = tf.groupBy("doc_id").agg(F.max("tf").alias("most"))
-    rows = tf.join(df, "lemma").join(most, "doc_id")
-    return rows.select("doc_id", "lemma", "tf", "df", (0.5 * (1 + F.col("tf") / F.col("most")) * F.log(documents / F.col("df"))).alias("weight"))
+    return _weighted(tf, documents).filter("doc_id is not null").select("doc_id", "lemma", "tf", "df", "weight")
+
+
+def _weighted(terms: DataFrame, documents: Column, **options) -> DataFrame:
+    """terms(doc_id, lemma, tf, ...), written once, with df and weight."""
+    made = cut(terms.withColumn("most", F.max("tf").over(Window.partitionBy("doc_id"))))
+    rows = index.with_df(made, made.sparkSession.range(1).select(documents.alias("documents")), **options)
+    return rows.withColumn("weight", 0.5 * (1 + F.col("tf") / F.col("most")) * F.log(F.col("documents") / F.col("df")))
+
+
+def weigh_sentences(sentences: DataFrame, documents: Column, stop_words: tuple[str, ...] = ()) -> DataFrame:
+    """sentence_scores() with the term_weights() of the sentences' own words.
+
+    A document's words stand together, so tf is summed beside them and their weights need no join of words to words; a
+    document's sums come back as one row.
+    """
+    words = sentences.select("doc_id", "idx", F.explode(T.tokens("text")).alias("lemma")).filter(T.is_significant(F.col("lemma"), stop_words)).groupBy("doc_id", "idx", "lemma").agg(F.count("*").alias("n"))
+    same = Window.partitionBy("doc_id", "lemma")
+    terms = words.withColumns({"tf": F.sum("n").over(same), "first": (F.col("idx") == F.min("idx").over(same)).cast("int")})
+    rows = _weighted(terms, documents, count=F.sum("first"))
+    sums = rows.groupBy("doc_id", "idx").agg(F.sum(F.col("n") * F.col("weight")).alias("score"))
+    own = sums.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("idx", "score"))).alias("_scores"))
+    return _placed(sentences.join(own.hint("shuffle_hash"), "doc_id", "left").withColumn("score", F.try_element_at("_scores", F.col("idx"))))
 
 
 def sentence_scores(sentences: DataFrame, weights: DataFrame, stop_words: tuple[str, ...] = ()) -> DataFrame:
@@ -38,7 +59,11 @@ def sentence_scores(sentences: DataFrame, weights: DataFrame, stop_words: tuple[
     sentence is in the document and in its paragraph; ranks from 1 by falling weight, then place."""
     words = sentences.select("doc_id", "idx", F.explode(T.tokens("text")).alias("lemma")).filter(T.is_significant(F.col("lemma"), stop_words)).groupBy("doc_id", "idx", "lemma").agg(F.count("*").alias("n"))
     sums = words.join(weights, ["doc_id", "lemma"]).groupBy("doc_id", "idx").agg(F.sum(F.col("n") * F.col("weight")).alias("score"))
-    rows = sentences.join(sums, ["doc_id", "idx"], "left").na.fill(0.0, ["score"])
+    return _placed(sentences.join(sums, ["doc_id", "idx"], "left"))
+
+
+def _placed(scored: DataFrame) -> DataFrame:
+    rows = scored.na.fill(0.0, ["score"])
     d, p = 1 - F.col("start") / F.col("doc_len"), 1 - F.col("start_in_par") / F.col("par_len")
     full = rows.withColumns({"pos_doc": d, "pos_par": p}).withColumn("weight", F.col("score") * F.col("pos_doc") * F.col("pos_par"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("weight"), "idx"))
