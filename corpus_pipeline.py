@@ -23,7 +23,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, Jaccard similarity 0.8 or more.
 
-    SimHash cannot tell that similarity (README has figures), so MinHash bands find what it would verify.
+    SimHash fingerprints within two bits (op4's) are candidates, the sets decide. Few pairs of that similarity are so near
+    (README has figures), so MinHash bands bring the candidates that fingerprints miss.
     Null and empty texts are one group; of a group the least id stays, null ids last.
     """
     return jaccard.drop_near_duplicates(docs)

@@ -167,3 +167,17 @@ def test_closing_closes_its_own_tables_whatever_fails(spark):
         raise ValueError("stage")
     assert made[0] not in Scratch.opened and outside in Scratch.opened
     outside.close()
+
+
+def test_jaccard_takes_simhash_candidates(spark, monkeypatch):
+    """Without bands, copies whose fingerprints differ by at most two bits are found by SimHash alone, and sets decide."""
+    from textlake.llm import jaccard, simhash
+
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join(base), " ".join([*base[:-1], "other"]), " ".join(base), " ".join(f"v{i}" for i in range(600)), "", None]
+    a, b = simhash.fingerprint(texts[0]), simhash.fingerprint(texts[1])
+    assert a != b and ((a ^ b) & (2**64 - 1)).bit_count() <= 2
+    monkeypatch.setattr(jaccard, "band_hashes", lambda hashes: [])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in jaccard.drop_near_duplicates(docs).collect()) == [0, 3, 4]
+    assert sorted(r["doc_id"] for r in jaccard.drop_near_duplicates(docs, similar=1.0).collect()) == [0, 1, 3, 4]

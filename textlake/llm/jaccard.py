@@ -1,4 +1,5 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles: MinHash bands find candidates, sets decide."""
+"""Near-duplicates by the exact Jaccard similarity of word shingles: SimHash fingerprints and MinHash bands find candidates,
+sets decide."""
 
 from __future__ import annotations
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from textlake.llm.components import components
 from textlake.llm.shared import Scratch, add_columns
-from textlake.llm.simhash import SEED, first_of_each
+from textlake.llm.simhash import SEED, fingerprint, first_of_each, links
 
 #: 20 bands of 4 minima: a pair of similarity 0.8 shares none with probability 3e-5, one of 0.9 with 2e-9.
 BANDS, ROWS = 20, 4
@@ -121,6 +122,14 @@ def _blocks(met: DataFrame, most: int) -> DataFrame:
     return spread.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "node", "root")
 
 
+def _alike(made: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, bucket) of made(node, fp, hashes): those whose fingerprints op4's links connect share a bucket; empty sets have none."""
+    some = made.filter(F.size("hashes") > 0).select("node", "fp").distinct()
+    fps = scratch.cut(some.select("fp").distinct())
+    roots = components(links(fps), scratch).select(F.col("node").alias("fp"), "root")
+    return some.join(roots, "fp", "left").select("node", F.coalesce("root", "fp").alias("bucket")).distinct()
+
+
 def _classes(docs: DataFrame, text: str, key: str, shingle: int, similar: float, most: int) -> DataFrame:
     """(_key, _hash, _root): every row's key, the hash of its text and the name of its component."""
 
@@ -128,12 +137,13 @@ def _classes(docs: DataFrame, text: str, key: str, shingle: int, similar: float,
         every = [shingle_hashes(t, shingle) for t in texts]
         names = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in every], dtype=np.uint64).view(np.int64)
         sets = [np.unique(h.astype(np.uint32)).view(np.int32) for h in every]
-        return {"node": pa.array(names, pa.int64()), "bands": pa.array(map(band_hashes, every), pa.list_(pa.int64())), "hashes": pa.array(sets, pa.list_(pa.int32()))}
+        return {"node": pa.array(names, pa.int64()), "fp": pa.array(map(fingerprint, texts), pa.int64()), "bands": pa.array(map(band_hashes, every), pa.list_(pa.int64())), "hashes": pa.array(sets, pa.list_(pa.int32()))}
 
     scratch = Scratch(docs.sparkSession)
     hashed = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.xxhash64(text).alias("_hash"))
-    made = scratch.cut(add_columns(hashed, "_text", make, "node long, bands array<long>, hashes array<int>").drop("_text"))
+    made = scratch.cut(add_columns(hashed, "_text", make, "node long, fp long, bands array<long>, hashes array<int>").drop("_text"))
     banded = made.groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.explode("bands").alias("bucket"))
+    banded = banded.union(_alike(made, scratch))
     several = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     met = scratch.cut(banded.join(several, "bucket"))
     sets = scratch.cut(made.select("node", "hashes").join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")))
@@ -149,7 +159,8 @@ def _classes(docs: DataFrame, text: str, key: str, shingle: int, similar: float,
 def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, similar: float = 0.8, most: int = 2_000) -> DataFrame:
     """One document of each group that chains of pairs with a Jaccard similarity of at least `similar` connect.
 
-    Equal sets are grouped first. Sets that share a MinHash band meet in a bucket. First all of a bucket are
+    Equal sets are grouped first. Texts whose SimHash fingerprints are linked, as simhash.links() has it, meet in a bucket, and
+    so do sets that share a MinHash band: of the pairs of similarity 0.8 fingerprints see few. First all of a bucket are
     compared with its least set, which connects most families; then, in buckets that are not connected
     whole, every pair is compared in tasks of at most about 2 * `most` sets, and only pairs that connect
     something new leave. Sets hold 32 bits a shingle. Null and empty texts are one group. The document of
