@@ -51,3 +51,45 @@ def test_sentence_weights_move_no_words(spark):
     plain = summarize.sentence_scores(sentences, summarize.term_weights(index.term_frequencies(every), index.size(every)))
     rows = lambda df: sorted((str(r["doc_id"]), r["idx"], round(r["score"], 9), r["rank"]) for r in df.collect() if r["doc_id"] is not None)
     assert rows(found) == rows(plain) and len(rows(found)) > 80
+
+
+def asked(spark):
+    return search.query_vectors(spark.createDataFrame([(q, w) for q in range(3) for w in ("the", f"aa{q}", f"bb{q + 1}", f"zz{q * 10}", "no-such")], "query_id long, lemma string"))
+
+
+def test_searches_meet_queries_in_tasks(spark):
+    """No pair of a query and a document passes a shuffle, several configurations read the postings once, and rows are
+    those of searches one by one, also when the index holds the queries' words only."""
+    vectors = asked(spark)
+    every = {"base": search.Modifiers(), "strict": search.Modifiers(strict=True), "flat": search.Modifiers(flat_idf=True, square=True), "short": search.Modifiers(short_bonus=True)}
+    rows = lambda df: sorted((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 8), r["matched"]) for r in df.collect())
+    postings, documents = index.build(docs(spark))
+    few, same = index.build(docs(spark), wanted=vectors)
+    found = search.search_all(vectors, few, same, every)
+    assert not [x for x in plan(found).split("\n") if "hashpartitioning(query_id" in x and "doc_id" in x.split("hashpartitioning")[1].split(")")[0]]
+    assert few.count() < postings.count()
+    norms = lambda d: sorted((r["doc_id"], r["term_count"], round(r["norm"], 9)) for r in d.filter("doc_id is not null").collect())
+    assert norms(same) == norms(documents)
+    for name, m in every.items():
+        assert rows(found.filter(F.col("configuration") == name)) == rows(search.search(vectors, postings, documents, m))
+    weights = {(r["doc_id"], r["lemma"]): r["weight"] for r in postings.collect()}
+    norm = {r["doc_id"]: r["norm"] for r in documents.collect()}
+    words = {}
+    for v in vectors.collect():
+        words.setdefault(v["query_id"], []).append(v["lemma"])
+    for q, rank, doc, score, matched in rows(found.filter("configuration = 'base'")):
+        assert abs(sum(weights.get((doc, w), 0) for w in words[q]) / (len(words[q]) ** 0.5 * norm[doc]) - score) < 1e-7
+        assert matched == sorted(w for w in words[q] if (doc, w) in weights)
+
+
+def test_explanations_move_no_pairs(spark):
+    """The heaviest words of every query and document, found beside the document's postings."""
+    postings, _ = index.build(docs(spark))
+    vectors = asked(spark)
+    found = search.explain(vectors, postings, 2)
+    assert not [x for x in plan(found).split("\n") if "hashpartitioning(query_id" in x and "doc_id" in x.split("hashpartitioning")[1].split(")")[0]]
+    want = {}
+    for r in postings.join(vectors.withColumnRenamed("weight", "w"), "lemma").collect():
+        want.setdefault((r["query_id"], r["doc_id"]), []).append((r["weight"], r["lemma"]))
+    got = {(r["query_id"], r["doc_id"]): [tuple(t) for t in r["terms"]] for r in found.collect()}
+    assert got == {k: sorted(v, reverse=True)[:2] for k, v in want.items()}

@@ -44,19 +44,26 @@ def with_df(tf: DataFrame, documents: DataFrame, count: Column | None = None) ->
     return tf.join(common, "lemma").unionByName(rest.join(df.filter(~often).hint("shuffle_hash"), "lemma"))
 
 
-def build(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> tuple[DataFrame, DataFrame]:
+def build(docs: DataFrame, text: str = "text", key: str = "doc_id", wanted: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
     """(postings, documents): (lemma, doc_id, tf, df, idf, weight) with weight = tf * log10(N / df), and
     (doc_id, term_count, norm) with the Euclidean norm of each document's weights.
 
     Every document counts in N, with or without terms; those without have norm 0. The count of documents is
     a one-row side, joined without a key. Frequencies are written once and read by all that follows.
+
+    wanted(lemma, ...), a few beside the index's: postings are those of its lemmas only, found without moving any; norms
+    are of all lemmas.
     """
     tf = cut(term_frequencies(docs, text, key, **options))
     total = docs.agg(F.count("*").alias("documents"))
     idf = T.inverse_frequency(F.col("documents"), F.col("df"))
-    postings = with_df(tf, total).select("lemma", "doc_id", "tf", "df", idf.alias("idf"), (F.col("tf") * idf).alias("weight"))
+    weighed = lambda rows: rows.select("lemma", "doc_id", "tf", "df", idf.alias("idf"), (F.col("tf") * idf).alias("weight"))
+    postings = weighed(with_df(tf, total))
     sizes = postings.groupBy("doc_id").agg(F.sum("tf").alias("term_count"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     documents = docs.select(F.col(key).alias("doc_id")).join(sizes, "doc_id", "left").select("doc_id", F.coalesce("term_count", F.lit(0)).alias("term_count"), F.coalesce("norm", F.lit(0.0)).alias("norm"))
+    if wanted is not None:
+        few = document_frequencies(tf.join(F.broadcast(wanted.select("lemma").distinct()), "lemma", "left_semi")).crossJoin(F.broadcast(total))
+        postings = weighed(tf.join(F.broadcast(few), "lemma"))
     return postings, documents
 
 

@@ -41,6 +41,53 @@ def query_vectors(queries: DataFrame, synonyms: DataFrame | None = None, vocabul
     return typed.unionByName(more.select("query_id", "lemma", F.lit(expansion).alias("weight"), F.lit(False).alias("typed")))
 
 
+def _met(vectors: DataFrame, postings: DataFrame, *columns: str) -> DataFrame:
+    """Postings of the queries' lemmas beside the queries: p and q. These postings are dealt by document before they meet the
+    queries, which are broadcast, so whatever is grouped by query and document is whole where it is made."""
+    words = vectors.select("lemma").distinct()
+    dealt = postings.join(F.broadcast(words), "lemma", "left_semi").select("doc_id", "lemma", *columns).repartition("doc_id")
+    return dealt.alias("p").join(F.broadcast(vectors).alias("q"), "lemma")
+
+
+def search_all(vectors: DataFrame, postings: DataFrame, documents: DataFrame, configurations: dict[str, Modifiers], limit: int = 10) -> DataFrame:
+    """(configuration, query_id, rank, doc_id, score, matched): search() by each configuration; postings are read and meet
+    the queries once for all of them."""
+    weights = {}
+    for m in configurations.values():
+        weight: Column = F.col("tf").cast("double") if m.flat_idf else F.col("p.weight")
+        weights[_product(m)] = F.col("q.weight") * (weight * weight if m.square else weight)
+    hits = _met(vectors, postings, "tf", "weight")
+    sums = hits.groupBy("query_id", "doc_id").agg(*[F.sum(w).alias(name) for name, w in weights.items()], F.count_if("typed").alias("typed_hits"), F.sort_array(F.collect_set("lemma")).alias("matched"))
+    lengths = vectors.groupBy("query_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("query_norm"), F.count_if("typed").alias("required"))
+    rows = sums.join(F.broadcast(lengths), "query_id").join(documents.filter("norm > 0").hint("shuffle_hash"), "doc_id")
+    scores = [F.struct(F.lit(name).alias("configuration"), F.when(_kept(m), F.round(_score(m), 10)).alias("score")) for name, m in configurations.items()]
+    scored = rows.select("query_id", "doc_id", "matched", F.inline(F.array(*scores))).filter(F.col("score") > LEAST_RANK)
+    order = Window.partitionBy("query_id", "configuration").orderBy(F.desc("score"), "doc_id")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("configuration", "query_id", "rank", "doc_id", "score", "matched")
+
+
+def _product(m: Modifiers) -> str:
+    return f"product{'_flat' if m.flat_idf else ''}{'_square' if m.square else ''}"
+
+
+def _score(m: Modifiers) -> Column:
+    score = F.col(_product(m)) / (F.col("query_norm") * F.col("norm"))
+    return score / F.log10(F.greatest(F.col("term_count"), F.lit(10))) if m.short_bonus else score
+
+
+def _kept(m: Modifiers) -> Column:
+    kept = F.lit(True)
+    if m.strict:
+        kept &= F.col("typed_hits") == F.col("required")
+    if m.ban_host is not None:
+        kept &= F.col("host") != m.ban_host
+    if m.date_from:
+        kept &= F.col("date") >= m.date_from
+    if m.date_to:
+        kept &= F.col("date") <= m.date_to
+    return kept
+
+
 def search(vectors: DataFrame, postings: DataFrame, documents: DataFrame, modifiers: Modifiers = Modifiers(), limit: int = 10) -> DataFrame:
     """(query_id, rank, doc_id, score, matched): the `limit` best documents of every query, by cosine.
 
@@ -49,33 +96,16 @@ def search(vectors: DataFrame, postings: DataFrame, documents: DataFrame, modifi
     The norm stays that of unsquared, idf-weighted vectors whatever the modifiers, so a score may exceed 1.
     Scores are rounded to ten digits, so equal documents tie however their sums ran; ties go to the smaller doc_id.
     """
-    weight: Column = F.col("tf").cast("double") if modifiers.flat_idf else F.col("p.weight")
-    if modifiers.square:
-        weight = weight * weight
-    hits = postings.alias("p").join(vectors.alias("q"), "lemma")
-    sums = hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("q.weight") * weight).alias("product"), F.count_if("typed").alias("typed_hits"), F.sort_array(F.collect_set("lemma")).alias("matched"))
-    lengths = vectors.groupBy("query_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("query_norm"), F.count_if("typed").alias("required"))
-    rows = sums.join(lengths, "query_id").join(documents, "doc_id").filter("norm > 0")
-    score = F.col("product") / (F.col("query_norm") * F.col("norm"))
-    if modifiers.short_bonus:
-        score = score / F.log10(F.greatest(F.col("term_count"), F.lit(10)))
-    if modifiers.strict:
-        rows = rows.filter("typed_hits = required")
-    if modifiers.ban_host is not None:
-        rows = rows.filter(F.col("host") != modifiers.ban_host)
-    if modifiers.date_from:
-        rows = rows.filter(F.col("date") >= modifiers.date_from)
-    if modifiers.date_to:
-        rows = rows.filter(F.col("date") <= modifiers.date_to)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    scored = rows.withColumn("score", F.round(score, 10)).filter(F.col("score") > LEAST_RANK)
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("query_id", "rank", "doc_id", "score", "matched")
+    return search_all(vectors, postings, documents, {"": modifiers}, limit).drop("configuration")
 
 
 def explain(vectors: DataFrame, postings: DataFrame, top: int = 5) -> DataFrame:
-    """(query_id, doc_id, terms): each pair's largest contributions, as (value, lemma), largest first."""
-    each = postings.alias("p").join(vectors.alias("q"), "lemma").select("query_id", "doc_id", F.struct((F.col("q.weight") * F.col("p.weight")).alias("value"), "lemma").alias("term"))
-    return each.groupBy("query_id", "doc_id").agg(F.slice(F.sort_array(F.collect_list("term"), asc=False), 1, top).alias("terms"))
+    """(query_id, doc_id, terms): each pair's largest contributions, as (value, lemma), largest first. Only these are
+    kept while rows pass, in the order in which they are sorted."""
+    each = _met(vectors, postings, "weight").select("query_id", "doc_id", F.struct((F.col("q.weight") * F.col("p.weight")).alias("value"), "lemma").alias("term"))
+    n = F.row_number().over(Window.partitionBy("doc_id", "query_id").orderBy(F.desc("term.value"), F.desc("term.lemma")))
+    first = each.withColumn("n", n).filter(F.col("n") <= top).groupBy("doc_id", "query_id").agg(*[F.max(F.when(F.col("n") == k, F.col("term"))).alias(f"t{k}") for k in range(1, top + 1)])
+    return first.select("query_id", "doc_id", F.array_compact(F.array(*[f"t{k}" for k in range(1, top + 1)])).alias("terms"))
 
 
 def rocchio(vectors: DataFrame, postings: DataFrame, documents: DataFrame, marks: DataFrame, alpha: float = 1.0, beta: float = 0.75, gamma: float = 0.15, top: int = 40) -> DataFrame:

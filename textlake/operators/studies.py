@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from textlake.functions import text as T
 from textlake.functions import udfs
 from textlake.operators import langprofiles, metrics, search
+from textlake.session import cut
 
 
 def compare_searches(vectors: DataFrame, postings: DataFrame, documents: DataFrame, qrels: DataFrame, configurations: dict[str, search.Modifiers], limit: int = 20) -> DataFrame:
     """(configuration, queries, precision, recall, ap, ndcg, bpref): means over all judged queries of each configuration."""
+    ranked = search.search_all(vectors, postings, documents, configurations, limit)
+    found = cut(ranked.select("configuration", "query_id", F.col("rank").alias("pos"), "doc_id"))  # few rows, read once a configuration
     out = None
-    for name, modifiers in configurations.items():
-        ranked = search.search(vectors, postings, documents, modifiers, limit).select("query_id", F.col("rank").alias("pos"), "doc_id")
-        means = metrics.retrieval(ranked, qrels).agg(F.count("*").alias("queries"), *[F.avg(c).alias(c) for c in ("precision", "recall", "ap", "ndcg", "bpref")]).select(F.lit(name).alias("configuration"), "*")
+    for name in configurations:
+        own = metrics.retrieval(found.filter(F.col("configuration") == name).drop("configuration"), qrels)
+        means = own.agg(F.count("*").alias("queries"), *[F.avg(c).alias(c) for c in ("precision", "recall", "ap", "ndcg", "bpref")]).select(F.lit(name).alias("configuration"), "*")
         out = means if out is None else out.unionByName(means)
     return out
 

@@ -110,8 +110,9 @@ def trial_rates(spark, sf_dir):
 c AS (SELECT query_id, doc_id, lemma, round(weight, 9) AS weight, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY round(weight, 9) DESC, lemma DESC) AS n FROM q JOIN post USING (lemma))
 SELECT query_id, doc_id, string_agg(lemma, ' ' ORDER BY n) FILTER (n <= 5) AS lemmas, round(sum(weight) FILTER (n <= 5), 6) AS total FROM c GROUP BY query_id, doc_id""")
 def explained_hits(spark, sf_dir):
-    postings = _index(spark, sf_dir)[0].withColumn("weight", F.round("weight", 9))
-    told = search.explain(search.query_vectors(_queries(spark, sf_dir)), postings)
+    vectors = search.query_vectors(_queries(spark, sf_dir))
+    postings = _index(spark, sf_dir, vectors)[0].withColumn("weight", F.round("weight", 9))
+    told = search.explain(vectors, postings)
     return told.select("query_id", "doc_id", F.array_join(F.transform("terms", lambda t: t["lemma"]), " ").alias("lemmas"), F.round(F.aggregate("terms", F.lit(0.0), lambda a, t: a + t["value"]), 6).alias("total"))
 
 
