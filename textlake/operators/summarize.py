@@ -120,18 +120,13 @@ def _gain(words: list[str], left: dict[str, int]) -> int:
 def keywords(weights: DataFrame, top: int = 10) -> DataFrame:
     """(doc_id, rank, lemma, weight): heads by tf times weight; a lemma that contains a heavier chosen one, or is
     contained in it, is passed over, and its place goes to the next (compounds of one head)."""
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        for r in pdf.sort_values(["value", "lemma"], ascending=[False, True]).itertuples():
-            if len(r.lemma) > 2 and not any(r.lemma in x or x in r.lemma for x in (o[2] for o in out)):
-                out.append((int(r.doc_id), len(out) + 1, r.lemma, float(r.value)))
-            if len(out) == top:
-                break
-        return pd.DataFrame(out, columns=["doc_id", "rank", "lemma", "weight"])
-
-    value = weights.select("doc_id", "lemma", (F.col("tf") * F.col("weight")).alias("value")).filter("value > 0")
-    return value.groupBy("doc_id").applyInPandas(pick, "doc_id long, rank int, lemma string, weight double")
+    value = weights.select("doc_id", F.struct((-F.col("tf") * F.col("weight")).alias("order"), "lemma").alias("x")).filter("x.order < 0 AND length(x.lemma) > 2")
+    sorted_ = value.groupBy("doc_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))  # a document's vocabulary
+    free = lambda acc, x: ~F.exists(acc, lambda h: h["lemma"].contains(x["lemma"]) | x["lemma"].contains(h["lemma"]))
+    take = lambda acc, x: F.when(F.size(acc) >= top, acc).when(free(acc, x), F.array_append(acc, x)).otherwise(acc)
+    chosen = F.aggregate("xs", F.array().cast("array<struct<order double, lemma string>>"), take)
+    each = sorted_.select("doc_id", F.posexplode(chosen).alias("rank", "x"))
+    return each.select("doc_id", (F.col("rank") + 1).alias("rank"), "x.lemma", (-F.col("x.order")).alias("weight"))
 
 
 def phrases(tokens: DataFrame, least: int = 2) -> DataFrame:
