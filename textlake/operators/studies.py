@@ -63,14 +63,15 @@ def number_table(docs: DataFrame, limit: int = 1000) -> DataFrame:
 
 def spoken_numbers(phrases: DataFrame, numbers: DataFrame, threshold: float = 0.75) -> DataFrame:
     """phrases(phrase_id, text) -> (phrase_id, number, score): digits as they are, words by equality, else the most similar
-    number word above threshold of the same first letter (ties: the smaller number). numbers is a table made by rule."""
+    number word above threshold of the same first letter (ties: the smaller number). numbers is a table made by rule.
+    Phrases that say the same are compared with it once."""
     said = phrases.select("phrase_id", F.replace(F.lower(F.trim("text")), F.lit(" ")).alias("said"))
     digits = said.filter(F.col("said").rlike(r"^\d{1,9}$")).select("phrase_id", F.col("said").cast("long").alias("number"), F.lit(1.0).alias("score"))
     rest = said.filter(~F.col("said").rlike(r"^\d{1,9}$"))
     start = lambda c: F.substring(c, F.lit(1), F.lit(1))
-    near = rest.join(F.broadcast(numbers), start("said") == start("words")).withColumn("score", T.similarity("said", "words")).filter(F.col("score") >= threshold)
-    best = Window.partitionBy("phrase_id").orderBy(F.desc("score"), "number")
-    return digits.unionByName(near.withColumn("n", F.row_number().over(best)).filter("n = 1").select("phrase_id", "number", "score"))
+    met = rest.select("said").distinct().join(F.broadcast(numbers), start("said") == start("words")).withColumn("score", T.similarity("said", "words")).filter(F.col("score") >= threshold)
+    best = met.groupBy("said").agg(F.min_by(F.struct("number", "score"), F.struct(-F.col("score"), "number")).alias("b"))
+    return digits.unionByName(rest.join(best, "said").select("phrase_id", "b.number", "b.score"))
 
 
 def find_word(paragraphs: DataFrame, stem: str, current: int) -> DataFrame:
