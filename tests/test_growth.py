@@ -1,9 +1,12 @@
 """What grows with the square of the input, or moves all of it again, does not pass a shuffle; rows stay those of plain versions."""
 
+import re
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from textlake.functions import text as T
-from textlake.operators import index, search, summarize
+from textlake.operators import index, metrics, search, studies, summarize
 
 
 def docs(spark, n=40):
@@ -93,3 +96,45 @@ def test_explanations_move_no_pairs(spark):
         want.setdefault((r["query_id"], r["doc_id"]), []).append((r["weight"], r["lemma"]))
     got = {(r["query_id"], r["doc_id"]): [tuple(t) for t in r["terms"]] for r in found.collect()}
     assert got == {k: sorted(v, reverse=True)[:2] for k, v in want.items()}
+
+
+def test_chrf_moves_no_grams(spark):
+    """A pair's n-grams stay in its row; figures are those of plain counts, whatever the letters."""
+    texts = [("abc def", "abcdef"), ("aaaa", "aa"), ("", "x"), ("y", ""), (None, "abc"), ("größe 😀😀", "gröss 😀"), ("ab" * 50, "ba" * 40)]
+    pairs = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "pair_id int, hypothesis string, reference string")
+    found = metrics.chrf(pairs)
+    assert "Exchange" not in plan(found)
+    for r in found.collect():
+        h, f = (re.sub(r"\s+", "", t or "") for t in texts[r["pair_id"]])
+        each = []
+        for a, b in ((h, f), (f, h)):
+            grams = lambda s, n: Counter(s[i : i + n] for i in range(len(s) - n + 1))
+            shares = [(grams(a, n) & grams(b, n)).total() / (len(a) - n + 1) for n in range(1, 7) if len(a) >= n]
+            each.append(sum(shares) / len(shares) if shares else 0)
+        p, q = each
+        assert abs(r["chrf"] - (100 * 5 * p * q / (4 * p + q) if p + q else 0)) < 1e-9
+
+
+def test_equal_numbers_are_compared_once(spark):
+    """Phrases meet number words by what they say, once; ties go to the smaller number."""
+    numbers = spark.createDataFrame([("zwei", 2), ("drei", 3), ("zwex", 9), ("zwel", 7)], "words string, number long")
+    phrases = spark.createDataFrame([(i, t) for i, t in enumerate(["zwei", " ZWEI", "zwey", "17", "vier", None, "dreii", "zwey"])], "phrase_id long, text string")
+    found = studies.spoken_numbers(phrases, numbers)
+    assert "hashpartitioning(phrase_id" not in plan(found) and "hashpartitioning(said" in plan(found)
+    assert sorted((r["phrase_id"], r["number"], round(r["score"], 6)) for r in found.collect()) == [(0, 2, 1.0), (1, 2, 1.0), (2, 2, 0.75), (3, 17, 1.0), (6, 3, 0.8), (7, 2, 0.75)]
+
+
+def test_keywords_are_chosen_in_their_row(spark):
+    """No Python sees a document's words; heads are those of a plain choice, also among equal weights."""
+    words = [(d, w, 1 + (i + d) % 3, 0.5 * (i % 4)) for d in range(5) for i, w in enumerate("haus haustür tür ab garten gartenhaus zaun übung üben straße rasse hof bahnhof".split())]
+    weights = spark.createDataFrame(words, "doc_id long, lemma string, tf long, weight double")
+    found = summarize.keywords(weights, 4)
+    assert "Pandas" not in plan(found)
+    want = []
+    for d in range(5):
+        taken = []
+        for value, w in sorted((-tf * x, w) for k, w, tf, x in words if k == d and x > 0 and len(w) > 2):
+            if len(taken) < 4 and not any(w in t or t in w for _, t in taken):
+                taken.append((value, w))
+        want += [(d, n, w, -value) for n, (value, w) in enumerate(taken, 1)]
+    assert sorted(tuple(r) for r in found.collect()) == want

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlake.functions import text as T
+from textlake.functions import udfs
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -112,12 +113,14 @@ def sentence_bleu(pairs: DataFrame, most: int = 4) -> DataFrame:
 
 def chrf(pairs: DataFrame, most: int = 6, beta: float = 2.0) -> DataFrame:
     """pairs(pair_id, hypothesis, reference strings) -> (pair_id, chrf): spaces left out, precisions and recalls
-    averaged over the orders where the side has n-grams."""
+    averaged over the orders where the side has n-grams. A pair's n-grams stay in its row."""
     bare = pairs.select("pair_id", *[F.regexp_replace(c, r"\s+", "").alias(c) for c in ("hypothesis", "reference")])
-    c = _clipped(bare, T.long_grams, tuple(range(1, most + 1)))
-    means = c.groupBy("pair_id").agg(F.avg(F.try_divide("common", "hyp")).alias("p"), F.avg(F.try_divide("common", "ref")).alias("r"))
-    p, r, b = F.coalesce("p", F.lit(0.0)), F.coalesce("r", F.lit(0.0)), beta * beta
-    return pairs.select("pair_id").join(means, "pair_id", "left").select("pair_id", (100 * _ratio((1 + b) * p * r, b * p + r)).alias("chrf"))
+    counts = bare.select("pair_id", udfs.shared_grams("hypothesis", "reference", F.lit(most)).alias("common"), F.length("hypothesis").alias("h"), F.length("reference").alias("r"))
+    orders = F.sequence(F.lit(1), F.lit(most))
+    mean = lambda side: F.aggregate(F.filter(orders, lambda n: n <= F.col(side)), F.lit(0.0), lambda a, n: a + F.get("common", n - 1) / (F.col(side) - n + 1)) / F.least(F.lit(most), side)
+    means = counts.select("pair_id", *[F.when(F.col(side) > 0, mean(side)).otherwise(0.0).alias(name) for side, name in (("h", "p"), ("r", "r"))])
+    p, r, b = F.col("p"), F.col("r"), beta * beta
+    return means.select("pair_id", (100 * _ratio((1 + b) * p * r, b * p + r)).alias("chrf"))
 
 
 def word_errors(pairs: DataFrame) -> DataFrame:
