@@ -6,7 +6,7 @@ subordinate clause its finite verb last; what follows zu and um its infinitive.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Order of what stands between the verbs, by kind.
@@ -42,17 +42,16 @@ def linearized(clauses: DataFrame, parts: DataFrame) -> DataFrame:
     empty = F.array().cast("array<string>")
     known = clauses.select("clause_id", c("type").alias("_type"), c("verb_pos").alias("_verb"), c("prefix").isNotNull().alias("_prefix"))
     rows = parts.withColumn("words", F.coalesce("words", empty)).join(known, "clause_id")
-    subjects = rows.filter("kind = 'subj'").groupBy("clause_id").agg(F.min("pos").alias("_subject"))
-    rows = rows.join(subjects, "clause_id", "left")
+    whole = Window.partitionBy("clause_id")  # a clause has few parts
+    rows = rows.withColumn("_subject", F.min(F.when(c("kind") == "subj", c("pos"))).over(whole))
     first = F.lower(F.get("words", F.lit(0)))
     ahead = ~c("kind").isin("subj", "refl", "neg", "pred", "nachfeld", "pre") & (c("pos") < F.least("_verb", F.coalesce("_subject", "_verb")))
     main = F.when(ahead & (c("kind") != "conn"), 0).when((c("kind") == "subj") & (c("pos") == c("_subject")), 1).when(ahead, 2)
     asks = F.when((ahead | ((c("kind") == "subj") & (c("pos") == c("_subject")) & (c("pos") < c("_verb")))) & first.isin(*WH), F.when(ahead, 0).otherwise(1))
     rank = F.when(c("_type") == "main", main).when(c("_type") == "question", asks)
     place = F.struct("rank", "pos", "words", "kind")
-    ranked = rows.withColumn("rank", rank)
-    front = ranked.filter("rank IS NOT NULL").groupBy("clause_id").agg(F.min(place).alias("_front"))
-    rows = ranked.join(front, "clause_id", "left").withColumn("_is", F.coalesce(place == c("_front"), F.lit(False)))
+    ranked = rows.withColumn("rank", rank).withColumn("_front", F.min(F.when(c("rank").isNotNull(), place)).over(whole))
+    rows = ranked.withColumn("_is", F.coalesce(place == c("_front"), F.lit(False)))
     zone = F.when(c("kind") == "nachfeld", AFTER).when(c("kind") == "pre", PRE).when("_is" if False else c("_is"), FRONT).otherwise(FIELD)
     key = F.when(zone == FIELD, _key(c("pos") < c("_verb"))).otherwise(0)
     words = F.when(c("_is") & F.coalesce("clause", F.lit(False)), F.concat("words", F.array(F.lit(",")))).otherwise(c("words"))
