@@ -6,7 +6,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from textlake.functions import text as T
-from textlake.operators import index, metrics, search, studies, summarize
+from textlake.operators import clauses, evaluation, index, metrics, parsing, search, studies, summarize
 
 
 def docs(spark, n=40):
@@ -138,3 +138,29 @@ def test_keywords_are_chosen_in_their_row(spark):
                 taken.append((value, w))
         want += [(d, n, w, -value) for n, (value, w) in enumerate(taken, 1)]
     assert sorted(tuple(r) for r in found.collect()) == want
+
+
+def test_keyword_scores_stay_in_their_row(spark):
+    """No word is shuffled or joined; shares are those of plain counts, ties by name."""
+    rows = [(0, ["b", "x"], ["a", "b", "b", "c", "a"], ["a", "x", "x"]), (1, [], ["a"], ["a"]), (2, ["q", "r", "s"], ["q", "r", "r", "s"], ["r"]), (3, ["a"], [], [])]
+    found = evaluation.keyword_scores(spark.createDataFrame(rows, "doc_id long, keywords array<string>, words array<string>, reference array<string>"))
+    assert "Exchange" not in plan(found)
+    assert sorted((r[0], round(r[1], 6), round(r[2], 6)) for r in found.collect()) == [(0, 0.5, 0.5), (2, 0.333333, 0.333333), (3, 0.0, 0.0)]
+
+
+def test_parts_of_a_clause_are_placed_together(spark):
+    """Subject and front are found beside a clause's parts: parts meet their clauses by one join."""
+    heads = spark.createDataFrame([("a", "main", 2, "sieht", [], None, None, None)], clauses.CLAUSES)
+    parts = spark.createDataFrame([("a", "subj", 1, False, False, ["er"]), ("a", "obj", 3, True, False, ["es"]), ("a", "adv", 0, False, False, ["heute"]), ("b", "adv", 0, False, False, ["nie"])], clauses.PARTS)
+    found = clauses.linearized(heads, parts)
+    assert plan(found).split("Initial Plan")[-1].count("Join ") == 1
+    assert [tuple(r) for r in found.collect()] == [("a", ["heute", "sieht", "er", "es"], "adv")]
+
+
+def test_training_reads_the_treebank_once(spark, monkeypatch):
+    """The sentences learned from are chosen once, not at every pass."""
+    seen = []
+    monkeypatch.setattr(parsing.perceptron, "train", lambda examples, *a: seen.append(plan(examples)) or {})
+    trees = spark.range(3).selectExpr("string(id) sent_id", "array('a', 'b') words", "array('X', 'Y') tags", "array(2, 0) heads", "array('obj', 'root') labels")
+    assert parsing.train(trees, "sent_id").labels == ["obj", "root"]
+    assert len(seen) == 2 and not [p for p in seen if "TakeOrdered" in p or "Sort" in p]
