@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textlake.functions import text as T
 from textlake.operators import clauses, evaluation, index, metrics, parsing, search, studies, summarize
+from textlake.plans import keywordtree as keywordtree_plans
 
 
 def docs(spark, n=40):
@@ -164,3 +165,8 @@ def test_training_reads_the_treebank_once(spark, monkeypatch):
     trees = spark.range(3).selectExpr("string(id) sent_id", "array('a', 'b') words", "array('X', 'Y') tags", "array(2, 0) heads", "array('obj', 'root') labels")
     assert parsing.train(trees, "sent_id").labels == ["obj", "root"]
     assert len(seen) == 2 and not [p for p in seen if "TakeOrdered" in p or "Sort" in p]
+
+
+def test_keyword_trees_read_words_once(spark):
+    """Words and terms are written once: no text is taken apart for every table that is made of them."""
+    assert "regexp_extract_all" not in plan(keywordtree_plans.keyword_tree(spark, "/root/testdata/sf0.001"))

@@ -10,6 +10,7 @@ from textlake.functions.stems import german
 from textlake.operators import keywordtree
 from textlake.operators.keywordtree import PREFIXES, WORD
 from textlake.plans.queries import query, table
+from textlake.session import cut
 
 PIECE = rf"{WORD}|[^\s\p{{L}}]+"
 WORDS_SQL = rf"""s AS (SELECT doc_id, generate_subscripts(ps, 1) AS part, unnest(ps) AS p FROM (SELECT doc_id, regexp_split_to_array(text, '[.!?\n]+') AS ps FROM documents WHERE lang = 'de' AND text IS NOT NULL)),
@@ -48,8 +49,8 @@ SELECT doc_id, NULL AS head, h.s AS text, 'word' AS kind, CAST(h.f AS BIGINT) AS
 UNION ALL SELECT doc_id, head, text, CASE WHEN head IS NULL THEN 'loose' ELSE kind END, CAST(freq AS BIGINT), round(weight, 6) FROM rk WHERE r <= CASE WHEN head IS NULL THEN 5 ELSE 4 END""")
 def keyword_tree(spark, sf_dir):
     """Keyword trees of all German documents; terms are words in small letters, which SQL can tell too."""
-    rows = keywordtree.german_words(_words(spark, sf_dir), stem=F.lower)
-    found = keywordtree.terms(rows)
+    rows = cut(keywordtree.german_words(_words(spark, sf_dir), stem=F.lower))  # terms and phrases read them
+    found = cut(keywordtree.terms(rows))  # heads, phrases, compounds and weights read them
     done = keywordtree.tree(found, keywordtree.heads(found), keywordtree.german_phrases(rows, found))
     return done.select("doc_id", "head", "text", "kind", "freq", F.round("weight", 6).alias("weight"))
 
