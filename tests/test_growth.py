@@ -36,6 +36,51 @@ def test_similar_pairs_stay_in_tasks(spark):
         assert abs(dot / (sum(x * x for x in own.values()) ** 0.5 * norms[b]) - score) < 1e-9
 
 
+def test_similar_of_every_document_in_blocks(spark, monkeypatch, tmp_path):
+    """All documents have their nearest, as the query's SQL finds them, however many blocks they are dealt into."""
+    import duckdb
+
+    from textlake.operators import tiles
+    from textlake.plans.queries import ORACLES, QUERIES
+
+    every = docs(spark, 150).filter("doc_id is not null").dropDuplicates(["doc_id"])
+    every.unionByName(spark.createDataFrame([(900, "the"), (901, "the"), (902, "aa1 aa1 cc3")], "doc_id long, text string")).write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = c.execute(f"SELECT doc_id, rank, other_id, score FROM ({ORACLES['similar_docs']}) ORDER BY doc_id, rank").fetchall()
+    assert len({w[0] for w in want}) > 140
+    for tile, least, short in ((6_000_000, 250_000, 256), (100, 250_000, 1), (6_000_000, 10, 5)):
+        monkeypatch.setattr(search, "TILE", tile)
+        monkeypatch.setattr(search, "LEAST_TILE", least)
+        monkeypatch.setattr(tiles, "SHORT", short)  # of this process alone: workers have the module's
+        got = QUERIES["similar_docs"](spark, str(tmp_path)).select("doc_id", "rank", "other_id", "score").orderBy("doc_id", "rank").collect()
+        assert [tuple(r) for r in got] == want
+
+
+def test_block_scores_are_plain_sums(monkeypatch):
+    import numpy as np
+
+    from textlake.operators import tiles
+
+    rng = np.random.default_rng(7)
+    vectors = [dict(zip(rng.choice(60, rng.integers(1, 25), replace=False).tolist(), rng.uniform(0.1, 2, 25).tolist(), strict=False)) for _ in range(1500)]
+    vectors += vectors[:200] + [{3: 1.0}] * 30
+    lists = lambda vs: (np.array([len(v) for v in vs]), np.array([k for v in vs for k in v]), np.array([w for v in vs for w in v.values()]))
+    norms = np.array([sum(w * w for w in v.values()) ** 0.5 for v in vectors])
+    ids = rng.permutation(len(vectors)) * 3
+    block = tiles.Block(ids, norms, *lists(vectors))
+    for short, cells in ((256, 1 << 20), (1, 5000), (10**6, 1)):
+        monkeypatch.setattr(tiles, "SHORT", short)
+        monkeypatch.setattr(tiles, "CELLS", cells)
+        asked = [{3: 2.0}, {999: 1.0}, *vectors[:40]]
+        source, doc, score = block.nearest(np.array([10**6, 10**6 + 1, *ids[:40]]), *lists(asked), 10)
+        for own, v in zip([10**6, 10**6 + 1, *ids[:40]], asked, strict=True):
+            plain = sorted((-round(sum(w * o.get(k, 0) for k, w in v.items()) / n / sum(w * w for w in v.values()) ** 0.5, 10), i) for i, o, n in zip(ids.tolist(), vectors, norms.tolist(), strict=True) if i != own)
+            want = [(i, -s) for s, i in plain[:10] if s < 0]
+            got = sorted(zip(doc[source == own].tolist(), np.round(score[source == own], 10).tolist(), strict=True), key=lambda x: (-x[1], x[0]))
+            assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([s for _, s in got], [s for _, s in want], atol=1e-9)
+
+
 def test_index_of_common_and_rare_words(spark, monkeypatch):
     """Whether a word is broadcast or shuffled, it has the same postings; texts of one key are one document."""
     every = lambda: sorted((str(r["doc_id"]), r["lemma"], r["tf"], r["df"], round(r["weight"], 9)) for r in index.build(docs(spark))[0].collect())

@@ -7,6 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textlake.operators import tiles
+from textlake.session import cut
+
 LEAST_RANK = 1e-9
 
 
@@ -123,19 +126,33 @@ def rocchio(vectors: DataFrame, postings: DataFrame, documents: DataFrame, marks
     return summed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("query_id", "lemma", "weight")
 
 
-def similar(postings: DataFrame, documents: DataFrame, sources: DataFrame, terms: int = 25, limit: int = 10) -> DataFrame:
-    """(doc_id, rank, other_id, score): documents nearest to each of sources(doc_id) over its `terms` heaviest lemmas.
+#: Postings that a task holds at once, and so many at least, if there are tasks enough.
+TILE, LEAST_TILE = 6_000_000, 250_000
+
+
+def similar(postings: DataFrame, documents: DataFrame, sources: DataFrame | None = None, terms: int = 25, limit: int = 10) -> DataFrame:
+    """(doc_id, rank, other_id, score): documents(doc_id) nearest to each of sources(doc_id), or to every document, over its
+    `terms` heaviest lemmas. Ids are whole numbers; rows without one are near to none.
 
-    The cosine uses the source's norm over those lemmas only. Sources bring at most `terms` lemmas each and are broadcast;
-    the postings of these lemmas are dealt by document, so sums are whole where they are made, and a task lets go of
-    no more than its `limit` best documents of a source: pairs of sources and documents are not shuffled.
+    The cosine uses the source's norm over those lemmas only. All pairs that share a lemma are compared: documents are dealt
+    into blocks of some TILE postings, sources, which bring at most `terms` lemmas each, pass by every block, and a task
+    lets go of no more than a block's `limit` best documents of a source. A lemma's 64-bit hash stands for it.
     """
-    heavy = Window.partitionBy("doc_id").orderBy(F.desc(F.round("weight", 10)), "lemma")
-    own = postings.join(sources.select("doc_id"), "doc_id", "left_semi").filter("weight > 0").withColumn("n", F.row_number().over(heavy)).filter(F.col("n") <= terms)
-    own = own.select(F.col("doc_id").alias("source_id"), "lemma", F.col("weight").alias("own"))
-    own_norm = own.groupBy("source_id").agg(F.sqrt(F.sum(F.col("own") * F.col("own"))).alias("own_norm"))
-    dealt = postings.join(F.broadcast(own.select("lemma").distinct()), "lemma", "left_semi").select("doc_id", "lemma", "weight").repartition("doc_id")
-    met = dealt.join(F.broadcast(own), "lemma").filter("doc_id <> source_id").groupBy("source_id", "doc_id").agg(F.sum(F.col("own") * F.col("weight")).alias("product"))
-    rows = met.join(documents.filter("norm > 0"), "doc_id").join(F.broadcast(own_norm), "source_id").withColumn("score", F.round(F.col("product") / (F.col("own_norm") * F.col("norm")), 10)).filter("score > 0")
+    spark = postings.sparkSession
+    by_doc = postings.filter("doc_id is not null and weight > 0").groupBy("doc_id").agg(F.collect_list(F.struct("weight", "lemma")).alias("all"))
+    heavy = F.slice(F.array_sort(F.transform("all", lambda x: F.struct((-F.round(x["weight"], 10)).alias("order"), x["lemma"].alias("lemma"), x["weight"].alias("weight")))), 1, terms)
+    norm = F.sqrt(F.aggregate("all", F.lit(0.0), lambda s, x: s + x["weight"] * x["weight"]))
+    hashes, weights = (lambda c: F.transform(c, lambda x: F.xxhash64(x["lemma"]))), (lambda c: F.transform(c, lambda x: x["weight"]))
+    made = by_doc.select(F.col("doc_id").cast("long").alias("id"), norm.alias("norm"), hashes("all").alias("lemmas"), weights("all").alias("weights"), heavy.alias("own"))
+    vectors = cut(made.select("id", "norm", "lemmas", "weights", hashes("own").alias("own_lemmas"), weights("own").alias("own_weights")))
+    held = vectors.agg(F.sum(F.size("lemmas"))).first()[0] or 0
+    blocks = max(1, -(-held // TILE), min(2 * spark.sparkContext.defaultParallelism, held // LEAST_TILE))
+
+    rows = documents.select(F.col("doc_id").cast("long").alias("id"))
+    whole = vectors.join(rows.hint("shuffle_hash"), "id").select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "norm", "lemmas", "weights")
+    asked = vectors if sources is None else vectors.join(sources.select(F.col("doc_id").cast("long").alias("id")), "id", "left_semi")
+    passing = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "id", "norm", F.col("own_lemmas").alias("lemmas"), F.col("own_weights").alias("weights"))
+    dealt = whole.unionByName(passing).repartitionById(blocks, "block").sortWithinPartitions("block", "kind")
+    found = dealt.mapInArrow(tiles.nearest(limit), tiles.FOUND).withColumn("score", F.round("score", 10)).filter("score > 0")
     order = Window.partitionBy("source_id").orderBy(F.desc("score"), "doc_id")
-    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select(F.col("source_id").alias("doc_id"), "rank", F.col("doc_id").alias("other_id"), "score")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select(F.col("source_id").alias("doc_id"), "rank", F.col("doc_id").alias("other_id"), "score")
