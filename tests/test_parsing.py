@@ -120,6 +120,25 @@ def test_parser_learns(spark):
     assert odd["n"] is None and odd["e"]["heads"] == []
 
 
+def test_every_sentence_teaches(spark, monkeypatch):
+    """Beyond 10,000 sentences too, each is visited at every pass; names of features of words are bounded."""
+    seen = []
+
+    def plain(examples, key, visit, shards, passes):
+        seen.append((examples.count(), shards, passes))
+        return {}
+
+    rows = spark.range(10_050).selectExpr("CAST(id AS STRING) AS key", "array('a', 'b') AS words", "array('N', 'V') AS tags", "array(2, 0) AS heads", "array(if(id = 10049, 'late', 'obj'), 'root') AS labels")
+    with monkeypatch.context() as m:
+        m.setattr(parsing.perceptron, "train", plain)
+        m.setattr(parsing, "SHARD", 1000)
+        model = parsing.train(rows, "key")
+    assert model.labels == ["late", "obj", "root"] and seen == [(10_050, 11, 4)] * 2
+    monkeypatch.setattr(parsing, "NAMES", 3)
+    names = {f for k in range(200) for f in parsing.arc_features([f"w{k}", f"x{k}"], ["N", "V"], [1, 2], 0)}
+    assert len([n for n in names if "#" in n]) <= 18 and len(names) < 30
+
+
 def test_no_trees(spark):
     model = parsing.train(spark.createDataFrame([], TREES), "key")
     got = parsing.parse(spark.createDataFrame([("a", ["x", "y"], ["N", "N"], [0, 1], ["root", "obj"])], TREES), model).first()["told"]
