@@ -131,3 +131,36 @@ def test_tokens_are_not_broadcast(spark):
     assert "Am dritten Mai kamen sieben Posten." in [r["spoken"] for r in done.collect()]
     plan = done._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SortMergeJoin") >= 2 and "BroadcastHashJoin [t#" not in "".join(x for x in plan.split("\n") if "LeftOuter" not in x)
+
+
+def test_read_where_sentences_lie(spark):
+    """aloud.read() makes the tokens and words of read(), of whatever a sentence holds, and shuffles nothing."""
+    from textlake.operators import aloud
+
+    texts = """Am 3.4.2021 kamen 1 Posten für 144449,04 €, d. h. der 1. Teil von 2–20.|Der 3. Mai, am 31.12.99 und 41.13.2020 um 8:30 Uhr, gegen 9:15, 3:1 und 25:99 Uhr.|1. Punkt. 2. Punkt im 3. Absatz (siehe Abb. 3 bzw. S. 4).
+Die NASA und IBM, GPUs, CPUa, XML und die JSON-Datei in C++; Karl IV und XII.|Er las 1.234.567,8 km/h, -5 °C, 1 ms, 1 GB, 0,5 %, 1 Stunde, mit 1 Zeitung und 1 Haus, 1 Mio. Leute und 1 Mrd., 2 Mio.
+https://www.example.org/a/b_c-2?x=1 und www.tu-berlin.de/ oder max.muster@uni-x1.de [3] [4, 5–7] […]|1990er, 80ern, 2000er-Jahren, 1914-1918, 7 – 9, 2.10.3, 3/4, 7/3, 1/2, 1/100, 99/101, x^2, 2^-10, a^n, f(x) und f(g(y)) (mit x).
+12345678901234567890 und 007, 1000000000000000, 999999999999999; 1 000 000 Euro|A1, 3D, B2B, x86, Ab12Cd, É4|α + β ≤ γ² → ∅ & § 5 #7 # 3 * ~ _ \\ † @ © ½|"Zitat" ‚x‘ «y» – Strich – ... … ?! !? ;; ,, :|T. S. Eliot. J. Kant|
+z.B. z. B. usw. Prof. Dr. Nr. 5 vgl. ca. 7 Nr. x|der im ein 5. Tag; ein 5. Tag; die 5. Stunde; in der 5. Stunde; 20. Januar; jeder 101. 111. 200. 999. Gast|ßÄÖ ÄÖÜ ÉTÉ naïve Ωmega привет 日本 😀 Привет1 \t tab \x0b|machine learning heißt Deep-Learning, Cloud, CLOUD 1 Cloud|1 Kette, 1 Ende, 1 Universität, nach 1 Minute. 1 UNIVERSITÄT|1,5 und -1 und −1 und 1100 1999 2000 1099 1.100 01|12:5 12:60 0:00 24:00 Uhr ab 7:05|||.|(|)|1""".replace("\n", "|").split("|")
+    tables = spark.createDataFrame([("z. B.", "zum Beispiel", "any"), ("d. h.", "das heißt", "any"), ("bzw.", "beziehungsweise", "any"), ("usw.", "und so weiter", "end"), ("Nr.", "Nummer", "number"), ("ca.", "circa", "any"), ("Mio.", "Millionen", "after"), ("Mrd.", "Milliarden", "any"), ("Dr.", "Doktor", "any"), ("Abb.", "Abbildung", "number")], reading.ABBREVIATIONS), spark.createDataFrame([("NASA", "'Nasa"), ("JSON", "'Dschäison"), ("C++", "Zeh plus plus")], reading.READINGS)
+    english = spark.createDataFrame([("machine learning", "maschin 'lörning"), ("Cloud", "Klaud"), ("Deep-Learning", "Diep Lörning")], reading.READINGS)
+    rows = spark.createDataFrame([*enumerate(texts), (-1, None)], "k int, text string")
+    for options in ({}, {"citations": True, "urls": "full", "english": english}, {"urls": "skip", "english": english}):
+        done = aloud.read(rows, *tables, **options)
+        assert "Exchange" not in done._jdf.queryExecution().executedPlan().toString()
+        got, want = ({r["k"]: (r["spoken"], r["tokens"]) for r in df.collect()} for df in (done, reading.read(rows, "k", *tables, **options)))
+        for k, w in want.items():
+            assert got[k] == w, (texts[k], [(a, b) for a, b in zip(got[k][1] or [], w[1] or [], strict=False) if a != b][:3])
+        assert len(got) == len(want) == len(texts) + 1
+
+
+def test_spoken_orders_shuffle_no_token(spark, tmp_path):
+    from textlake.plans.queries import QUERIES
+    import textlake.plans.reading  # noqa: F401
+
+    rows = spark.range(20).selectExpr("id AS o_orderkey", "CAST(id * 1000.5 AS DOUBLE) AS o_totalprice", "TIMESTAMP_NTZ '1997-01-15 00:00:00' AS o_orderdate")
+    rows.write.parquet(f"{tmp_path}/orders.parquet")
+    done = QUERIES["spoken_orders"](spark, str(tmp_path))
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "Generate" not in plan
+    assert done.filter("k = 1").first()["spoken"] == "Am fünfzehnten Januar neunzehnhundertsiebenundneunzig kamen ein Posten für tausend Komma fünf null Euro, das heißt der zweite Teil von drei bis einundzwanzig."

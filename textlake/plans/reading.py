@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlake.functions.numerals import DIGITS, HUNDRED, MONTHS, STEMS
-from textlake.operators import reading
+from textlake.operators import aloud, reading
 from textlake.plans.queries import query, table
 
 SHORT = [("z. B.", "zum Beispiel", "any"), ("d. h.", "das heißt", "any"), ("bzw.", "beziehungsweise", "any"), ("usw.", "und so weiter", "end"), ("Nr.", "Nummer", "number"), ("ca.", "circa", "any"), ("Mio.", "Millionen", "any"), ("Dr.", "Doktor", "any"), ("Prof.", "Professor", "any"), ("vgl.", "vergleiche", "any"), ("Abb.", "Abbildung", "number")]
@@ -41,8 +41,10 @@ w AS (SELECT k, 'Am ' || ({_list(STEMS)})[d + 1] || 'en ' || ({_list(MONTHS)})[m
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(k, text): a sentence of every order with its date, number, price, an ordinal and a range."""
+    """(k, text): a sentence of every order with its date, number, price, an ordinal and a range. Orders are few bytes each and
+    their sentences much work, so they are dealt to all tasks, however few their files are."""
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.round(F.col("o_totalprice") * 100).cast("long").alias("c"), "o_orderdate")
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k")
     price = F.format_string("%d,%02d €", F.floor(F.col("c") / 100), F.col("c") % 100)
     text = F.concat(F.date_format("o_orderdate", "'Am 'd.M.yyyy' kamen '"), F.col("k").cast("string"), F.lit(" Posten für "), price, F.lit(", d. h. der "), (F.col("k") % 99 + 1).cast("string"), F.lit(". Teil von "), F.concat_ws("–", F.col("k") % 7 + 2, F.col("k") % 7 + 20), F.lit("."))
     return rows.select("k", text.alias("text"))
@@ -51,7 +53,7 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {ORDERS_SQL} SELECT k, spoken FROM w")
 def spoken_orders(spark, sf_dir):
     """A sentence of every order in words."""
-    return reading.read(_orders(spark, sf_dir), "k", *_tables(spark)).select("k", "spoken")
+    return aloud.read(_orders(spark, sf_dir), *_tables(spark)).select("k", "spoken")
 
 
 #: Customers' balances, each in a category of its own, and what is expected: in every ninth row what is written.
